@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import decontaminate
+from ruleloom.llm import brown, decontaminate, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op10_brown_lm_scoring": brown.op10_brown_lm_scoring,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
 }
 ORACLE_SQL = {
