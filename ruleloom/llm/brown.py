@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import written
 from ruleloom.llm.textops import slices
 
-FREQUENT, ENDINGS, CLASSES, KNOWN, ROUNDS = 1024, 512, 48, 200_000, 8
+FREQUENT, ENDINGS, CLASSES, KNOWN, ROUNDS = 512, 256, 48, 100_000, 8
 END = FREQUENT + ENDINGS  # the item of the end token
 ITEMS = END + 1
 _FLUSH = 1_000_000
