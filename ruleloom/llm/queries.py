@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import brown, decontaminate, toxicity
+from ruleloom.llm import bagminhash, brown, decontaminate, toxicity
 
 QUERIES = {
+    "op4_bagminhash_near_dedup": bagminhash.op4_bagminhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op10_brown_lm_scoring": brown.op10_brown_lm_scoring,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,

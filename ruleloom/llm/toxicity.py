@@ -99,7 +99,7 @@ def mine(labelled: DataFrame) -> np.ndarray:
     counts = labelled.mapInArrow(rows, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = (F.col("pos") + F.col("neg")) / float(pos + neg)
     z = (F.col("pos") / float(pos) - F.col("neg") / float(neg)) / F.sqrt(share * (1 - share + 1e-9) * (1 / pos + 1 / neg))
-    best = counts.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("pos") >= 3)).orderBy(F.desc("z"), "feature").limit(VOTERS)
+    best = counts.withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("pos") >= 2)).orderBy(F.desc("z"), "feature").limit(VOTERS)
     return np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64)
 
 
