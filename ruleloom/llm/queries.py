@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bagminhash, brown, decontaminate, toxicity
+from ruleloom.llm import bagminhash, brown, decontaminate, licenses, mixing, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op9_entropy_mixing": mixing.op9_entropy_mixing,
     "op4_bagminhash_near_dedup": bagminhash.op4_bagminhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op10_brown_lm_scoring": brown.op10_brown_lm_scoring,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
 }
