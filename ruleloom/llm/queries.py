@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bagminhash, brown, decontaminate, licenses, mixing, toxicity
+from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, toxicity
 
 QUERIES = {
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op1_license_scan": licenses.op1_license_scan,
     "op9_entropy_mixing": mixing.op9_entropy_mixing,
     "op4_bagminhash_near_dedup": bagminhash.op4_bagminhash_near_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op8_line_dedup": linededup.OP8_SQL,
     "op1_license_scan": licenses.OP1_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
 }
