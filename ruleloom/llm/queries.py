@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, toxicity
+from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, paragraphs, toxicity
 
 QUERIES = {
+    "op6_paragraph_dedup": paragraphs.op6_paragraph_dedup,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op1_license_scan": licenses.op1_license_scan,
     "op9_entropy_mixing": mixing.op9_entropy_mixing,
