@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, paragraphs, toxicity
+from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, paragraphs, suffixdedup, toxicity
 
 QUERIES = {
+    "op7_suffix_array_dedup": suffixdedup.op7_suffix_array_dedup,
     "op6_paragraph_dedup": paragraphs.op6_paragraph_dedup,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op1_license_scan": licenses.op1_license_scan,
