@@ -1,21 +1,23 @@
 """Classes of near-equal texts from candidate buckets: candidate pairs, exact verification, components.
 
 Everything stays in tables: no links, components or buckets reach the driver, only counts. A bucket of n
-nodes is never expanded into its n^2 pairs. Each round pairs a node with one other node of its bucket
-(the bucket's first node by a hash that changes with the round) unless both are known to be connected
-already; verified pairs then merge components. What is left after ``ROUNDS`` rounds are buckets that
-still hold several components: there each pair of nodes from different components that wasn't tested yet
-is tested, so that no link between components is lost.
+nodes is never expanded into rows for its n^2 pairs. Each of ``ROUNDS`` rounds pairs a node with one other
+node of its bucket, the likeliest centre of a group of near copies, unless both are known to be connected
+already; verified pairs then merge components. Buckets that still hold several components are then settled
+exactly, so that no link between components is lost: groups of at most ``FEW`` nodes pair by pair, larger
+ones in blocks of nodes that meet in pairs inside tasks and return only a spanning forest of their links.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import written
 
-ROUNDS = 3
+ROUNDS, FEW, BLOCK_ITEMS = 2, 32, 250_000
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -37,7 +39,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         e = written(small.where("a <> b").distinct(), name)
@@ -58,6 +60,9 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
     """
     close = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
     edges = tested = comp = None
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"))
+    shared = entries.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("shared"))
+    ranked = written(entries.join(shared, "node"), f"{name}-ranked")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.withColumnRenamed("items", "a_items"), pairs["a"] == sets["node"]).drop("node")
@@ -66,33 +71,103 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
 
     def labelled() -> DataFrame:
         """Entries of the buckets that still hold several components, with each node's component."""
-        own = entries.withColumn("component", F.col("node")) if comp is None else entries.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = ranked.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return own.join(several.select("bucket"), "bucket", "left_semi")
-
-    for round_ in range(ROUNDS + 1):
-        now = labelled()
-        if round_ < ROUNDS:
-            order = F.col("node") if round_ == 0 else F.xxhash64("node", "bucket", F.lit(round_))
-            first = now.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "component"), order).alias("r"))
-            pairs = now.join(first, "bucket").where("component <> r.component").withColumn("other_size", F.col("r.size")).where(close)
-            if round_ == 0:  # most buckets of a node have the same first node
-                pairs = pairs.groupBy("node").agg(F.min("r.node").alias("other"))
-            else:
-                pairs = pairs.select("node", F.col("r.node").alias("other"))
-        else:
-            now = written(now, f"{name}-rest")
-            other = now.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-            pairs = now.join(other, "bucket").where("component < other_component").where(close).select("node", "other")
+        return written(own.join(several.select("bucket"), "bucket", "left_semi"), f"{name}-open")
+
+    def add(pairs: DataFrame) -> None:
+        """Verify pairs that weren't tested yet, and merge what they link."""
+        nonlocal edges, tested, comp
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         result = written(verified(pairs), f"{name}-pairs")
-        edges = result.where("linked") if edges is None else edges.union(result.where("linked"))
+        merge(result.where("linked").select("a", "b"))
         tested = result.select("a", "b") if tested is None else tested.union(result.select("a", "b"))
-        n = result.agg(F.count("*"), F.coalesce(F.sum(F.col("linked").cast("long")), F.lit(0))).first()
-        if n[1] or comp is None:
-            comp = written(components(edges.select("a", "b"), f"{name}-stars"), f"{name}-components")
-        if not n[0] and round_:
-            continue
+
+    def merge(linked: DataFrame) -> None:
+        nonlocal edges, comp
+        if comp is None or linked.take(1):
+            edges = linked if edges is None else edges.union(linked)
+            comp = written(components(edges, f"{name}-stars"), f"{name}-components")
+
+    for round_ in range(ROUNDS):
+        now = labelled() if round_ else ranked.withColumn("component", F.col("node"))
+        # The node that shares most buckets with others is the likeliest centre of a group of near copies.
+        able = now.where(F.pmod(F.xxhash64("node"), F.lit(3)) == round_ % 3) if round_ else now
+        first = able.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "component", "shared"), F.struct("shared", "node")).alias("r"))
+        pairs = now.join(first, "bucket").where("component <> r.component").withColumn("other_size", F.col("r.size")).where(close)
+        if round_ == 0:  # most buckets of a node have the same centre
+            pairs = pairs.groupBy("node").agg(F.max_by("r.node", F.struct("r.shared", "r.node")).alias("other"))
+        add(pairs.select("node", F.col("other") if round_ == 0 else F.col("r.node").alias("other")))
+
+    now = labelled()
+    lowest = now.groupBy("bucket").agg(F.min("node").alias("b"))
+    groups = written(components(now.join(lowest, "bucket").select(F.col("node").alias("a"), "b"), f"{name}-groups"), f"{name}-groups")
+    member = now.select("node", "size", "component").distinct().join(groups.withColumnRenamed("component", "group"), "node")
+    counts = member.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("items"))
+    member = written(member.join(counts, "group"), f"{name}-members")
+    few = now.join(member.where(F.col("n") <= FEW).select("node"), "node", "left_semi")
+    other = few.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
+    add(few.join(other, "bucket").where("component < other_component").where(close).select("node", "other"))
+    many = member.where(F.col("n") > FEW)
+    if many.take(1):
+        merge(written(_blocked(many, sets, threshold), f"{name}-blocked"))
     return comp
+
+
+def _blocked(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between components of large groups; blocks of a group's nodes meet in pairs.
+
+    Each task holds two blocks of about ``BLOCK_ITEMS`` items and returns a spanning forest of the links
+    that it finds, so pairs are compared but never made into rows.
+    """
+    blocks = F.ceil(F.col("items") / F.lit(BLOCK_ITEMS)).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).drop("items", "n", "size")
+    dealt = own.join(sets, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "items")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = pdf[pdf["block"] == one], pdf[pdf["block"] == two]
+        parent = {c: c for c in pdf["component"]}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        found = []
+        for x, y in zip(*similar(a["items"].tolist(), b["items"].tolist(), threshold), strict=True):
+            p, q = root(a["component"].iloc[x]), root(b["component"].iloc[y])
+            if p != q:
+                parent[p] = q
+                found.append((a["node"].iloc[x], b["node"].iloc[y]))
+        return pd.DataFrame({"a": np.array([f[0] for f in found], np.int64), "b": np.array([f[1] for f in found], np.int64)})
+
+    return dealt.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of ``a`` and ``b`` whose Jaccard similarity reaches the threshold."""
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    of_a, of_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+    common = np.intersect1d(flat_a, flat_b)
+    at_a, at_b = np.searchsorted(common, flat_a), np.searchsorted(common, flat_b)
+    both = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, len(common), 2048):
+        width = min(2048, len(common) - first)
+        side = []
+        for at, flat, of, n in ((at_a, flat_a, of_a, len(a)), (at_b, flat_b, of_b, len(b))):
+            here = np.flatnonzero((at >= first) & (at < first + width))
+            here = here[common[at[here]] == flat[here]]
+            m = np.zeros((n, width), np.float32)
+            m[of[here], at[here] - first] = 1
+            side.append(m)
+        both += side[0] @ side[1].T
+    total = size_a[:, None] + size_b[None, :] - both
+    return np.nonzero((both >= (threshold - 1e-9) * total) & (total > 0))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, paragraphs, suffixdedup, toxicity
+from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, multiindex, paragraphs, suffixdedup, toxicity
 
 QUERIES = {
+    "op2_inverted_multi_index": multiindex.op2_inverted_multi_index,
     "op7_suffix_array_dedup": suffixdedup.op7_suffix_array_dedup,
     "op6_paragraph_dedup": paragraphs.op6_paragraph_dedup,
     "op8_line_dedup": linededup.op8_line_dedup,
