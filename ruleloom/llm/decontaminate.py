@@ -180,10 +180,28 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int
     )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a benchmark window; all columns are kept."""
-    hit = contamination(documents, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__hit_id")).distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(F.col("__hit_id")), "left_anti")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents without those that hold a benchmark window, with all their columns.
+
+    One filter per block of the benchmark; nothing is shuffled.
+    """
+    windows = benchmark_windows(benchmark)
+    blocks = max(1, math.ceil(windows.count() / block_windows))
+
+    def clean(index):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for piece in slices(b.column("text")):
+                    docs, hit, _ = _hits(piece, index.value)
+                    yield b.slice(piece.first, piece.n).filter(pa.array(np.bincount(docs[hit], minlength=piece.n) == 0))
+
+        return rows
+
+    out = documents
+    for i in range(blocks):
+        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window_hash"), F.lit(blocks)) == i)
+        out = out.mapInArrow(clean(documents.sparkSession.sparkContext.broadcast(Index(own.collect()))), documents.schema)
+    return out
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

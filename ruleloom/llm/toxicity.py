@@ -172,35 +172,34 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray
     return table, coefficients, float(bias)
 
 
-def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, score`` with one row per document."""
-    return _scored(documents.select("doc_id", F.col("text").cast("string").alias("text")), labels, ["doc_id"])
+def _score_of(piece: Slice, table: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    docs, voter = _present(piece, table)
+    return 1 / (1 + np.exp(-np.clip(bias + np.bincount(docs, weights[voter], minlength=piece.n), -30, 30)))
 
 
-def _scored(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    table, weights, bias = fit(documents, labels)
+def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, score`` with one row per document."""
+    documents = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    model = fit(documents, labels)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in slices(b.column("text")):
-                docs, voter = _present(piece, table)
-                logit = bias + np.bincount(docs, weights[voter], minlength=piece.n)
-                part = b.slice(piece.first, piece.n)
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=[*keep, "toxicity_score"])
+                yield pa.record_batch([b.column("doc_id").slice(piece.first, piece.n), pa.array(_score_of(piece, *model))], names=["doc_id", "score"])
 
-    kept = [f for f in documents.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "toxicity_score double"])
-    source = documents if "text" in documents.columns else documents.withColumn("text", F.lit(""))
-    return source.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema).withColumnRenamed("toxicity_score", "score")
+    return documents.mapInArrow(rows, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
-    columns = documents.columns
-    narrow = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    toxic = _scored(narrow, labels, ["doc_id", "text"]).where("score >= 0.5").select(F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    return documents.join(toxic, same, "left_anti").select(*columns)
+    model = fit(documents.select("doc_id", F.col("text").cast("string").alias("text")), labels)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in slices(b.column("text")):
+                yield b.slice(piece.first, piece.n).filter(pa.array(_score_of(piece, *model) < 0.5))
+
+    return documents.mapInArrow(rows, documents.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
