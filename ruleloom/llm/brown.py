@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import written
 from ruleloom.llm.textops import slices
 
-FREQUENT, ENDINGS, CLASSES, KNOWN, ROUNDS = 512, 256, 48, 100_000, 8
+FREQUENT, ENDINGS, CLASSES, KNOWN, ROUNDS = 1024, 512, 48, 200_000, 8
 END = FREQUENT + ENDINGS  # the item of the end token
 ITEMS = END + 1
 _FLUSH = 1_000_000
@@ -184,27 +184,32 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a bounded result as 64-bit integers; Arrow holds them in a fraction of what rows take."""
+    table = df.select(*names).toArrow()
+    return [table.column(c).to_numpy().astype(np.int64) for c in names]
+
+
 def train(training: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts."""
     spark = training.sparkSession
     counts = written(word_counts(training), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = training.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    word, ending, n = top.word.to_numpy(np.int64).view(np.uint64), top.ending.to_numpy(np.int64), top.n.to_numpy(np.int64)
-    item = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), FREQUENT + ending)
+    word, ending, n = _columns(counts.orderBy(F.desc("n"), "word").limit(KNOWN), "word", "ending", "n")
+    word = word.view(np.uint64)
+    item = np.where(np.arange(len(word)) < FREQUENT, np.arange(len(word)), FREQUENT + ending)
     order = np.argsort(word)
     model = Model(word[order], n[order], item[order], int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
     pairs = np.zeros(ITEMS * ITEMS, np.int64)
-    got = pair_counts(training, spark.sparkContext.broadcast(model)).toPandas()
-    pairs[got.pair.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
+    at, times = _columns(pair_counts(training, spark.sparkContext.broadcast(model)), "pair", "n")
+    pairs[at] = times
     pairs = pairs.reshape(ITEMS, ITEMS)
     model.classes = of = exchange(pairs)
-    by_ending = counts.groupBy("ending").agg(F.count("*").alias("v"), F.sum("n").alias("n")).toPandas()
+    ends_at, ends_v, ends_n = _columns(counts.groupBy("ending").agg(F.count("*").alias("v"), F.sum("n").alias("n")), "ending", "v", "n")
     types, mass = np.zeros(ITEMS), np.zeros(ITEMS)
-    types[FREQUENT + by_ending.ending.to_numpy(np.int64)] = by_ending.v
-    mass[FREQUENT + by_ending.ending.to_numpy(np.int64)] = by_ending.n
-    own = slice(0, min(FREQUENT, len(top)))  # frequent words stand for themselves, not for their ending
+    types[FREQUENT + ends_at], mass[FREQUENT + ends_at] = ends_v, ends_n
+    own = slice(0, min(FREQUENT, len(word)))  # frequent words stand for themselves, not for their ending
     types[own], mass[own] = 1, n[own]
     np.subtract.at(types, FREQUENT + ending[own], 1)
     np.subtract.at(mass, FREQUENT + ending[own], n[own])
