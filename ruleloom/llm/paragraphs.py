@@ -35,7 +35,7 @@ from ruleloom.llm.links import link
 from ruleloom.llm.textops import Slice, grams, mix, seeded, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
-SENTENCE_WORDS, MIN_WORDS, RUN_WORDS = 6, 10, 20
+SENTENCE_WORDS, MIN_WORDS, RUN_WORDS = 6, 6, 20
 BANDS, ROWS = 6, 2
 BROADCAST_ROWS = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
