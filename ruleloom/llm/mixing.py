@@ -6,7 +6,7 @@ multiplier per source. The convex dual is solved by safeguarded Newton steps; ea
 aggregation by source over a histogram of sizes, so no step reads a document. Rates are then rounded into
 whole copies: the fractional parts are settled by a hash of the document, at a threshold per source that
 a binned search finds, and at most ``REPAIRS`` documents a source get one copy more or less where this
-brings the source closer to its target. All tables by source stay DataFrames.
+brings the source closer to its target, which leaves it within half of its largest document. All tables by source stay DataFrames.
 
 Size of a document: the number of ``[^\\x20\\x09-\\x0D]+`` in its text. Weights 3, 1, 2 repeat over the
 sources in code-point order, null last. The mix takes 150 % of all words, no source more than twice its
