@@ -56,9 +56,11 @@ def all_of(items: list[Column], exact: bool) -> Column:
         return items[0]
     if not exact:
         return reduce(lambda a, b: a & b, items)
-    # 1 true, 0 false, 2 null; true ones vanish and the first of the others decides.
-    codes = [F.nullif(F.coalesce(x.cast("int"), F.lit(2)), F.lit(1)) for x in items]
-    return F.nullif(F.coalesce(*codes, F.lit(1)), F.lit(2)).cast("boolean")
+    # Each item becomes a number that grows with its place, far larger where the item is true; the least one
+    # decides, and its remainder tells false (0), true (1) or null (2). No item is written twice.
+    value = F.array(F.lit(0), F.lit(1_000_001), F.lit(2))
+    numbers = [F.get(value, F.coalesce(x.cast("int"), F.lit(2))) + F.lit(4 * i) for i, x in enumerate(items)]
+    return F.get(F.array(F.lit(False), F.lit(True), F.lit(None).cast("boolean")), F.least(*numbers) % 4)
 
 
 def any_of(items: list[Column], exact: bool) -> Column:
