@@ -26,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.common import words_alnum, written
+from ruleloom.llm.common import LOWER, UPPER, written
 
-FUZZY_WORDS = 8
+FUZZY_WORDS, ROW_WORDS = 8, 64
+NOT_WORD_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 100_000
 
 
@@ -37,41 +38,65 @@ def _hash(text: Column) -> Column:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, line_no, words`` of the lines that have words."""
+    """``doc_id, text_hash, line_no, line`` of the lines that have words: their words, one space between two."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = documents.select("doc_id", _hash(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "text_hash", "line_no", words_alnum(F.col("line")).alias("words")).where(F.size("words") > 0)
+    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD_IN_LINE, " ")
+    cut = documents.select("doc_id", _hash(text).alias("text_hash"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+    return cut.withColumn("line", F.trim("line")).where("line <> ''")  # a word at least
 
 
-def _half_keys(words: Column) -> Column:
-    """Hashes of the halves that a partner of the same length, or one word shorter or longer, may share."""
-    n = F.size(words)
+def _half_keys(line: Column, n: Column) -> Column:
+    """Hashes of the halves that a partner of the same length ``n``, or one word shorter or longer, may share."""
     keys = []
     for least in (n - 1, n):  # words of the shorter line of a pair
         p = F.floor(least / 2).cast("int")
         q = least - p
-        keys.append(F.xxhash64(F.lit(0), least, F.concat_ws(" ", F.slice(words, F.lit(1), p))))
-        keys.append(F.xxhash64(F.lit(1), least, F.concat_ws(" ", F.slice(words, n - q + 1, q))))
+        keys.append(F.xxhash64(F.lit(0), least, _substring_index(line, p)))
+        keys.append(F.xxhash64(F.lit(1), least, _substring_index(line, -q)))
     return F.when(n >= FUZZY_WORDS, F.array(*keys))
 
 
+def _substring_index(line: Column, n: Column) -> Column:
+    """The first ``n`` words of a line, or its last ``-n`` ones."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
+
+
 def _place(doc_id="doc_id") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col("text_hash"), F.col("line_no"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``variant, at, key, place``: the whole line (``at`` -1) and each deletion of one word."""
-    one = lines.select("key", "place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    kept, moved = F.xxhash64("word", "at"), F.xxhash64("word", F.col("at") - 1)
+    """``variant, at, key, place``: the whole line (``at`` -1) and each deletion of one word.
+
+    With k[i] the hash of word i at its place and m[i] its hash one place earlier, the variant without word i is
+    all m, xor k[i], xor the running xor of k and m up to i. Lines of up to ``ROW_WORDS`` words do this within
+    their row, longer ones with their words as rows, so that no line costs the square of its length.
+    """
+    few = lines.where(F.size("words") <= ROW_WORDS)
+    zero = F.lit(0).cast("bigint")
+    kept, moved = F.transform("words", lambda w, i: F.xxhash64(w, i)), F.transform("words", lambda w, i: F.xxhash64(w, i - 1))
+    few = few.select("key", "place", F.size("words").alias("n"), kept.alias("kept"), moved.alias("moved"))
+    start = F.struct(F.array().cast("array<bigint>").alias("to"), zero.alias("x"))
+
+    def add(a, pair):
+        x = a["x"].bitwiseXOR(pair["kept"]).bitwiseXOR(pair["moved"])
+        return F.struct(F.array_append(a["to"], x).alias("to"), x.alias("x"))
+
+    xor = lambda c: F.aggregate(c, zero, lambda a, b: a.bitwiseXOR(b))
+    few = few.select("key", "place", "n", "kept", F.aggregate(F.arrays_zip("kept", "moved"), start, add)["to"].alias("to"), xor("moved").alias("all"), xor("kept").alias("whole"))
+    each = F.zip_with("kept", "to", lambda k, t: F.xxhash64(F.col("all").bitwiseXOR(k).bitwiseXOR(t), F.col("n") - 1))
+    few = few.select("key", "place", F.posexplode(F.concat(F.array(F.xxhash64("whole", "n")), each)).alias("at", "variant"))
+    few = few.select("variant", (F.col("at") - 1).alias("at"), "key", "place")
+
+    one = lines.where(F.size("words") > ROW_WORDS).select("key", "place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     running = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     line = Window.partitionBy("key")
-    x = one.withColumn("kept", kept).withColumn("moved", moved)
-    x = x.withColumn("kept_to", F.bit_xor("kept").over(running)).withColumn("moved_to", F.bit_xor("moved").over(running))
-    x = x.withColumn("kept_all", F.bit_xor("kept").over(line)).withColumn("moved_all", F.bit_xor("moved").over(line))
-    before, after = F.col("kept_to").bitwiseXOR(F.col("kept")), F.col("moved_all").bitwiseXOR(F.col("moved_to"))
-    deleted = x.select(F.xxhash64(before.bitwiseXOR(after), F.col("n") - 1).alias("variant"), "at", "key", "place")
-    whole = x.where("at = 0").select(F.xxhash64("kept_all", "n").alias("variant"), F.lit(-1).alias("at"), "key", "place")
-    return deleted.union(whole)
+    x = one.withColumn("kept", F.xxhash64("word", "at")).withColumn("moved", F.xxhash64("word", F.col("at") - 1)).drop("word")
+    x = x.withColumn("to", F.bit_xor(F.col("kept").bitwiseXOR(F.col("moved"))).over(running))
+    x = x.withColumn("all", F.bit_xor("moved").over(line)).withColumn("whole", F.bit_xor("kept").over(line))
+    deleted = x.select(F.xxhash64(F.col("all").bitwiseXOR(F.col("kept")).bitwiseXOR(F.col("to")), F.col("n") - 1).alias("variant"), "at", "key", "place")
+    whole = x.where("at = 0").select(F.xxhash64("whole", "n").alias("variant"), F.lit(-1).alias("at"), "key", "place")
+    return few.union(deleted).union(whole)
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -85,7 +110,8 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def removed_lines(documents: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_nos``: the lines that go, for documents where any goes."""
-    lines = _lines(documents).select("doc_id", "text_hash", "line_no", _half_keys(F.col("words")).alias("halves"), F.xxhash64(F.concat_ws(" ", "words")).alias("key"))
+    lines = _lines(documents).withColumn("n", F.size(F.split("line", " ")))
+    lines = lines.select("doc_id", "text_hash", "line_no", _half_keys(F.col("line"), F.col("n")).alias("halves"), F.xxhash64("line").alias("key"))
     lines = written(lines, "line-keys")
     first = written(lines.groupBy("key").agg(F.min(_place()).alias("place"), F.max(_place()).alias("last"), F.first("halves").alias("halves")), "line-first")
 
@@ -96,7 +122,8 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     if able.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("line_no") == F.col("__no"))
-    texts = _lines(documents).join(places, same).select(F.col("__key").alias("key"), _place().alias("place"), "words").dropDuplicates(["key"])
+    found = _lines(documents).join(places, same)
+    texts = found.select(F.col("__key").alias("key"), _place().alias("place"), F.split("line", " ").alias("words")).dropDuplicates(["key"])
     texts = written(texts, "line-texts")
 
     variants = written(_variants(texts), "line-variants")
