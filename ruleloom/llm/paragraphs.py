@@ -7,6 +7,13 @@ count. Each has the set of its runs of ``SHINGLE`` words. Paragraphs of equal se
 share one of ``BANDS`` bands of ``ROWS`` MinHash values are candidates, verified by exact Jaccard
 similarity and joined into classes (module ``links``).
 
+Sentences depend on punctuation, so runs of ``CHUNK`` words are units too: those that start at the smallest
+hash of ``SHINGLE`` words among ``CHUNK`` neighbouring places of a document. Where they start depends on
+words alone, so any ``2 * CHUNK - 1`` consecutive words that stand in two places have a run in common there,
+whatever the punctuation and the text around them. Runs are equal or not: one changed word within a run
+brings its similarity below the threshold, so they need no bands. Runs overlap each other and the sentences;
+a unit that overlaps the one of its class that stays, stays too.
+
 Of each class the first paragraph (smallest document id, null last) stays. Others go where a run of
 neighbouring paragraphs that go has ``RUN_WORDS`` words or more: a short line that many documents share is
 no repeated passage.
@@ -26,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +42,7 @@ from ruleloom.llm.links import link
 from ruleloom.llm.textops import Slice, grams, mix, seeded, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
-SENTENCE_WORDS, MIN_WORDS, RUN_WORDS = 6, 6, 20
+SENTENCE_WORDS, MIN_WORDS, RUN_WORDS, CHUNK = 6, 6, 20, 25
 BANDS, ROWS = 6, 2
 BROADCAST_ROWS = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -52,16 +59,17 @@ class Paragraphs:
     def __init__(self, piece: Slice):
         low = piece.lowered()
         starts, ends, docs = low.words("alnum")
+        self.text, self.word_starts, self.word_ends, self.word_docs = low, starts, ends, docs
         n = len(starts)
         data = low.data
         newline = np.concatenate([[0], np.cumsum(data == 10)])
         space = np.isin(data, np.array([32, 9, 10, 11, 12, 13], np.uint8))
-        stop = np.isin(data, np.frombuffer(b".!?", np.uint8)) & np.append(space[1:], True) if len(data) else space
-        stops = np.concatenate([[0], np.cumsum(stop)])
+        stops = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".!?", np.uint8)))])
+        last_space = np.append(0, np.maximum.accumulate(np.where(space, np.arange(len(data)), 0)))  # before a place
         other = np.append(docs[1:] != docs[:-1], True) if n else np.zeros(0, bool)
         to = np.append(starts[1:], len(data)) if n else starts
         hard = other | (newline[to] > newline[ends])  # after this word a text or a line ends
-        soft = hard | (stops[to] > stops[ends])
+        soft = hard | (stops[np.maximum(last_space[to], ends)] > stops[ends])  # a stop, and white space before the next word
         last = np.flatnonzero(soft)
         length = np.diff(np.append(-1, last))
         cut = last[hard[last] | (length >= SENTENCE_WORDS)]
@@ -69,11 +77,9 @@ class Paragraphs:
         words = cut - first + 1
         keep = words >= MIN_WORDS
         first, cut, self.words = first[keep], cut[keep], words[keep]
-        self.docs, self.starts, self.ends = docs[first], starts[first], ends[cut]
-        self.order = np.arange(len(first)) - np.searchsorted(self.docs, self.docs) if len(first) else first
-        self.starts = self.starts - low.offsets[self.docs]
-        self.ends = self.ends - low.offsets[self.docs]
-        g = grams(low.hashes(starts, ends), SHINGLE)
+        self.docs, self.first = docs[first], first
+        self.hashes = low.hashes(starts, ends)
+        self.grams = g = grams(self.hashes, SHINGLE)
         size = self.words - SHINGLE + 1
         self.begin = np.cumsum(size) - size
         self.shingles = g[np.repeat(first - self.begin, size) + np.arange(size.sum())] if len(first) else g[:0]
@@ -94,6 +100,42 @@ class Paragraphs:
         size = np.bincount(of, minlength=len(self.words))
         return mix(total + size.astype(np.uint64)).view(np.int64), size
 
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each run of ``CHUNK`` words that counts, and a hash of its words."""
+        g, docs = self.grams, self.word_docs
+        n = len(docs) - CHUNK - SHINGLE + 2  # windows of CHUNK places
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        value, at, width = g, np.arange(len(g)), 1
+        while width < CHUNK:  # the rightmost smallest of ``width`` places, from each place on
+            step = min(width, CHUNK - width)
+            less = value[step:] <= value[:-step]
+            value, at = np.where(less, value[step:], value[:-step]), np.where(less, at[step:], at[:-step])
+            width += step
+        chosen = np.zeros(len(docs), bool)
+        chosen[at[docs[:n] == docs[CHUNK + SHINGLE - 2 :]]] = True
+        first = np.flatnonzero(chosen[: len(docs) - CHUNK + 1])
+        first = first[docs[first] == docs[first + CHUNK - 1]]
+        total = np.full(len(first), CHUNK, np.uint64)
+        for j in range(CHUNK):
+            total = total * _STEP + self.hashes[first + j]
+        return first, mix(total).view(np.int64)
+
+    def units(self) -> tuple[np.ndarray, ...]:
+        """Document, order in it, start, end, first word, words, node and whether it is a run, of all units in order."""
+        at, hashed = self.chunks()
+        first = np.append(self.first, at)
+        words = np.append(self.words, np.full(len(at), CHUNK))
+        chunk = np.append(np.zeros(len(self.first), bool), np.ones(len(at), bool))
+        node = np.append(self.nodes()[0], hashed)
+        order = np.lexsort((words, first))
+        first, words, chunk, node = first[order], words[order], chunk[order], node[order]
+        docs = self.word_docs[first]
+        nth = np.arange(len(first)) - np.searchsorted(docs, docs)
+        begins = np.searchsorted(self.word_docs, docs)  # the document's first word
+        offset = self.text.offsets[docs]
+        return docs, nth, self.word_starts[first] - offset, self.word_ends[first + words - 1] - offset, first - begins, words, node, chunk
+
     def bands(self) -> np.ndarray:
         out = np.zeros((len(self.words), BANDS), np.uint64)
         if len(out):
@@ -122,15 +164,33 @@ def _narrow(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
 
 
+def _repeated_chunks(documents: DataFrame) -> DataFrame:
+    """``wanted``: hashes of runs of words that stand in more than one place."""
+    found = _map(_narrow(documents).select("text"), "node long", lambda b, piece, p: [p.chunks()[1]])
+    return found.groupBy(F.col("node").alias("wanted")).agg(F.count("*").alias("n")).where("n > 1").select("wanted")
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, nth, start, end, words, node``; start and end count UTF-8 bytes."""
+    """``doc_id, text_hash, nth, start, end, word, words, node, row``; start and end count UTF-8 bytes.
+
+    Runs of words are among them where they stand in more than one place. ``row - nth`` tells the documents apart.
+    """
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def columns(b, piece, p):
-        at = pa.array(p.docs + piece.first)
-        return [b.column("doc_id").take(at), b.column("text_hash").take(at), p.order.astype(np.int32), p.starts, p.ends, p.words.astype(np.int32), p.nodes()[0]]
+        docs, nth, start, end, word, words, node, chunk = p.units()
+        at = pa.array(docs + piece.first)
+        return [b.column("doc_id").take(at), b.column("text_hash").take(at), nth.astype(np.int32), start, end, word.astype(np.int32), words.astype(np.int32), node, chunk]
 
-    return _map(_narrow(documents), f"doc_id {id_type}, text_hash long, nth int, start long, end long, words int, node long", columns)
+    schema = f"doc_id {id_type}, text_hash long, nth int, start long, end long, word int, words int, node long, chunk boolean"
+    units = _map(_narrow(documents), schema, columns).withColumn("row", F.monotonically_increasing_id())
+    several = _few(written(_repeated_chunks(documents), "par-chunks"))
+    found = units.join(several, F.col("chunk") & (F.col("node") == F.col("wanted")), "left")
+    return found.where("not chunk or wanted is not null").drop("chunk", "wanted")
+
+
+def _few(wanted: DataFrame) -> DataFrame:
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
 
 def _entries(documents: DataFrame) -> DataFrame:
@@ -157,30 +217,34 @@ def _sets(documents: DataFrame) -> DataFrame:
 def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Paragraphs of classes of two or more, in runs of ``RUN_WORDS`` words or more.
 
-    ``doc_id, text_hash, nth, start, end, words, class, first_doc, removed``: ``first_doc`` holds the
+    ``doc_id, text_hash, nth, start, end, word, words, class, first_doc, removed``: ``first_doc`` holds the
     paragraph that stays; ``removed`` is true where this one goes.
     """
-    units = written(paragraphs(documents).withColumn("row", F.monotonically_increasing_id()), "par-units")
+    units = written(paragraphs(documents), "par-units")
     dealt = _entries(documents).repartition(F.col("bucket"))
-    several = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    # The size is asked for so that both readers of the buckets want the same columns and share one shuffle.
+    several = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("most")).where("lo <> hi and most > 0").select("bucket")
     entries = written(dealt.join(several, "bucket", "left_semi").distinct(), "par-entries")
-    wanted = written(entries.select(F.col("node").alias("wanted")).distinct(), "par-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = _few(written(entries.select(F.col("node").alias("wanted")).distinct(), "par-wanted"))
     sets = written(_sets(documents).join(wanted, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]), "par-sets")
     linked = link(entries, sets, threshold, "par")
 
     classed = units.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")
+    document, to = F.col("row") - F.col("nth"), F.col("word") + F.col("words")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row", document.alias("document"), to.alias("to"))
     classes = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    same = classed.join(classes, "class").withColumn("removed", F.col("row") != F.col("first.row"))
+    over_first = (document == F.col("first.document")) & (F.col("word") < F.col("first.to"))
+    same = classed.join(classes, "class").withColumn("removed", (F.col("row") != F.col("first.row")) & ~over_first)
     marked = written(same.withColumn("first_doc", F.col("first.doc_id")).drop("first", "n", "node"), "par-marked")
+    # A class whose members all overlap its first one stands in one place only.
+    marked = marked.join(marked.where("removed").select("class").distinct(), "class", "left_semi")
 
     def long_runs(rows: DataFrame) -> DataFrame:
-        own = Window.partitionBy("doc_id", "text_hash", F.col("row") - F.col("nth")).orderBy("nth")
-        cut = F.when(F.col("nth") - F.lag("nth").over(own) == 1, 0).otherwise(1)
-        run = rows.withColumn("cut", cut).withColumn("run", F.sum("cut").over(own))
-        total = F.sum("words").over(Window.partitionBy("doc_id", "text_hash", F.col("row") - F.col("nth"), "run"))
+        own = Window.partitionBy("doc_id", "text_hash", document)
+        reach = F.max(to).over(own.orderBy("word", "row").rowsBetween(Window.unboundedPreceding, -1))
+        run = rows.withColumn("cut", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("cut").over(own.orderBy("word", "row")))
+        in_run = Window.partitionBy("doc_id", "text_hash", document, "run")
+        total = F.max(to).over(in_run) - F.min("word").over(in_run)
         return run.withColumn("total", total).where(F.col("total") >= RUN_WORDS).drop("cut", "run", "total")
 
     gone = long_runs(marked.where("removed")).select("row", F.lit(True).alias("goes"))
@@ -190,29 +254,41 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup_paragraphs(documents: DataFrame) -> DataFrame:
     """The documents without the passages that go, with all their columns."""
-    spans = repeated(documents).where("removed").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gone = repeated(documents).where("removed").withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    between = F.when(F.col("from") < F.col("start"), F.struct("from", F.col("start").alias("to")))  # what stays before this unit
+    spans = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(between)).alias("__stays"), F.max("end").alias("__end"))
     text = F.col("text").cast("string")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
     joined = documents.join(spans, same, "left").drop("__id", "__hash")
     raw = F.col("text").cast("binary")
-    n = F.size("__spans")
-    start = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"]))
-    end = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.octet_length("text").cast("long")))
-    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.decode(F.substring(raw, F.get(start, i).cast("int") + 1, (F.get(end, i) - F.get(start, i)).cast("int")), "UTF-8"))
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).select(*documents.columns)
+    stays = F.array_append("__stays", F.struct(F.col("__end").alias("from"), F.octet_length("text").cast("long").alias("to")))
+    pieces = F.transform(stays, lambda x: F.decode(F.substring(raw, x["from"].cast("int") + 1, (x["to"] - x["from"]).cast("int")), "UTF-8"))
+    return joined.withColumn("text", F.when(F.col("__end").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).select(*documents.columns)
+
+
+def _covered(spans: Column) -> Column:
+    """How many words sorted spans ``(word, to)`` cover; they may overlap."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def add(a, s):
+        return F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(s["word"], a["end"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end"))
+
+    return F.aggregate(spans, start, add)["n"]
 
 
 def op6_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its repeated and removed passages.
 
     ``doc_id, n_repeated, n_removed, removed_words, first_docs``: paragraphs in repeated passages, those
-    of them that go, their words, and the ids of the documents that keep them.
+    of them that go, the words that these cover, and the ids of the documents that keep them.
     """
+    spans = F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("word", (F.col("word") + F.col("words")).alias("to")))))
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = repeated(documents).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("row") - F.col("nth")).agg(
         F.count("*").alias("n_repeated"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
-        F.sum(F.when(F.col("removed"), F.col("words")).otherwise(0)).cast("long").alias("removed_words"),
+        _covered(spans).cast("long").alias("removed_words"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_doc")))).alias("first_docs"),
     )
     one = found.groupBy("__id", "__hash").agg(F.max("n_repeated").alias("n_repeated"), F.max("n_removed").alias("n_removed"), F.max("removed_words").alias("removed_words"), F.max("first_docs").alias("first_docs"))

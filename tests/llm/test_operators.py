@@ -139,6 +139,24 @@ def test_paragraphs(docs, rows, none):
     assert paragraphs.bands_for(0.8, 0.99) == 5
 
 
+def test_paragraphs_with_other_punctuation(spark):
+    rng = random.Random(11)
+    passages = [[rng.choice(VOCABULARY) for _ in range(50)] for _ in range(40)]
+    texts = []
+    for w in passages:  # the same words: in sentences of seven, in sentences of eleven, and without any
+        for step, tail in ((7, ".%%% "), (11, ".\n"), (99, "")):
+            texts.append(prose(rng, 30) + " " + "".join(x + (tail if i % step == step - 1 else " ") for i, x in enumerate(w)) + prose(rng, 30))
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(documents).collect()}
+    assert all(found[i] == texts[i] for i in range(0, len(texts), 3))
+    assert all(len(words(found[i])) <= len(words(texts[i])) - 25 for i in range(len(texts)) if i % 3)
+
+
+def test_paragraphs_of_one_repeating_text(spark):
+    documents = spark.createDataFrame([(0, "again " * 400)], "doc_id long, text string")
+    assert len(words(paragraphs.dedup_paragraphs(documents).first().text)) >= paragraphs.CHUNK
+
+
 def test_substrings(docs, rows, none):
     numbered = suffixdedup._numbered(docs)
     found = by_id(suffixdedup._without(docs, numbered, suffixdedup.repeated_bytes(numbered), False))
