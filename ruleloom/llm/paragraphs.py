@@ -2,8 +2,10 @@
 
 A text is cut into paragraphs at line ends, and within a line after each sentence of ``SENTENCE_WORDS``
 words or more. A cut depends on the sentence before it alone, so a passage that is set into other text
-keeps its inner cuts and its inner paragraphs are found again. Paragraphs of ``MIN_WORDS`` words or more
-count. Each has the set of its runs of ``SHINGLE`` words. Paragraphs of equal sets are one node; nodes that
+keeps its inner cuts and its inner paragraphs are found again. Neighbouring paragraphs of fewer than
+``MIN_WORDS`` words are joined to units of ``MIN_WORDS`` words or more. One that has no such neighbours makes
+further units with the paragraph before it and the one after it, which are equal to others or not, as runs
+are (see below); if its text holds no other, it is a unit itself. Each unit has the set of its runs of ``SHINGLE`` words. Paragraphs of equal sets are one node; nodes that
 share one of ``BANDS`` bands of ``ROWS`` MinHash values are candidates, verified by exact Jaccard
 similarity and joined into classes (module ``links``).
 
@@ -14,9 +16,8 @@ whatever the punctuation and the text around them. Runs are equal or not: one ch
 brings its similarity below the threshold, so they need no bands. Runs overlap each other and the sentences;
 a unit that overlaps the one of its class that stays, stays too.
 
-Of each class the first paragraph (smallest document id, null last) stays. Others go where a run of
-neighbouring paragraphs that go has ``RUN_WORDS`` words or more: a short line that many documents share is
-no repeated passage.
+Of each class the first paragraph (smallest document id, null last) stays and all others go. With
+``run_words``, an option that is off, they go only where neighbouring ones that go have so many words in all.
 
 ``bands_for`` tells how many bands a recall needs; the defaults find a pair at the threshold in 99.8 % of
 cases and the more similar ones practically always.
@@ -39,12 +40,12 @@ from pyspark.sql.window import Window
 
 from ruleloom.llm.common import written
 from ruleloom.llm.links import link
-from ruleloom.llm.textops import Slice, grams, mix, seeded, slices
+from ruleloom.llm.textops import Slice, _powers as powers, grams, mix, seeded, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
-SENTENCE_WORDS, MIN_WORDS, RUN_WORDS, CHUNK = 6, 6, 20, 25
+SENTENCE_WORDS, MIN_WORDS, CHUNK = 6, 6, 25
 BANDS, ROWS = 6, 2
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS, BITS = 400_000, 1 << 27
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,8 +54,40 @@ def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
+def _joined(first: np.ndarray, last: np.ndarray, words: np.ndarray, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """First and last words of the units that paragraphs give, and of further ones that overlap these: no paragraph is left out for being short."""
+    short = np.flatnonzero(words < MIN_WORDS)
+    begin = np.flatnonzero(np.append(True, (np.diff(short) > 1) | (docs[short[1:]] != docs[short[:-1]]))) if len(short) else short
+    own: list[tuple[int, int]] = []
+    more: list[tuple[int, int]] = []
+    for a, b in zip(short[begin].tolist(), short[np.append(begin[1:], len(short)) - 1].tolist() if len(short) else [], strict=True):
+        n, at, before = 0, a, len(own)
+        for i in range(a, b + 1):
+            n += int(words[i])
+            if n >= MIN_WORDS:
+                own.append((at, i))
+                n, at = 0, i + 1
+        if not n:
+            continue
+        if len(own) > before:
+            own[-1] = (own[-1][0], b)
+            continue
+        left, right = a > 0 and docs[a - 1] == docs[a], b + 1 < len(docs) and docs[b + 1] == docs[b]
+        if left:
+            more.append((a - 1, b))
+        if right:
+            more.append((a, b + 1))
+        if not left and not right:
+            own.append((a, b))
+    own_at, more_at = (np.array(x, np.int64).reshape(-1, 2) for x in (own, more))
+    long = words >= MIN_WORDS
+    first_own, last_own = np.append(first[long], first[own_at[:, 0]]), np.append(last[long], last[own_at[:, 1]])
+    order = np.argsort(first_own, kind="stable")
+    return (first_own[order], last_own[order]), (first[more_at[:, 0]], last[more_at[:, 1]])
+
+
 class Paragraphs:
-    """The paragraphs of a slice that count: document, order in it, bytes, words and shingles."""
+    """The units of a slice: document, order in it, bytes, words and shingles."""
 
     def __init__(self, piece: Slice):
         low = piece.lowered()
@@ -75,14 +108,16 @@ class Paragraphs:
         cut = last[hard[last] | (length >= SENTENCE_WORDS)]
         first = np.append(0, cut[:-1] + 1) if len(cut) else cut
         words = cut - first + 1
-        keep = words >= MIN_WORDS
-        first, cut, self.words = first[keep], cut[keep], words[keep]
-        self.docs, self.first = docs[first], first
+        (first, cut), self.more = _joined(first, cut, words, docs[first])
+        self.words, self.docs, self.first = cut - first + 1, docs[first], first
         self.hashes = low.hashes(starts, ends)
         self.grams = g = grams(self.hashes, SHINGLE)
-        size = self.words - SHINGLE + 1
+        size = np.maximum(self.words - SHINGLE + 1, 1)
         self.begin = np.cumsum(size) - size
-        self.shingles = g[np.repeat(first - self.begin, size) + np.arange(size.sum())] if len(first) else g[:0]
+        padded = np.append(g, np.zeros(SHINGLE - 1, np.uint64))
+        self.shingles = padded[np.repeat(first - self.begin, size) + np.arange(size.sum())] if len(first) else g[:0]
+        for u in np.flatnonzero(self.words < SHINGLE):  # a whole text of fewer words: all of them are its only item
+            self.shingles[self.begin[u]] = grams(self.hashes[first[u] : cut[u] + 1], int(self.words[u]))[0] ^ np.uint64(self.words[u])
         self.of = np.repeat(np.arange(len(first)), size)
 
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +135,22 @@ class Paragraphs:
         size = np.bincount(of, minlength=len(self.words))
         return mix(total + size.astype(np.uint64)).view(np.int64), size
 
-    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first word of each run of ``CHUNK`` words that counts, and a hash of its words."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and number of words of each unit that is equal to others or not, and a hash of its words."""
+        at = self.chunks()
+        first = np.append(at, self.more[0])
+        last = np.append(at + CHUNK - 1, self.more[1])
+        power, inverse = powers(len(self.hashes) + 1)
+        total = np.append(np.uint64(0), np.cumsum(self.hashes * power[: len(self.hashes)]))
+        words = last - first + 1
+        return first, words, mix((total[last + 1] - total[first]) * inverse[first] + words.astype(np.uint64)).view(np.int64)
+
+    def chunks(self) -> np.ndarray:
+        """The first word of each run of ``CHUNK`` words that counts."""
         g, docs = self.grams, self.word_docs
         n = len(docs) - CHUNK - SHINGLE + 2  # windows of CHUNK places
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         value, at, width = g, np.arange(len(g)), 1
         while width < CHUNK:  # the rightmost smallest of ``width`` places, from each place on
             step = min(width, CHUNK - width)
@@ -115,26 +160,22 @@ class Paragraphs:
         chosen = np.zeros(len(docs), bool)
         chosen[at[docs[:n] == docs[CHUNK + SHINGLE - 2 :]]] = True
         first = np.flatnonzero(chosen[: len(docs) - CHUNK + 1])
-        first = first[docs[first] == docs[first + CHUNK - 1]]
-        total = np.full(len(first), CHUNK, np.uint64)
-        for j in range(CHUNK):
-            total = total * _STEP + self.hashes[first + j]
-        return first, mix(total).view(np.int64)
-
-    def units(self) -> tuple[np.ndarray, ...]:
-        """Document, order in it, start, end, first word, words, node and whether it is a run, of all units in order."""
-        at, hashed = self.chunks()
-        first = np.append(self.first, at)
-        words = np.append(self.words, np.full(len(at), CHUNK))
-        chunk = np.append(np.zeros(len(self.first), bool), np.ones(len(at), bool))
-        node = np.append(self.nodes()[0], hashed)
+        return first[docs[first] == docs[first + CHUNK - 1]]
+
+    def units(self, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, order in it, start, end, first word, words and node of all units in order; of runs, those in ``bits``."""
+        at, length, hashed = self.runs()
+        held = _in_bits(bits, hashed)
+        first = np.append(self.first, at[held])
+        words = np.append(self.words, length[held])
+        node = np.append(self.nodes()[0], hashed[held])
         order = np.lexsort((words, first))
-        first, words, chunk, node = first[order], words[order], chunk[order], node[order]
+        first, words, node = first[order], words[order], node[order]
         docs = self.word_docs[first]
         nth = np.arange(len(first)) - np.searchsorted(docs, docs)
         begins = np.searchsorted(self.word_docs, docs)  # the document's first word
         offset = self.text.offsets[docs]
-        return docs, nth, self.word_starts[first] - offset, self.word_ends[first + words - 1] - offset, first - begins, words, node, chunk
+        return docs, nth, self.word_starts[first] - offset, self.word_ends[first + words - 1] - offset, first - begins, words, node
 
     def bands(self) -> np.ndarray:
         out = np.zeros((len(self.words), BANDS), np.uint64)
@@ -164,29 +205,59 @@ def _narrow(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
 
 
-def _repeated_chunks(documents: DataFrame) -> DataFrame:
-    """``wanted``: hashes of runs of words that stand in more than one place."""
-    found = _map(_narrow(documents).select("text"), "node long", lambda b, piece, p: [p.chunks()[1]])
-    return found.groupBy(F.col("node").alias("wanted")).agg(F.count("*").alias("n")).where("n > 1").select("wanted")
+def _in_bits(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return (bits[node & (BITS // 64 - 1)] >> ((node.view(np.uint64) >> np.uint64(32)) & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _repeated_runs(documents: DataFrame) -> np.ndarray:
+    """A table of ``BITS`` bits with those of all runs that stand in more than one place, and by chance of some others."""
+    found = _map(_narrow(documents).select("text"), "node long", lambda b, piece, p: [p.runs()[2]])
+    several = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    at = F.col("node").bitwiseAND(F.lit(BITS // 64 - 1).cast("long")).alias("at")
+    table = several.groupBy(at).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(node, 32) & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[table.column("at").to_numpy()] = table.column("bits").to_numpy()
+    return bits.view(np.uint64)
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
     """``doc_id, text_hash, nth, start, end, word, words, node, row``; start and end count UTF-8 bytes.
 
-    Runs of words are among them where they stand in more than one place. ``row - nth`` tells the documents apart.
+    Most runs that stand in one place only are left out here; the others are when classes are counted.
+    ``row - nth`` tells the documents apart.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
+    bits = documents.sparkSession.sparkContext.broadcast(_repeated_runs(documents))
 
     def columns(b, piece, p):
-        docs, nth, start, end, word, words, node, chunk = p.units()
+        docs, nth, start, end, word, words, node = p.units(bits.value)
         at = pa.array(docs + piece.first)
-        return [b.column("doc_id").take(at), b.column("text_hash").take(at), nth.astype(np.int32), start, end, word.astype(np.int32), words.astype(np.int32), node, chunk]
+        return [b.column("doc_id").take(at), b.column("text_hash").take(at), nth.astype(np.int32), start, end, word.astype(np.int32), words.astype(np.int32), node]
+
+    schema = f"doc_id {id_type}, text_hash long, nth int, start long, end long, word int, words int, node long"
+    return _map(_narrow(documents), schema, columns).withColumn("row", F.monotonically_increasing_id())
 
-    schema = f"doc_id {id_type}, text_hash long, nth int, start long, end long, word int, words int, node long, chunk boolean"
-    units = _map(_narrow(documents), schema, columns).withColumn("row", F.monotonically_increasing_id())
-    several = _few(written(_repeated_chunks(documents), "par-chunks"))
-    found = units.join(several, F.col("chunk") & (F.col("node") == F.col("wanted")), "left")
-    return found.where("not chunk or wanted is not null").drop("chunk", "wanted")
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """The distinct entries of buckets that hold several nodes: one shuffle, then a pass over the sorted rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, follows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
+        for b in batches:
+            bucket, node, size = (np.append(h, c.to_numpy()) for h, c in zip(held, b.columns, strict=True))
+            if not len(bucket):
+                continue
+            new = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))
+            bucket, node, size = bucket[new], node[new], size[new]
+            like_next = bucket[1:] == bucket[:-1]
+            like_before = np.append(follows, like_next)
+            keep = like_before[:-1] | like_next  # the last row waits for the one after it
+            yield pa.record_batch([pa.array(x[:-1][keep]) for x in (bucket, node, size)], names=["bucket", "node", "size"])
+            held, follows = [bucket[-1:], node[-1:], size[-1:]], bool(like_before[-1])
+        if follows:
+            yield pa.record_batch([pa.array(x) for x in held], names=["bucket", "node", "size"])
+
+    return entries.repartition(F.col("bucket")).sortWithinPartitions("bucket", "node").mapInArrow(rows, "bucket long, node long, size int")
 
 
 def _few(wanted: DataFrame) -> DataFrame:
@@ -214,17 +285,14 @@ def _sets(documents: DataFrame) -> DataFrame:
     return _map(_narrow(documents).select("text"), "node long, items array<long>", columns)
 
 
-def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Paragraphs of classes of two or more, in runs of ``RUN_WORDS`` words or more.
+def repeated(documents: DataFrame, threshold: float = THRESHOLD, run_words: int = 0) -> DataFrame:
+    """Paragraphs of classes of two or more; with ``run_words`` those in runs of so many words or more.
 
     ``doc_id, text_hash, nth, start, end, word, words, class, first_doc, removed``: ``first_doc`` holds the
     paragraph that stays; ``removed`` is true where this one goes.
     """
     units = written(paragraphs(documents), "par-units")
-    dealt = _entries(documents).repartition(F.col("bucket"))
-    # The size is asked for so that both readers of the buckets want the same columns and share one shuffle.
-    several = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("most")).where("lo <> hi and most > 0").select("bucket")
-    entries = written(dealt.join(several, "bucket", "left_semi").distinct(), "par-entries")
+    entries = written(_shared(_entries(documents)), "par-entries")
     wanted = _few(written(entries.select(F.col("node").alias("wanted")).distinct(), "par-wanted"))
     sets = written(_sets(documents).join(wanted, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]), "par-sets")
     linked = link(entries, sets, threshold, "par")
@@ -238,6 +306,8 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     marked = written(same.withColumn("first_doc", F.col("first.doc_id")).drop("first", "n", "node"), "par-marked")
     # A class whose members all overlap its first one stands in one place only.
     marked = marked.join(marked.where("removed").select("class").distinct(), "class", "left_semi")
+    if not run_words:
+        return marked
 
     def long_runs(rows: DataFrame) -> DataFrame:
         own = Window.partitionBy("doc_id", "text_hash", document)
@@ -245,17 +315,17 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         run = rows.withColumn("cut", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("cut").over(own.orderBy("word", "row")))
         in_run = Window.partitionBy("doc_id", "text_hash", document, "run")
         total = F.max(to).over(in_run) - F.min("word").over(in_run)
-        return run.withColumn("total", total).where(F.col("total") >= RUN_WORDS).drop("cut", "run", "total")
+        return run.withColumn("total", total).where(F.col("total") >= run_words).drop("cut", "run", "total")
 
     gone = long_runs(marked.where("removed")).select("row", F.lit(True).alias("goes"))
     kept = long_runs(marked).drop("removed")
     return kept.join(gone, "row", "left").withColumn("removed", F.coalesce("goes", F.lit(False))).drop("goes")
 
 
-def dedup_paragraphs(documents: DataFrame) -> DataFrame:
+def dedup_paragraphs(documents: DataFrame, run_words: int = 0) -> DataFrame:
     """The documents without the passages that go, with all their columns."""
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    gone = repeated(documents).where("removed").withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    gone = repeated(documents, run_words=run_words).where("removed").withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
     between = F.when(F.col("from") < F.col("start"), F.struct("from", F.col("start").alias("to")))  # what stays before this unit
     spans = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(between)).alias("__stays"), F.max("end").alias("__end"))
     text = F.col("text").cast("string")

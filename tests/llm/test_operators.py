@@ -157,6 +157,22 @@ def test_paragraphs_of_one_repeating_text(spark):
     assert len(words(paragraphs.dedup_paragraphs(documents).first().text)) >= paragraphs.CHUNK
 
 
+def test_short_paragraphs(spark):
+    rng = random.Random(13)
+    notice = "All rights of this text are reserved."  # 7 words
+    verse = "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(4)) for _ in range(15))
+    texts = [f"{prose(rng, 30)}\n{notice}\n{prose(rng, 30)}" for _ in range(4)]
+    texts += [verse, verse, "A short text copied whole, of nine words", "A short text copied whole, of nine words!", "Thank you", "thank you!"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(documents).collect()}
+    assert all(found[i] == texts[i] for i in (0, 4, 6, 8))
+    assert all(words(found[i]) == words(texts[i].replace(notice, "")) for i in (1, 2, 3))
+    assert [words(found[i]) for i in (7, 9)] == [[], []]
+    assert not words(found[5])
+    kept = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(documents, run_words=20).collect()}
+    assert all(kept[i] == texts[i] for i in range(len(texts)) if i != 5) and not words(kept[5])
+
+
 def test_substrings(docs, rows, none):
     numbered = suffixdedup._numbered(docs)
     found = by_id(suffixdedup._without(docs, numbered, suffixdedup.repeated_bytes(numbered), False))
