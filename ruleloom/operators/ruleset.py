@@ -55,8 +55,15 @@ class RuleSet:
     def from_spark(cls, spark: SparkSession, path: str, options: Options = Options()) -> RuleSet:
         """The same for a folder in any store that Spark reads."""
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yml").load(path)
-        rules, failed = [], []
-        for row in files.where(F.col("length") <= MAX_RULE_BYTES).orderBy("path").limit(MAX_FILES).select("path", "content").collect():
+        rules, failed, last = [], [], ""
+        for n, row in enumerate(files.select("path", "length").orderBy("path").toLocalIterator(), 1):
+            if n > MAX_FILES:
+                failed.append((row.path, f"more than {MAX_FILES} rule files"))
+            elif row.length > MAX_RULE_BYTES:
+                failed.append((row.path, "the file is larger than 1 MB"))
+            last = row.path if n <= MAX_FILES else last
+        taken = files.where((F.col("length") <= MAX_RULE_BYTES) & (F.col("path") <= F.lit(last)))
+        for row in taken.orderBy("path").select("path", "content").collect():
             try:
                 rules += rules_from_text(bytes(row.content), row.path)
             except (RuleError, UnicodeDecodeError) as e:

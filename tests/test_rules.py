@@ -174,3 +174,14 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     found = match(spark.read.parquet(str(tmp_path / "t")), make_rule("t", "s and not f", s={"v|contains": "x"}, f={"w": [1, 2]})).select("v")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(v,x)" in plan and "ReadSchema: struct<v:string,w:bigint>" in plan
+
+
+def test_rule_folder_names_the_files_it_skips(spark, tmp_path, monkeypatch):
+    from ruleloom.operators import ruleset
+
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.yml").write_text("x" * (2 << 20) if name == "a" else "not: a rule")
+    monkeypatch.setattr(ruleset, "MAX_FILES", 2)
+    local, remote = RuleSet.from_directory(str(tmp_path)), RuleSet.from_spark(spark, str(tmp_path))
+    assert [x[0].rsplit("/", 1)[1] for x in sorted(remote.failed)] == ["a.yml", "b.yml", "c.yml"]
+    assert remote.metadata() == local.metadata()
