@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +16,71 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; without a setting only a local session has one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/checkpoints/ruleloom"
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/ruleloom-{spark.sparkContext.applicationId}"
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads neither recompute it nor lose it."""
+    """Write ``df`` to the shared folder and read it back: later reads neither recompute it nor lose it.
+
+    The shuffle files of the write go when it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ruleloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
+
+
+def with_row_numbers(documents: DataFrame) -> DataFrame:
+    """``documents`` with a number for each row, ``__doc``: the integer id where ids are unique and not null.
+
+    Else rows are numbered in the order in which they are read, and written, so that the numbers stay.
+    """
+    if documents.schema["doc_id"].dataType.simpleString() in ("int", "bigint", "smallint", "tinyint"):
+        n = documents.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+        if n.rows == n.ids:
+            return documents.withColumn("__doc", F.col("doc_id").cast("long"))
+    return written(documents.withColumn("__doc", F.monotonically_increasing_id()), "numbered")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for t in tables:
+        _delete(t.sparkSession, _paths.pop(id(t))[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    """At the end of the driver's program, what results were read from goes too."""
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended before
+        for df, path in list(_paths.values()):
+            if df.sparkSession._jsc.sc().isStopped():
+                break
+            _delete(df.sparkSession, path)
 
 
 def words_alnum(text: Column) -> Column:

@@ -13,7 +13,9 @@ is found is verified on the words themselves. Variants are hashed in linear time
 its words hashed with their positions, from running xors over the line.
 
 Only lines that can have a partner emit variants: an edit leaves the first or the second half of the
-shorter line alone, so a line none of whose halves occurs in another line has no partner.
+shorter line alone, so a line none of whose halves occurs in another line has no partner. Lines that emit
+variants are numbered in the order of their places (range partitions, sorted), so that a variant is three
+numbers and the earliest of a group is a plain minimum.
 
 Edge cases: null and empty texts have no lines; lines without words always stay; rows equal in id and
 text are one document and get the same result; an empty table gives an empty result; columns other than
@@ -26,47 +28,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.common import LOWER, UPPER, written
+from ruleloom.llm.common import LOWER, UPPER, discard, written
 
 FUZZY_WORDS, ROW_WORDS = 8, 64
-NOT_WORD_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 100_000
+#: Runs of what is no word of a lower-cased line; single characters, as a regular expression tests these by one look-up.
+NOT_WORD_IN_LINE = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+WORD_IN_TEXT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Characters beyond ASCII that Unicode lower-casing may change.
+OTHER_CASE = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{P}]"
+
+
+def _text(column: str = "text") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def _hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _line_words(line: Column) -> Column:
+    """The words of a line, A-Z in lower case."""
+    low = F.when(F.rlike(line, F.lit(OTHER_CASE)), F.translate(line, UPPER, LOWER)).otherwise(F.lower(line))
+    return F.array_remove(F.split(low, NOT_WORD_IN_LINE), "")
+
+
 def _lines(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, line_no, line`` of the lines that have words: their words, one space between two."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD_IN_LINE, " ")
-    cut = documents.select("doc_id", _hash(text).alias("text_hash"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
-    return cut.withColumn("line", F.trim("line")).where("line <> ''")  # a word at least
+    """``doc_id, text_hash, line_no, words`` of the lines that have words."""
+    cut = documents.select("doc_id", _hash(_text()).alias("text_hash"), F.posexplode(F.split(_text(), "\n")).alias("line_no", "line"))
+    return cut.select("doc_id", "text_hash", "line_no", _line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
-def _half_keys(line: Column, n: Column) -> Column:
-    """Hashes of the halves that a partner of the same length ``n``, or one word shorter or longer, may share."""
-    keys = []
+def _half_keys(words: Column) -> Column:
+    """Hashes of the halves that a partner of the same length, or one word shorter or longer, may share."""
+    n, keys = F.size(words), []
     for least in (n - 1, n):  # words of the shorter line of a pair
         p = F.floor(least / 2).cast("int")
-        q = least - p
-        keys.append(F.xxhash64(F.lit(0), least, _substring_index(line, p)))
-        keys.append(F.xxhash64(F.lit(1), least, _substring_index(line, -q)))
+        keys.append(F.xxhash64(F.lit(0), least, F.slice(words, F.lit(1), p)))
+        keys.append(F.xxhash64(F.lit(1), least, F.slice(words, n - (least - p) + 1, least - p)))
     return F.when(n >= FUZZY_WORDS, F.array(*keys))
 
 
-def _substring_index(line: Column, n: Column) -> Column:
-    """The first ``n`` words of a line, or its last ``-n`` ones."""
-    return F.call_function("substring_index", line, F.lit(" "), n)
-
-
-def _place(doc_id="doc_id") -> Column:
-    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col("text_hash"), F.col("line_no"))
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``variant, at, key, place``: the whole line (``at`` -1) and each deletion of one word.
+    """``variant, at, line``: the whole line (``at`` -1) and each deletion of one word, of ``lines (line, words)``.
 
     With k[i] the hash of word i at its place and m[i] its hash one place earlier, the variant without word i is
     all m, xor k[i], xor the running xor of k and m up to i. Lines of up to ``ROW_WORDS`` words do this within
@@ -75,7 +82,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     few = lines.where(F.size("words") <= ROW_WORDS)
     zero = F.lit(0).cast("bigint")
     kept, moved = F.transform("words", lambda w, i: F.xxhash64(w, i)), F.transform("words", lambda w, i: F.xxhash64(w, i - 1))
-    few = few.select("key", "place", F.size("words").alias("n"), kept.alias("kept"), moved.alias("moved"))
+    few = few.select("line", F.size("words").alias("n"), kept.alias("kept"), moved.alias("moved"))
     start = F.struct(F.array().cast("array<bigint>").alias("to"), zero.alias("x"))
 
     def add(a, pair):
@@ -83,19 +90,19 @@ def _variants(lines: DataFrame) -> DataFrame:
         return F.struct(F.array_append(a["to"], x).alias("to"), x.alias("x"))
 
     xor = lambda c: F.aggregate(c, zero, lambda a, b: a.bitwiseXOR(b))
-    few = few.select("key", "place", "n", "kept", F.aggregate(F.arrays_zip("kept", "moved"), start, add)["to"].alias("to"), xor("moved").alias("all"), xor("kept").alias("whole"))
+    few = few.select("line", "n", "kept", F.aggregate(F.arrays_zip("kept", "moved"), start, add)["to"].alias("to"), xor("moved").alias("all"), xor("kept").alias("whole"))
     each = F.zip_with("kept", "to", lambda k, t: F.xxhash64(F.col("all").bitwiseXOR(k).bitwiseXOR(t), F.col("n") - 1))
-    few = few.select("key", "place", F.posexplode(F.concat(F.array(F.xxhash64("whole", "n")), each)).alias("at", "variant"))
-    few = few.select("variant", (F.col("at") - 1).alias("at"), "key", "place")
+    few = few.select("line", F.posexplode(F.concat(F.array(F.xxhash64("whole", "n")), each)).alias("at", "variant"))
+    few = few.select("variant", (F.col("at") - 1).alias("at"), "line")
 
-    one = lines.where(F.size("words") > ROW_WORDS).select("key", "place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    running = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    line = Window.partitionBy("key")
+    one = lines.where(F.size("words") > ROW_WORDS).select("line", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    running = Window.partitionBy("line").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("line")
     x = one.withColumn("kept", F.xxhash64("word", "at")).withColumn("moved", F.xxhash64("word", F.col("at") - 1)).drop("word")
     x = x.withColumn("to", F.bit_xor(F.col("kept").bitwiseXOR(F.col("moved"))).over(running))
     x = x.withColumn("all", F.bit_xor("moved").over(line)).withColumn("whole", F.bit_xor("kept").over(line))
-    deleted = x.select(F.xxhash64(F.col("all").bitwiseXOR(F.col("kept")).bitwiseXOR(F.col("to")), F.col("n") - 1).alias("variant"), "at", "key", "place")
-    whole = x.where("at = 0").select(F.xxhash64("whole", "n").alias("variant"), F.lit(-1).alias("at"), "key", "place")
+    deleted = x.select(F.xxhash64(F.col("all").bitwiseXOR(F.col("kept")).bitwiseXOR(F.col("to")), F.col("n") - 1).alias("variant"), "at", "line")
+    whole = x.where("at = 0").select(F.xxhash64("whole", "n").alias("variant"), F.lit(-1).alias("at"), "line")
     return few.union(deleted).union(whole)
 
 
@@ -108,52 +115,69 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (head + tail >= most - 1)
 
 
-def removed_lines(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, line_nos``: the lines that go, for documents where any goes."""
-    lines = _lines(documents).withColumn("n", F.size(F.split("line", " ")))
-    lines = lines.select("doc_id", "text_hash", "line_no", _half_keys(F.col("line"), F.col("n")).alias("halves"), F.xxhash64("line").alias("key"))
-    lines = written(lines, "line-keys")
-    first = written(lines.groupBy("key").agg(F.min(_place()).alias("place"), F.max(_place()).alias("last"), F.first("halves").alias("halves")), "line-first")
+def _partners(variants: DataFrame) -> DataFrame:
+    """``line, earlier``: for each line the earliest one of each group of equal variants that it is in."""
+    deleted, whole = variants.where("at >= 0"), variants.where("at < 0").select("variant", F.col("line").alias("whole"))
+    # Replaced words: the earliest line of the same variant and position.
+    groups = deleted.groupBy("variant", "at").agg(F.min("line").alias("earlier"), F.max("line").alias("last")).where("earlier < last").drop("last")
+    replaced = deleted.join(groups, ["variant", "at"]).where("line > earlier").select("line", "earlier")
+    # Inserted words: a line and the whole line that its deletion gives, in both directions.
+    met = deleted.join(whole, "variant")
+    longer = met.where("line > whole").select("line", F.col("whole").alias("earlier"))
+    shorter = met.where("line < whole").groupBy(F.col("whole").alias("line")).agg(F.min("line").alias("earlier"))
+    return replaced.union(longer).union(shorter).distinct()
+
 
-    halves = first.where("halves is not null").select("key", F.explode("halves").alias("half"))
+def _near(documents: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """``key``: lines at distance 1 from an earlier one."""
+    halves = lines.where("halves is not null").select("key", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("half")
     able = written(halves.join(shared, "half", "left_semi").select("key").distinct(), "line-able")
-    places = first.join(able, "key", "left_semi").select(F.col("key").alias("__key"), F.col("place.doc_id").alias("__id"), F.col("place.text_hash").alias("__hash"), F.col("place.line_no").alias("__no"))
-    if able.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("line_no") == F.col("__no"))
-    found = _lines(documents).join(places, same)
-    texts = found.select(F.col("__key").alias("key"), _place().alias("place"), F.split("line", " ").alias("words")).dropDuplicates(["key"])
-    texts = written(texts, "line-texts")
+    order = [F.col("doc_id").isNull(), "doc_id", "text_hash", "line_no"]
+    places = written(first.join(able, "key", "left_semi").select("key", "place.*").drop("none"), "line-places")
+    places_in_order = places.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("line", F.monotonically_increasing_id())
+    numbered = written(places_in_order, "line-order")
+
+    wanted = numbered.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("line", "line_no")).alias("wanted"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    cut = documents.select("doc_id", _hash(_text()).alias("text_hash"), _text().alias("text")).join(wanted, same)
+    cut = cut.select("wanted", F.split("text", "\n").alias("lines"))
+    each = F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get("lines", w["line_no"]).alias("text")))
+    cut = cut.select(F.inline(each)).dropDuplicates(["line"])  # rows that are equal in id and text
+    texts = written(cut.select("line", _line_words(F.col("text")).alias("words")), "line-texts")
 
     variants = written(_variants(texts), "line-variants")
-    whole = variants.where("at = -1").select("variant", F.col("key").alias("whole_key"), F.col("place").alias("whole_place"))
-    # Replaced words: the earliest line of the same variant and position.
-    groups = variants.where("at >= 0").groupBy("variant", "at").agg(F.min(F.struct("place", "key")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    replaced = variants.join(groups, ["variant", "at"]).where("place > e.place").select("key", "e")
-    # Inserted words: a line and the whole line that its deletion gives, in both directions.
-    met = variants.where("at >= 0").join(whole, "variant")
-    longer = met.where("place > whole_place").select("key", F.struct(F.col("whole_place").alias("place"), F.col("whole_key").alias("key")).alias("e"))
-    shorter = met.where("place < whole_place").groupBy(F.col("whole_key").alias("key")).agg(F.min(F.struct("place", "key")).alias("e"))
-    partner = replaced.union(longer).union(shorter).groupBy("key").agg(F.min("e").alias("e"))
-    pairs = partner.join(texts.select("key", "words"), "key").join(texts.select(F.col("key").alias("__key"), F.col("words").alias("other")), F.col("e.key") == F.col("__key"))
-    near = pairs.where(_within_one(F.col("words"), F.col("other"))).select("key", F.lit(True).alias("near"))
+    pairs = _partners(variants)
+    with_words = pairs.join(texts, "line").join(texts.select(F.col("line").alias("earlier"), F.col("words").alias("other")), "earlier")
+    near = with_words.where(_within_one(F.col("words"), F.col("other"))).select("line").distinct()
+    out = written(numbered.join(near, "line", "left_semi").select("key"), "line-near")
+    discard(able, places, numbered, texts, variants)
+    return out
 
-    decided = first.join(near, "key", "left").where("near or place <> last").select("key", "place", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(decided, "key").where(F.col("near") | (_place() != F.col("place")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
+
+def removed_lines(documents: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, line_nos``: the lines that go, for documents where any goes."""
+    lines = _lines(documents).select("doc_id", "text_hash", "line_no", F.xxhash64("words").alias("key"), _half_keys(F.col("words")).alias("halves"))
+    lines = written(lines, "line-keys")
+    first = lines.groupBy("key").agg(F.min(_place()).alias("place"), F.max(_place()).alias("last"))
+    first = written(first.select("key", "place", (F.col("place") != F.col("last")).alias("again")), "line-first")
+    near = _near(documents, lines, first)
+    decided = first.join(near.withColumn("near", F.lit(True)), "key", "left").where("near or again")
+    gone = lines.join(decided.select("key", "place", F.coalesce("near", F.lit(False)).alias("near")), "key").where(F.col("near") | (_place() != F.col("place")))
+    out = written(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("line_nos")), "line-gone")
+    discard(lines, first, near)
+    return out
 
 
 def _with_kept(documents: DataFrame) -> DataFrame:
     """All documents with their lines, the numbers of the lines that go, and the text that stays."""
     gone = removed_lines(documents).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "line_nos": "__gone"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_hash(text) == F.col("__hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_hash(_text()) == F.col("__hash"))
     joined = documents.join(gone, same, "left").drop("__id", "__hash")
-    lines = F.split(text, "\n")
+    lines = F.split(_text(), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("__kept", kept).withColumn("__n", F.when(text == "", 0).otherwise(F.size(lines)))
+    return joined.withColumn("__kept", kept).withColumn("__n", F.when(_text() == "", 0).otherwise(F.size(lines)))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -163,8 +187,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     the text where there is such a column.
     """
     columns = documents.columns
-    rest = F.regexp_replace(F.translate(F.col("__kept"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")
-    stays = _with_kept(documents).where(F.col("__gone").isNull() | (rest != ""))
+    stays = _with_kept(documents).where(F.col("__gone").isNull() | F.rlike("__kept", F.lit(WORD_IN_TEXT)))
     out = stays.drop("text").withColumnRenamed("__kept", "text")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
