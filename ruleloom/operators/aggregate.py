@@ -2,6 +2,11 @@
 
 A running aggregation reports, for every event, the value of its group so far and whether it passes the
 threshold. With a window it covers the last seconds only. The order is (time, id), which makes ties definite.
+
+No group is sorted in one task, however large: its events are dealt into slices of time. Without a window each
+slice is aggregated on its own, and the sum of the slices before it, a small table, is added to its running
+values. With a window slices are at least as long as the window, and take along the events of the window
+before their start.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
@@ -22,6 +27,7 @@ from ruleloom.plans.rule import Rule, RuleError
 EPSILON, HUGE = 2.220446049250313e-16, 1.7976931348623157e308
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
 COMPARISONS = (">=", "<=", "==", "!=", ">", "<")
+SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -110,16 +116,70 @@ def _over(spec: Aggregation, x: Column, w: WindowSpec | None) -> Column:
     return value[spec.function]()
 
 
-def running(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_id") -> DataFrame:
-    """Add ``group``, ``value`` and ``triggered`` to every event."""
-    out = df.withColumn("group", group_text(df, spec.by_field)).withColumn("__x", number_or_zero(df, spec.field))
-    if spec.window is None:
-        w = Window.partitionBy("group").orderBy(ts, id_).rowsBetween(Window.unboundedPreceding, 0)
+def _with_slices(df: DataFrame) -> DataFrame:
+    """Add ``__slice``, which grows with ``__t``: about as many events in each."""
+    steps = [i / SLICES for i in range(1, SLICES)]
+    bounds = df.agg(F.percentile_approx("__t", steps, 1000)).first()[0]
+    after = " + ".join(f"int(__t > {b}L)" for b in sorted(set(bounds or ()))) or "0"
+    return df.withColumn("__slice", F.coalesce(F.expr(after), F.lit(-1)))  # no time comes first
+
+
+def _with_frames(df: DataFrame, seconds: float) -> DataFrame:
+    """Add ``__slice``, and the events of the last ``seconds`` before a slice to it, with ``__ghost`` set."""
+    reach = int(seconds * 1e6)
+    low, high = df.agg(F.min("__t"), F.max("__t")).first()
+    width = max(reach, ((high or 0) - (low or 0)) // SLICES + 1)
+    t = F.col("__t") - F.lit(low or 0)
+    own = F.coalesce(F.floor(t / F.lit(width)).cast("long"), F.lit(-1))
+    # Of each event the next slice takes a copy where it starts within reach.
+    to = F.when((own >= 0) & ((own + 1) * F.lit(width) - t <= F.lit(reach)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = df.withColumn("__next", F.explode(to))
+    return out.withColumn("__slice", own + F.col("__next")).withColumn("__ghost", F.col("__next") == 1).drop("__next")
+
+
+def _free(df: DataFrame, *names: str) -> None:
+    if taken := [n for n in names if n in df.columns]:
+        raise ValueError(f"the events have columns of these names already: {taken}")
+
+
+def running(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_id", group: str = "group", value: str = "value_agg", triggered: str = "triggered") -> DataFrame:
+    """Add the group, its value so far and whether that passes the threshold to every event, in columns of these names."""
+    _free(df, group, value, triggered)
+    out = df.withColumn(group, group_text(df, spec.by_field)).withColumn("__x", number_or_zero(df, spec.field)).withColumn("__t", _micros(df, ts))
+    if spec.window is not None:
+        w = Window.partitionBy(group, "__slice").orderBy("__t").rangeBetween(-int(spec.window * 1e6), 0)
+        found = _with_frames(out, spec.window).withColumn(value, _over(spec, F.col("__x"), w)).where("not __ghost")
     else:
-        out = out.withColumn("__t", _micros(df, ts))
-        w = Window.partitionBy("group").orderBy("__t").rangeBetween(-int(spec.window * 1e6), 0)
-    value = _over(spec, F.col("__x"), w)
-    return out.withColumn("value_agg", value).withColumn("triggered", compare(F.col("value_agg"), spec.comparison, spec.threshold)).drop("__x", "__t")
+        found = _prefixed(_with_slices(out), spec, group, value, ts, id_)
+    return found.withColumn(triggered, compare(F.col(value), spec.comparison, spec.threshold)).select(*[F.col(f"`{c}`") for c in df.columns], group, value, triggered)
+
+
+def _prefixed(sliced: DataFrame, spec: Aggregation, group: str, value: str, ts: str, id_: str) -> DataFrame:
+    """Running values within slices, and what the slices before add to them."""
+    finite = F.nanvl(F.col("__x"), F.lit(None).cast("double"))
+    parts = {"n": (F.count, F.sum, F.lit(1)), "sum": (F.sum, F.sum, F.col("__x")), "min": (F.min, F.min, finite), "max": (F.max, F.max, finite)}
+    needed = {"count": ["n"], "sum": ["sum"], "avg": ["n", "sum"], "min": ["min"], "max": ["max"]}[spec.function]
+    whole = sliced.groupBy(group, "__slice").agg(*[parts[k][0](parts[k][2]).alias(f"__{k}") for k in needed])
+    before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a group
+    carried = whole.select(F.col(group).alias("__group"), F.col("__slice").alias("__in"), *[parts[k][1](f"__{k}").over(before).alias(f"__{k}_before") for k in needed])
+    w = Window.partitionBy(group, "__slice").orderBy(ts, id_).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumns({f"__{k}": parts[k][0](parts[k][2]).over(w) for k in needed})
+    both = local.join(carried, (F.col(group) == F.col("__group")) & (F.col("__slice") == F.col("__in")))
+    add = lambda k: F.col(f"__{k}") + F.coalesce(F.col(f"__{k}_before"), F.lit(0))
+    total = {
+        "count": lambda: add("n").cast("double"),
+        "sum": lambda: add("sum"),
+        "avg": lambda: add("sum") / add("n"),
+        "min": lambda: F.coalesce(F.least("__min", "__min_before"), F.lit(HUGE)),
+        "max": lambda: F.coalesce(F.greatest("__max", "__max_before"), F.lit(-HUGE)),
+    }
+    return both.withColumn(value, total[spec.function]())
+
+
+def statistics(df: DataFrame, spec: Aggregation) -> tuple[DataFrame, Observation]:
+    """The events, and what Spark observes as they pass: ``total_evaluations`` and, about, ``active_groups``."""
+    seen = Observation(f"aggregation-{spec.function}")
+    return df.observe(seen, F.count(F.lit(1)).alias("total_evaluations"), F.approx_count_distinct(group_text(df, spec.by_field)).alias("active_groups")), seen
 
 
 def per_group(df: DataFrame, spec: Aggregation) -> DataFrame:
@@ -131,23 +191,39 @@ def per_group(df: DataFrame, spec: Aggregation) -> DataFrame:
 
 def tumbling(df: DataFrame, spec: Aggregation, ts: str = "ts") -> DataFrame:
     """``group, start, value_agg`` per window of ``spec.window`` seconds; works on streams with a watermark."""
-    out = df.withColumn("group", group_text(df, spec.by_field)).withColumn("__x", number_or_zero(df, spec.field))
+    out = df.select(F.col(ts), group_text(df, spec.by_field).alias("group"), number_or_zero(df, spec.field).alias("__x"))
     by = F.window(F.col(ts).cast("timestamp"), f"{spec.window} seconds")
     total = out.groupBy("group", by).agg(_over(spec, F.col("__x"), None).alias("value_agg"))
     return total.select("group", F.col("window.start").alias("start"), "value_agg").where(compare(F.col("value_agg"), spec.comparison, spec.threshold))
 
 
+def sessions(df: DataFrame, spec: Aggregation, gap_seconds: float, ts: str = "ts") -> DataFrame:
+    """``group, start, end, value_agg`` per session, which ends ``gap_seconds`` after its last event; works on streams too."""
+    out = df.withColumn("__group", group_text(df, spec.by_field)).withColumn("__x", number_or_zero(df, spec.field))
+    by = F.session_window(F.col(ts).cast("timestamp"), f"{int(gap_seconds * 1e6)} microseconds").alias("session")
+    total = out.groupBy("__group", by).agg(_over(spec, F.col("__x"), None).alias("value_agg"))
+    found = total.select(F.col("__group").alias("group"), F.col("session.start").alias("start"), F.col("session.end").alias("end"), "value_agg")
+    return found.where(compare(F.col("value_agg"), spec.comparison, spec.threshold))
+
+
 def sliding(df: DataFrame, seconds: float, value: str, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
     """Add the sum, count and first and last time of the last ``seconds`` before each event, itself included.
 
     A sum that isn't finite is the largest double.
     """
-    out = df.withColumn("__t", _micros(df, ts))
-    w = Window.partitionBy(*by).orderBy("__t").rangeBetween(-int(seconds * 1e6), 0)
+    out = _with_frames(df.withColumn("__t", _micros(df, ts)), seconds)
+    w = Window.partitionBy(*by, "__slice").orderBy("__t").rangeBetween(-int(seconds * 1e6), 0)
     total = F.sum(F.col(value).cast("double")).over(w)
     odd = F.isnan(total) | (F.abs(total) == float("inf"))
     added = {"window_sum": F.when(odd, HUGE).otherwise(total), "window_count": F.count(F.lit(1)).over(w), "window_first": F.min(ts).over(w), "window_last": F.max(ts).over(w)}
-    return out.withColumns(added).drop("__t")
+    return out.withColumns(added).where("not __ghost").drop("__t", "__slice", "__ghost")
+
+
+def values_at(df: DataFrame, instants: DataFrame, seconds: float, value: str, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
+    """``instants`` (columns ``ts`` and ``by``) with ``window_sum``, the sum of the values of the last ``seconds`` up to each."""
+    asked = instants.select(F.col(ts), *by, F.lit(0.0).alias("__value"), F.lit(True).alias("__asked"))
+    events = df.select(F.col(ts), *by, F.col(value).cast("double").alias("__value"), F.lit(False).alias("__asked"))
+    return sliding(events.union(asked), seconds, "__value", ts, by).where("__asked").select(ts, *by, "window_sum")
 
 
 _AGGREGATION = re.compile(r"(?i)(count|sum|avg|min|max)\s*\(\s*([\w.\-@]*)\s*\)(?:\s+by\s+([\w.\-@]+))?\s*(>=|<=|==|!=|=|>|<)\s*(-?\d+(?:\.\d+)?)")

@@ -1,7 +1,8 @@
 """Rule sets: many rules in one pass over the events.
 
-All rules become expressions of one projection: no join with the rules and one scan whatever their number.
-The expressions are dealt into arrays of ``CHUNK`` rules, which keeps generated code small enough to compile.
+All rules become expressions over one projection of their leaves: no join with the rules, one scan whatever
+their number, and a leaf that several rules have is computed once an event. Rules are SQL text over the
+leaves' names, dealt into arrays of ``CHUNK`` rules, which keeps generated code small enough to compile.
 """
 
 from __future__ import annotations
@@ -13,13 +14,21 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.plans.compile import Compiler, Options, RuleWarning
+from ruleloom.plans.compile import Compiler, LeafCompiler, Options, RuleWarning
 from ruleloom.plans.rule import MAX_RULE_BYTES, Rule, RuleError, rules_frame, rules_from_text
 from ruleloom.sources.events import event_schema
 
 CHUNK, MAX_FILES = 25, 10_000
 
 
+def quoted(text: str | None) -> str:
+    """A text as a literal of Spark SQL."""
+    if text is None:
+        return "cast(null as string)"
+    # A dollar sign is escaped as well: Spark replaces ${name} in SQL text.
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
 class RuleSet:
     """An immutable set of rules; every change returns a new set."""
 
@@ -104,53 +113,63 @@ class RuleSet:
 
     # -- evaluation ---------------------------------------------------------------------------------
 
-    def _compiled(self, df: DataFrame, exact: bool) -> tuple[DataFrame, list[tuple[Rule, Column]]]:
+    def _compiled(self, df: DataFrame) -> tuple[DataFrame, list[tuple[Rule, Column]]]:
         events = event_schema(df)
         compiler = Compiler(events, self.options)
-        found = [(r, compiler.rule(r, exact)) for r in self.enabled]
+        found = [(r, compiler.rule(r)) for r in self.enabled]
         return events.bind(df), found
 
+    def _leaves(self, df: DataFrame, exact: bool) -> tuple[DataFrame, list[tuple[Rule, str]]]:
+        """The events with a column for each leaf, and each rule as SQL text over these."""
+        prefix = "__p"
+        while any(c.startswith(prefix) for c in df.columns):
+            prefix += "_"
+        events = event_schema(df)
+        compiler = LeafCompiler(events, self.options, prefix)
+        found = [(r, compiler.rule(r, exact)) for r in self.enabled]
+        return events.bind(df).select(*[F.col(f"`{c}`") for c in df.columns], *compiler.columns), found
+
     @staticmethod
-    def _arrays(items: list[Column], kind: str) -> Column:
+    def _array(items: list[str], kind: str) -> Column:
         if not items:
             return F.array().cast(f"array<{kind}>")
-        chunks = [F.array(*items[i : i + CHUNK]) for i in range(0, len(items), CHUNK)]
-        return F.concat(*chunks) if len(chunks) > 1 else chunks[0]
+        chunks = [f"array({', '.join(items[i : i + CHUNK])})" for i in range(0, len(items), CHUNK)]
+        return F.expr(f"concat({', '.join(chunks)})" if len(chunks) > 1 else chunks[0])
 
     def evaluate(self, df: DataFrame, column: str = "results") -> DataFrame:
         """Add every rule's outcome: ``array<struct<rule_id, rule_title, matched, applicable>>``."""
-        bound, rules = self._compiled(df, exact=True)
-        items = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_title"), F.coalesce(p, F.lit(False)).alias("matched"), p.isNotNull().alias("applicable")) for r, p in rules]
+        bound, rules = self._leaves(df, exact=True)
+        items = [f"named_struct('rule_id', {quoted(r.id)}, 'rule_title', {quoted(r.title)}, 'matched', coalesce({p}, false), 'applicable', ({p}) IS NOT NULL)" for r, p in rules]
         kind = "struct<rule_id: string, rule_title: string, matched: boolean, applicable: boolean>"
-        return bound.select(*df.columns, self._arrays(items, kind).alias(column))
+        return bound.select(*[F.col(f"`{c}`") for c in df.columns], self._array(items, kind).alias(column))
 
     def _hits(self, df: DataFrame, column: str) -> DataFrame:
         """Add the numbers of the rules that match."""
-        bound, rules = self._compiled(df, exact=False)
-        items = [F.when(p, F.lit(i)) for i, (_, p) in enumerate(rules)]
-        chunks = [F.array_compact(F.array(*items[i : i + CHUNK])) for i in range(0, len(items), CHUNK)]
-        hits = F.concat(*chunks) if len(chunks) > 1 else chunks[0] if chunks else F.array().cast("array<int>")
-        return bound.select(*df.columns, hits.alias(column))
+        bound, rules = self._leaves(df, exact=False)
+        items = [f"if({p}, {i}, null)" for i, (_, p) in enumerate(rules)]
+        return bound.select(*[F.col(f"`{c}`") for c in df.columns], F.array_compact(self._array(items, "int")).alias(column))
 
     def matches(self, df: DataFrame) -> DataFrame:
         """One row per event and matching rule, with ``rule_id`` and ``rule_title``."""
-        hit = self._hits(df, "__rules").select(*df.columns, F.explode("__rules").alias("__rule"))
+        hit = self._hits(df, "__rules").select(*[F.col(f"`{c}`") for c in df.columns], F.explode("__rules").alias("__rule"))
         return self._named(hit, "__rule")
 
     def _named(self, df: DataFrame, number: str) -> DataFrame:
         if not self.enabled:
             return df.withColumn("rule_id", F.lit(None).cast("string")).withColumn("rule_title", F.lit(None).cast("string")).drop(number)
-        pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col(number))
+        pick = lambda values: F.get(self._array([quoted(v) for v in values], "string"), F.col(number))
         return df.withColumn("rule_id", pick([r.id for r in self.enabled])).withColumn("rule_title", pick([r.title for r in self.enabled])).drop(number)
 
     def counts(self, df: DataFrame) -> DataFrame:
-        """``rule_id, rule_title, n`` of matching events, for rules that match any."""
-        hit = self._hits(df, "__rules").select(F.explode("__rules").alias("__rule")).groupBy("__rule").agg(F.count("*").alias("n"))
+        """``rule_id, rule_title, n`` of matching events, for rules that match any: partial counts of all rules, summed up."""
+        bound, rules = self._leaves(df, exact=False)
+        total = bound.agg(self._array([f"count_if({p})" for _, p in rules], "long").alias("n"))
+        hit = total.select(F.posexplode("n").alias("__rule", "n")).where("n > 0")
         return self._named(hit, "__rule").select("rule_id", "rule_title", "n")
 
     def any_match(self, df: DataFrame) -> DataFrame:
         """The events that any rule matches; one filter, pushed to the scan where all its parts can be."""
-        bound, rules = self._compiled(df, exact=False)
+        bound, rules = self._compiled(df)
         if not rules:
             return df.limit(0)
         found = rules[0][1]
@@ -163,8 +182,9 @@ class RuleSet:
         ts = F.col(ts_column) if ts_column else F.current_timestamp()
         event = F.to_json("event") if "event" in df.columns and df.schema["event"].dataType.typeName() == "variant" else F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
         hit = self._hits(df, "__rules").select(ts.alias("timestamp"), event.alias("event"), F.explode("__rules").alias("__rule"))
-        tags = F.get(F.array(*[F.array(*[F.lit(t) for t in r.tags]).cast("array<string>") for r in self.enabled]), F.col("__rule")) if self.enabled else F.lit(None)
-        level = F.get(F.array(*[F.lit(r.level) for r in self.enabled]), F.col("__rule")) if self.enabled else F.lit(None)
+        lists = [f"cast(array({', '.join(quoted(t) for t in r.tags)}) as array<string>)" for r in self.enabled]
+        tags = F.get(self._array(lists, "array<string>"), F.col("__rule"))
+        level = F.get(self._array([quoted(r.level) for r in self.enabled], "string"), F.col("__rule"))
         return self._named(hit.withColumn("tags", tags).withColumn("level", level), "__rule")
 
     def alerts_json(self, df: DataFrame, ts_column: str | None = None) -> DataFrame:

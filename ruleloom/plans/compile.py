@@ -39,6 +39,8 @@ class Options:
     case_insensitive: ignore the case of A-Z. glob_question: ``?`` alone makes a value a glob.
     strict: unknown modifiers are errors, and ``all`` over values of mixed types means all of them.
     lenient: items of a selection that don't compile are left out with a warning.
+    keyword_lists: a selection that is a list of texts is about the event's keywords, not a field of its name.
+    max_wildcards: how many of ``*`` and ``?`` a condition's ``1 of name*`` may hold, without two in a row.
     """
 
     missing_field: str = "reference"
@@ -46,6 +48,8 @@ class Options:
     glob_question: bool = False
     strict: bool = False
     lenient: bool = False
+    keyword_lists: bool = False
+    max_wildcards: int | None = None
     regex: P.RegexLimits = P.RegexLimits()
     modifiers: dict[str, Modifier] = field(default_factory=dict)
 
@@ -81,25 +85,41 @@ class Compiler:
         condition, aggregation = split_aggregation(rule.condition)
         if aggregation is not None:
             raise RuleError("a condition with an aggregation needs operators.aggregate.rule_alerts")
-        return self.expression(parse(condition, rule.detection), rule, exact)
+        return self.expression(parse(condition, rule.detection, self.options.max_wildcards), rule, exact)
 
     def expression(self, node, rule: Rule, exact: bool) -> Column:
         if isinstance(node, Name):
             return self.selection(node.name, rule.detection[node.name], rule.collapse_whitespace, exact)
         if isinstance(node, Not):
-            return ~self.expression(node.of, rule, True)
+            return self.negated(self.expression(node.of, rule, True))
         items = [self.expression(x, rule, exact) for x in node.of]
-        return all_of(items, exact) if isinstance(node, And) else any_of(items, exact)
+        return self.all_of(items, exact) if isinstance(node, And) else self.any_of(items, exact)
+
+    all_of, any_of = staticmethod(all_of), staticmethod(any_of)
+
+    @staticmethod
+    def negated(item: Column) -> Column:
+        return ~item
 
     def selection(self, name: str, value: Any, collapse: bool = True, exact: bool = False) -> Column:
-        """A map is all of its fields, a list any of its items; bare values belong to the field of that name."""
+        """A map is all of its fields, a list any of its items; bare values belong to the field of that name.
+
+        With ``keyword_lists``, a list of texts asks for an event that has all of them as its keywords.
+        """
         if isinstance(value, dict):
             keys = sorted(value, key=str)
-            return all_of(self._kept([lambda k=k: self.field(str(k), value[k], collapse) for k in keys], name), exact)
+            return self.all_of(self._kept([lambda k=k: self.field(str(k), value[k], collapse) for k in keys], name), exact)
         if isinstance(value, list) and any(isinstance(x, dict) for x in value):
-            return any_of(self._kept([lambda x=x: self.selection(name, x, collapse, exact) for x in value], name), exact)
+            return self.any_of(self._kept([lambda x=x: self.selection(name, x, collapse, exact) for x in value], name), exact)
+        if self.options.keyword_lists and isinstance(value, list) and value and all(isinstance(x, str) for x in value):
+            return self.keywords(value)
         return self.field(name, value, collapse)
 
+    def keywords(self, words: list[str]) -> Column:
+        """Whether all words are keywords of the event; null if it has none."""
+        own = self.events.keywords()
+        return F.when(own.isNotNull(), reduce(lambda a, b: a & b, [F.array_contains(own, w) for w in words]))
+
     def _kept(self, makers: list[Callable[[], Column]], where: str) -> list[Column]:
         out = []
         for make in makers:
@@ -209,6 +229,52 @@ class Compiler:
         return P.literal_match(shape, at.text, text, fold, collapse)
 
 
+class LeafCompiler(Compiler):
+    """Compiles rules to SQL text over leaf columns, which rules share: each is computed once an event.
+
+    ``columns`` holds the leaves, named from ``prefix``.
+    """
+
+    def __init__(self, events, options: Options = Options(), prefix: str = "__p"):
+        super().__init__(events, options)
+        self.columns: list[Column] = []
+        self._prefix, self._names = prefix, {}
+
+    def _named(self, key: tuple, make: Callable[[], Column]) -> str:
+        if key not in self._names:
+            name = f"{self._prefix}{len(self._names)}"
+            self.columns.append(make().alias(name))
+            self._names[key] = name
+        return self._names[key]
+
+    def field(self, key: str, value: Any, collapse: bool = True) -> str:
+        return self._named((key, repr(value), collapse), lambda: super(LeafCompiler, self).field(key, value, collapse))
+
+    def keywords(self, words: list[str]) -> str:
+        return self._named(("keywords", repr(words)), lambda: super(LeafCompiler, self).keywords(words))
+
+    @staticmethod
+    def all_of(items: list[str], exact: bool) -> str:
+        if len(items) == 1:
+            return items[0]
+        if not exact:
+            return f"({' AND '.join(items)})"
+        if all(x.isidentifier() for x in items[:-1]):  # short to write twice
+            return reduce(lambda rest, x: f"if({x}, {rest}, {x})", reversed(items[:-1]), items[-1])
+        numbers = ", ".join(f"get(array(0, 1000001, 2), coalesce(int({x}), 2)) + {4 * i}" for i, x in enumerate(items))
+        return f"get(array(false, true, null), least({numbers}) % 4)"
+
+    @staticmethod
+    def any_of(items: list[str], exact: bool) -> str:
+        if len(items) == 1:
+            return items[0]
+        return f"greatest({', '.join(items)})" if exact else f"({' OR '.join(items)})"
+
+    @staticmethod
+    def negated(item: str) -> str:
+        return f"(NOT {item})"
+
+
 def decimal_text(x: float) -> str:
     """A double the way rules write it: whole numbers without a fraction, no exponent."""
     from decimal import Decimal

@@ -1,4 +1,7 @@
-"""Named detection queries over the test tables, each with SQL that states its result independently."""
+"""Named detection queries over the test tables, each with SQL that states its result.
+
+The SQL of ``rule_metadata`` and ``rules_by_logsource_tag`` lists what the rules' source says; the others compute.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ from ruleloom.operators.ruleset import RuleSet, match, outcome
 from ruleloom.plans.compile import Options
 from ruleloom.plans.rule import Rule, rule_from_dict
 from ruleloom.sources.events import event_schema, parse_events
-from ruleloom.streaming.pipeline import as_messages, dead_letters, split
+from ruleloom.streaming.pipeline import as_messages, dead_letters, dead_letters_json, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +84,34 @@ _filter("sel_not_filter", "events", "event_id", "event_type = 'error' AND user_i
 _filter("not_without_space", "events", "event_id", "event_type <> 'click'", "not(sel)", sel={"event_type": "click"})
 _filter("missing_field_under_not", "events", "event_id", "false", "sel and not filter", sel={"event_type": "error"}, filter={"no_such_field": "x"})
 _filter("missing_field_false", "events", "event_id", "event_type = 'error'", "sel and not filter", options=Options(missing_field="false"), sel={"event_type": "error"}, filter={"no_such_field": "x"})
+# What never matches still applies or doesn't, which shows under a negation and beside another selection.
+_filter("glob_question_literal_negated", "part", "p_partkey", "p_brand <> 'Brand#?'", "not sel", sel={"p_brand": "Brand#?"})
+_filter("float_literal_negated", "part", "p_partkey", "true", "not sel", sel={"p_retailprice": 905.5})
+_filter("missing_field_beside_another", "events", "event_id", "event_type = 'view'", "other or (sel and not filter)", sel={"event_type": "error"}, filter={"no_such_field": "x"}, other={"event_type": "view"})
+# Bare values belong to the field that has the selection's name; with an option a list is about the event's keywords.
+_filter("bare_value", "events", "event_id", "event_type = 'error'", "event_type", event_type="error")
+_filter("bare_list", "events", "event_id", "event_type IN ('error', 'view')", "event_type", event_type=["error", "view"])
+_filter("null_scalar_in_list", "customer", "c_custkey", "c_mktsegment IN ('', 'BUILDING')", sel={"c_mktsegment": [None, "BUILDING"]})
+_filter("one_of_name", "events", "event_id", "event_type = 'error'", "1 of sel", sel={"event_type": "error"}, other={"event_type": "view"})
+_filter("upper_case_words", "events", "event_id", "event_type = 'error' OR (event_type = 'view' AND user_id <> 3)", "err OR (view AND NOT three)", err={"event_type": "error"}, view={"event_type": "view"}, three={"user_id": 3})
+_filter("custom_modifier", "customer", "c_custkey", "length(c_name) = 18", options=Options(modifiers={"length": lambda text, n: F.length(text) == n}), sel={"c_name|length": 18})
+_filter("strict_all", "part", "p_partkey", "contains(p_name, 'small') AND contains(p_name, 'a')", options=Options(strict=True), sel={"p_name|contains|all": ["small", "a"]})
+
+
+def _keyword_rows(name: str, sql: str, condition: str, words: list[str]) -> None:
+    """Register a query on events whose ``message`` is a keyword, missing in some, that reports all outcomes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("event_type")).alias("message"))
+        return outcome(rows, make_rule(name, condition, keywords=words), Options(keyword_lists=True)).select("event_id", "matched", "applicable")
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH e AS (SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN event_type END AS message FROM events) SELECT event_id, coalesce({sql}, false) AS matched, message IS NOT NULL AS applicable FROM e"
+
+
+_keyword_rows("keyword_set", "message = 'error'", "keywords", ["error"])
+_keyword_rows("keyword_set_negated", "message <> 'error'", "not keywords", ["error"])
+_keyword_rows("keyword_set_of_two", "message = 'error' AND message = 'view'", "keywords", ["error", "view"])
 
 
 def _outcomes(name: str, sql: str, condition: str, **selections: Any) -> None:
@@ -135,6 +166,9 @@ _json("null_is_text_null", "k % 3 = 0", sel={"opt": "null"})
 _json("null_vs_missing", "k % 3 IN (0, 1) AND NOT k % 3 = 1", "sel and not x", sel={"type|contains": ""}, x={"opt": "x"})
 _json("json_array_text", "k = 42", sel={"tags": '["a",42]'})
 _json("array_index_is_no_path", "false", sel={"tags.0": "a"})
+_json("padded_text_negated", "true", "not sel", sel={"kpad": 42})
+_json("bool_not_numeric_negated", "true", "not sel", sel={"flag": 1})
+_json("array_index_beside_another", "event_type = 'error'", "sel or other", sel={"tags.0": "a"}, other={"type": "error"})
 _json("empty_in_list", "k % 3 = 1", sel={"opt": [None, "x"]})
 
 
@@ -155,6 +189,23 @@ SELECT event_id, CAST(k AS VARCHAR) AS k_text, CAST(k AS VARCHAR) AS ktext_text,
 FROM e
 """
 
+
+
+def _json_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as doubles, where they are numbers or texts that stand for one."""
+    e = _json_events(spark, sf_dir)
+    events = event_schema(e)
+    found = {n: events.field(n) for n in ("k", "ktext", "kpad", "half", "flag", "opt")}
+    return events.bind(e).select("event_id", *[v.double.alias(f"{n}_double") for n, v in found.items()], found["ktext"].is_number.alias("text_is_number"), found["opt"].is_number.alias("opt_is_number"))
+
+
+QUERIES["doubles"] = _json_doubles
+SQL["doubles"] = """
+WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CAST(k AS DOUBLE) AS k_double, CAST(k AS DOUBLE) AS ktext_double, CAST(NULL AS DOUBLE) AS kpad_double, k + 0.5::DOUBLE AS half_double, CAST(NULL AS DOUBLE) AS flag_double, CAST(NULL AS DOUBLE) AS opt_double,
+       true AS text_is_number, false AS opt_is_number FROM e
+"""
+
 # -- rule sets --------------------------------------------------------------------------------------
 
 
@@ -241,7 +292,7 @@ def many_rules(n: int = 454) -> list[Rule]:
 def _spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a few files out to all cores: hundreds of rules a row cost more than moving the row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 @_registered(
@@ -300,6 +351,31 @@ def _tumbling(spark, sf_dir):
     return found.select("group", F.col("start").cast("timestamp_ntz").alias("start"), "value_agg")
 
 
+@_registered("session_count", """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
+SELECT 'user_id:' || user_id AS "group", min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", CAST(count(*) AS DOUBLE) AS value_agg FROM s GROUP BY user_id, n HAVING count(*) >= 2
+""")
+def _sessions(spark, sf_dir):
+    found = A.sessions(table(spark, sf_dir, "events"), A.Aggregation("count", ">=", 2, None, "user_id"), 6 * 3600)
+    return found.select("group", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "value_agg")
+
+
+@_registered("sliding_all", "SELECT event_id, round(sum(value) OVER w, 6) AS window_sum, count(*) OVER w AS window_count FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
+def _sliding_all(spark, sf_dir):
+    return A.sliding(table(spark, sf_dir, "events"), 3600, "value").select("event_id", F.round("window_sum", 6).alias("window_sum"), "window_count")
+
+
+@_registered("values_at", """
+WITH i AS (SELECT ts, user_id FROM events WHERE event_type = 'error')
+SELECT i.ts, i.user_id, round(sum(e.value), 6) AS window_sum FROM (SELECT DISTINCT * FROM i) i JOIN events e ON e.user_id = i.user_id AND e.ts BETWEEN i.ts - INTERVAL 1 DAY AND i.ts GROUP BY ALL
+""")
+def _values_at(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    found = A.values_at(events, events.where("event_type = 'error'").select("ts", "user_id").distinct(), 86_400, "value", by=("user_id",))
+    return found.select("ts", "user_id", F.round("window_sum", 6).alias("window_sum"))
+
+
 @_registered("rule_aggregation", "SELECT event_id, CAST(v AS DOUBLE) AS value_agg FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS v FROM events WHERE event_type = 'error') WHERE v > 1")
 def _rule_aggregation(spark, sf_dir):
     rule = make_rule("many errors", "sel | count() by user_id > 1", sel={"event_type": "error"}, timeframe="12h")
@@ -319,6 +395,13 @@ def _dlq(spark, sf_dir):
     return dead.select(F.col("value").cast("string").alias("payload"), header("dlq.error.message").alias("error"), header("dlq.original.topic").alias("topic"))
 
 
+@_registered("dlq_json", "SELECT 'test-message-' || event_id AS payload, 'not valid JSON' AS error, 'lines' AS topic, 2 AS attempts, 'shop' AS origin FROM events WHERE event_id % 7 = 0")
+def _dlq_json(spark, sf_dir):
+    dead = dead_letters_json(split(as_messages(_lines(spark, sf_dir), "lines"))[1], attempts=2, metadata={"origin": "shop"})
+    at = lambda path: F.get_json_object("value", path)
+    return dead.select(at("$.original_payload").alias("payload"), at("$.error").alias("error"), at("$.original.topic").alias("topic"), at("$.attempts").cast("int").alias("attempts"), at("$.metadata.origin").alias("origin"))
+
+
 @_registered("ndjson_dropmalformed", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY ALL")
 def _dropmalformed(spark, sf_dir):
     events = parse_events(_lines(spark, sf_dir), mode="DROPMALFORMED")

@@ -44,16 +44,30 @@ def clamped_text(value: Column) -> Column:
     return F.when(odd, "null").otherwise(inside.cast("string"))
 
 
+def parsed_double(text: Column) -> Column:
+    """The double that a text stands for as a whole; null for other texts."""
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z") | F.lower(text).rlike(r"^[+-]?(inf|infinity|nan)\z"), text.try_cast("double"))
+
+
 @dataclass(frozen=True)
 class Value:
-    """A field's value as columns. ``plain`` means that the text is a string column of the source."""
+    """A field's value as columns. ``plain`` means that the text is a string column of the source.
+
+    ``double`` is a number as it is, or what a text stands for; null for anything else.
+    """
 
     present: Column
     text: Column
     number: Column
+    double: Column
     plain: bool = False
     exact_number: bool = False
 
+    @property
+    def is_number(self) -> Column:
+        """Whether the value is a number or a text that stands for one."""
+        return self.double.isNotNull()
+
 
 class StructEvents:
     """Typed columns; dots reach into structs and string-keyed maps. A null is a missing value."""
@@ -86,19 +100,19 @@ class StructEvents:
 
     @staticmethod
     def _value(c: Column, kind: T.DataType) -> Value:
-        none = F.lit(None).cast("bigint")
+        none, no_double = F.lit(None).cast("bigint"), F.lit(None).cast("double")
         if isinstance(kind, T.StringType):
-            return Value(c.isNotNull(), c, strict_integer(c), plain=True)
+            return Value(c.isNotNull(), c, strict_integer(c), parsed_double(c), plain=True)
         if isinstance(kind, _INTEGERS):
-            return Value(c.isNotNull(), c.cast("string"), c.cast("bigint"), exact_number=True)
+            return Value(c.isNotNull(), c.cast("string"), c.cast("bigint"), c.cast("double"), exact_number=True)
         if isinstance(kind, _FRACTIONS):
             d = c.cast("double")
-            return Value(c.isNotNull(), clamped_text(d), truncated(d))
+            return Value(c.isNotNull(), clamped_text(d), truncated(d), d)
         if isinstance(kind, T.VariantType):
             return VariantEvents.value_of(c)
         if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-            return Value(c.isNotNull(), F.to_json(c), none)
-        return Value(c.isNotNull(), c.cast("string"), none)
+            return Value(c.isNotNull(), F.to_json(c), none, no_double)
+        return Value(c.isNotNull(), c.cast("string"), none, no_double)
 
     def bind(self, df: DataFrame) -> DataFrame:
         return df
@@ -123,27 +137,28 @@ class VariantEvents:
         if not valid_path(path):
             return None
         n = self._taken.setdefault(path, len(self._taken))
-        return Value(F.col(f"__t{n}").isNotNull(), F.col(f"__t{n}"), F.col(f"__n{n}"))
+        return Value(F.col(f"__t{n}").isNotNull(), F.col(f"__t{n}"), F.col(f"__n{n}"), F.col(f"__d{n}"))
 
     def bind(self, df: DataFrame) -> DataFrame:
         """Add the columns of all fields asked for so far."""
         if not self._taken:
             return df
         values = {f"__v{n}": F.try_variant_get(self.column, self._json_path(p), "variant") for p, n in self._taken.items()}
-        df = df.withColumns(values)
+        kinds = {f"__k{n}": F.schema_of_variant(f"__v{n}") for n in self._taken.values()}
+        df = df.withColumns(values).withColumns(kinds)  # each once, however many branches look at it
         out = {}
         for n in self._taken.values():
-            value = self.value_of(F.col(f"__v{n}"))
-            out[f"__t{n}"], out[f"__n{n}"] = value.text, value.number
-        return df.withColumns(out).drop(*values)
+            value = self.value_of(F.col(f"__v{n}"), F.col(f"__k{n}"))
+            out[f"__t{n}"], out[f"__n{n}"], out[f"__d{n}"] = value.text, value.number, value.double
+        return df.withColumns(out).drop(*values, *kinds)
 
     @staticmethod
     def _json_path(path: str) -> str:
         return "$" + "".join('["{}"]'.format(part.replace('"', '\\"')) for part in path.split("."))
 
     @staticmethod
-    def value_of(v: Column) -> Value:
-        kind = F.schema_of_variant(v)
+    def value_of(v: Column, kind: Column | None = None) -> Value:
+        kind = F.schema_of_variant(v) if kind is None else kind
         as_ = lambda t: F.try_variant_get(v, "$", t)
         fraction = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
         text = (
@@ -156,7 +171,8 @@ class VariantEvents:
             .otherwise(F.to_json(v))
         )
         number = F.when(kind == "BIGINT", as_("bigint")).when(fraction, truncated(as_("double"))).when(kind == "STRING", strict_integer(as_("string")))
-        return Value(v.isNotNull(), text, number)
+        double = F.when((kind == "BIGINT") | fraction, as_("double")).when(kind == "STRING", parsed_double(as_("string")))
+        return Value(v.isNotNull(), text, number, double)
 
     def strings(self) -> Column:
         """All top-level string values."""

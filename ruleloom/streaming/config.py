@@ -10,31 +10,11 @@ from typing import TypeVar
 
 Result = TypeVar("Result")
 
-#: Source options that may be set from outside.
-ALLOWED_OPTIONS = (
-    "compression.type",
-    "compression.level",
-    "fetch.min.bytes",
-    "fetch.max.wait.ms",
-    "fetch.max.bytes",
-    "max.partition.fetch.bytes",
-    "request.timeout.ms",
-    "metadata.max.age.ms",
-    "receive.buffer.bytes",
-    "send.buffer.bytes",
-    "queued.min.messages",
-    "queued.max.messages.kbytes",
-    "fetch.error.backoff.ms",
-    "fetch.message.max.bytes",
-    "enable.idempotence",
-    "message.max.bytes",
-    "reconnect.backoff.ms",
-    "reconnect.backoff.max.ms",
-    "connections.max.idle.ms",
-    "socket.keepalive.enable",
-    "statistics.interval.ms",
-    "enable.metrics.push",
-)
+#: Settings of the Java client, which Spark's Kafka source and sink use, that may be set from outside.
+CONSUMER_OPTIONS = ("fetch.min.bytes", "fetch.max.wait.ms", "fetch.max.bytes", "max.partition.fetch.bytes", "max.poll.records", "isolation.level")
+PRODUCER_OPTIONS = ("acks", "batch.size", "buffer.memory", "compression.type", "delivery.timeout.ms", "enable.idempotence", "linger.ms", "max.request.size")
+COMMON_OPTIONS = ("client.id", "client.rack", "connections.max.idle.ms", "metadata.max.age.ms", "receive.buffer.bytes", "reconnect.backoff.max.ms", "reconnect.backoff.ms", "request.timeout.ms", "retry.backoff.ms", "send.buffer.bytes")
+SECURITY_PREFIXES = ("security.", "sasl.", "ssl.")
 
 
 class ConfigError(ValueError):
@@ -82,17 +62,22 @@ class RetryPolicy:
 
 @dataclass(frozen=True)
 class StreamConfig:
-    """A Kafka consumer as Structured Streaming takes it: group and offsets live in the checkpoint."""
+    """A Kafka consumer as Structured Streaming takes it: group and offsets live in the checkpoint.
+
+    A batch has at least ``batch_size`` messages or comes after ``trigger_seconds``, and at most the share
+    ``pause_at`` of ``max_inflight``; that is all the back-pressure there is to set. ``dlq_topic`` gets malformed
+    messages, and those whose alerts failed ``dlq_after_retries`` times.
+    """
 
     brokers: str
     topics: tuple[str, ...]
     checkpoint: str
     group_id: str = "detection"
     starting_offsets: str = "latest"
+    fail_on_data_loss: bool = True
     batch_size: int = 100
     max_inflight: int = 500
     pause_at: float = 0.8
-    resume_at: float = 0.5
     trigger_seconds: float = 1.0
     dlq_topic: str | None = None
     dlq_after_retries: int = 3
@@ -108,10 +93,9 @@ class StreamConfig:
             "batch_size": self.batch_size > 0,
             "max_inflight": self.max_inflight >= self.batch_size,
             "pause_at": 0 < self.pause_at <= 1,
-            "resume_at": 0 <= self.resume_at < self.pause_at,
             "trigger_seconds": self.trigger_seconds >= 0,
             "dlq_after_retries": 0 <= self.dlq_after_retries <= self.retry.max_retries,
-            "options": set(self.options) <= set(ALLOWED_OPTIONS),
+            "options": all(k in (*CONSUMER_OPTIONS, *PRODUCER_OPTIONS, *COMMON_OPTIONS) or k.startswith(SECURITY_PREFIXES) for k in self.options),
         }
         if bad := [k for k, ok in checks.items() if not ok]:
             raise ConfigError(f"out of range or not allowed: {', '.join(bad)}")
@@ -123,8 +107,17 @@ class StreamConfig:
             "subscribe": ",".join(self.topics),
             "kafka.group.id": self.group_id,
             "startingOffsets": self.starting_offsets,
-            "maxOffsetsPerTrigger": str(self.max_inflight),
+            "minOffsetsPerTrigger": str(self.batch_size),
+            "maxTriggerDelay": f"{max(1, int(self.trigger_seconds * 1000))}ms",
+            "maxOffsetsPerTrigger": str(max(self.batch_size, int(self.max_inflight * self.pause_at))),
             "includeHeaders": "true",
-            "failOnDataLoss": "false",
+            "failOnDataLoss": str(self.fail_on_data_loss).lower(),
         }
-        return own | {f"kafka.{k}": v for k, v in self.options.items()}
+        return own | self._client(CONSUMER_OPTIONS)
+
+    def sink_options(self, topic: str) -> dict[str, str]:
+        """Options for ``write.format("kafka")``."""
+        return {"kafka.bootstrap.servers": self.brokers, "topic": topic, "includeHeaders": "true"} | self._client(PRODUCER_OPTIONS)
+
+    def _client(self, own: tuple[str, ...]) -> dict[str, str]:
+        return {f"kafka.{k}": v for k, v in self.options.items() if k in (*own, *COMMON_OPTIONS) or k.startswith(SECURITY_PREFIXES)}

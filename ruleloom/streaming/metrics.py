@@ -10,12 +10,17 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 @dataclass
 class Metrics:
-    """Totals, and the durations of the last 1000 batches."""
+    """Totals, and the durations of the last 1000 batches.
+
+    ``detect`` counts what was processed and what failed (malformed messages, and those given up), the
+    listener what was consumed and how long it took.
+    """
 
     consumed: int = 0
     processed: int = 0
     failed: int = 0
     batches: int = 0
+    ended_by_error: int = 0
     lag: dict[str, int] = field(default_factory=dict)
     durations: deque = field(default_factory=lambda: deque(maxlen=1000))
 
@@ -31,6 +36,7 @@ class Metrics:
             "messages_processed": self.processed,
             "messages_failed": self.failed,
             "batches": self.batches,
+            "queries_ended_by_error": self.ended_by_error,
             "success_rate": self.processed / done if done else 1.0,
             "batch_ms_mean": mean,
             "batch_ms_p50": self.percentile(0.5),
@@ -52,7 +58,6 @@ class ProgressListener(StreamingQueryListener):
         p = event.progress
         self.metrics.batches += 1
         self.metrics.consumed += p.numInputRows
-        self.metrics.processed += p.numInputRows
         self.metrics.durations.append(p.batchDuration)
         for source in p.sources:
             for k, v in (source.metrics or {}).items():
@@ -63,8 +68,7 @@ class ProgressListener(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        if event.exception:
-            self.metrics.failed += 1
+        self.metrics.ended_by_error += bool(event.exception)
 
 
 def prometheus_text(values: dict[str, float], prefix: str = "detection", labels: dict[str, str] | None = None) -> str:

@@ -7,6 +7,7 @@ that isn't JSON goes to the dead letters at once, without retries.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from ruleloom.operators.aggregate import Aggregation, compare, group_text, numbe
 from ruleloom.operators.ruleset import RuleSet
 from ruleloom.sources.events import parse_events
 from ruleloom.streaming.config import RetryPolicy, StreamConfig
+from ruleloom.streaming.metrics import Metrics
 
 MESSAGE = ("key", "value", "topic", "partition", "offset", "timestamp", "headers")
 
@@ -95,6 +97,25 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
+def kafka_sink(config: StreamConfig, topic: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for rows of ``key``, ``value`` and perhaps ``headers``; alerts have the rule's id as their key."""
+
+    def write(df: DataFrame, number: int) -> None:
+        columns = [c for c in ("key", "value", "headers") if c in df.columns]
+        df.select(*columns).write.format("kafka").options(**config.sink_options(topic)).save()
+
+    return write
+
+
+def detect_topics(spark: SparkSession, config: StreamConfig, rules: RuleSet | Callable[[], RuleSet], alert_topic: str, metrics: Metrics | None = None, available_now: bool = False) -> StreamingQuery:
+    """Detection from topics to topics: alerts, and dead letters where the settings name a topic for them."""
+    dead = kafka_sink(config, config.dlq_topic) if config.dlq_topic else None
+    return detect(
+        kafka_source(spark, config), rules, config.checkpoint, kafka_sink(config, alert_topic), dead,
+        retry=config.retry, dead_after=config.dlq_after_retries, metrics=metrics, available_now=available_now, trigger_seconds=config.trigger_seconds, name=config.group_id,
+    )
+
+
 def detect(
     messages: DataFrame,
     rules: RuleSet | Callable[[], RuleSet],
@@ -102,40 +123,73 @@ def detect(
     alerts: Callable[[DataFrame, int], None],
     dead: Callable[[DataFrame, int], None] | None = None,
     retry: RetryPolicy = RetryPolicy(),
+    dead_after: int | None = None,
+    metrics: Metrics | None = None,
     available_now: bool = False,
     trigger_seconds: float = 1.0,
     name: str | None = None,
 ) -> StreamingQuery:
     """Start a detection stream. ``rules`` may be a function, which is asked once a batch for the current set.
 
-    ``alerts`` gets rows of ``key`` (rule id) and ``value`` (alert JSON), ``dead`` dead letters.
+    ``alerts`` gets rows of ``key`` (rule id) and ``value`` (alert JSON), ``dead`` dead letters. Where ``alerts``
+    keeps failing, the batch's messages become dead letters after ``dead_after`` attempts; without that
+    setting, or if the last retry comes first, the stream ends with the error.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         now = rules() if callable(rules) else rules
-        good, bad = split(df)
-        retry.run(lambda: alerts(now.alerts_json(good, "timestamp"), number))
-        if dead is not None:
-            retry.run(lambda: dead(dead_letters(bad), number))
+        df = df.persist()  # the source is read once for alerts, dead letters and retries
+        try:
+            good, bad = split(df)
+            attempts = 0
+
+            def send() -> None:
+                nonlocal attempts
+                attempts += 1
+                alerts(now.alerts_json(good, "timestamp"), number)
+
+            given_up = lambda: dead is not None and dead_after is not None and attempts >= dead_after
+            failed = False
+            try:
+                retry.run(send, retryable=lambda e: not given_up())
+            except Exception as e:
+                if not given_up():
+                    raise
+                failed = True
+                letters = dead_letters(good, str(e), attempts)
+                retry.run(lambda: dead(letters.union(dead_letters(bad)), number))
+            else:
+                if dead is not None:
+                    retry.run(lambda: dead(dead_letters(bad), number))
+            if metrics is not None:
+                n_bad, n = bad.count(), df.count()
+                metrics.processed += 0 if failed else n - n_bad
+                metrics.failed += n if failed else n_bad
+        finally:
+            df.unpersist()
 
     writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{trigger_seconds} seconds")).start()
 
 
+def drain(query: StreamingQuery, seconds: float = 30.0) -> bool:
+    """Stop a stream between two batches: wait until the batch at hand has ended, then stop; false if time runs out first."""
+    until = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.05)
+    idle = not (query.isActive and query.status["isTriggerActive"])
+    query.stop()
+    return idle
+
+
 def evaluate_stream(messages: DataFrame, rules: RuleSet, sequence: str | None = None) -> DataFrame:
     """Outcomes as a stream: ``sequence, matched, rules, error``, one row per message, malformed ones too."""
-    from ruleloom.plans.compile import Compiler
-    from ruleloom.sources.events import VariantEvents
-
-    events = VariantEvents("event")
-    found = [(r, Compiler(events, rules.options).rule(r)) for r in rules.enabled]
-    parsed = messages.withColumn("event", F.try_parse_json(F.col("value").cast("string")))
-    bound = events.bind(parsed)
-    hits = RuleSet._arrays([F.when(p, F.lit(r.id)) for r, p in found], "string")
     number = F.col(sequence) if sequence else F.col("offset")
-    names = F.array_compact(hits)
-    return bound.select(number.alias("sequence"), (F.size(names) > 0).alias("matched"), names.alias("rules"), F.when(F.col("event").isNull(), "invalid JSON").alias("error"))
+    parsed = messages.select(number.alias("sequence"), F.try_parse_json(F.col("value").cast("string")).alias("event"))
+    found = rules.evaluate(parsed)
+    names = F.transform(F.filter("results", lambda r: r["matched"]), lambda r: r["rule_id"])
+    return found.select("sequence", (F.size(names) > 0).alias("matched"), names.alias("rules"), F.when(F.col("event").isNull(), "invalid JSON").alias("error"))
 
 
 def running_stream(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_id", ttl_seconds: int = 3600) -> DataFrame:
@@ -183,4 +237,4 @@ def unique_stream(df: DataFrame, id_: str = "event_id", ts: str = "ts", late_sec
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{late_seconds} seconds").dropDuplicatesWithinWatermark([id_])
 
 
-__all__ = ["as_messages", "compare", "dead_letters", "dead_letters_json", "detect", "evaluate_stream", "kafka_source", "parse_events", "running_stream", "split", "text_source", "unique_stream", "windowed_stream", "write_batch"]
+__all__ = ["as_messages", "compare", "dead_letters", "dead_letters_json", "detect", "detect_topics", "drain", "evaluate_stream", "kafka_sink", "kafka_source", "parse_events", "running_stream", "split", "text_source", "unique_stream", "windowed_stream", "write_batch"]

@@ -185,3 +185,72 @@ def test_rule_folder_names_the_files_it_skips(spark, tmp_path, monkeypatch):
     local, remote = RuleSet.from_directory(str(tmp_path)), RuleSet.from_spark(spark, str(tmp_path))
     assert [x[0].rsplit("/", 1)[1] for x in sorted(remote.failed)] == ["a.yml", "b.yml", "c.yml"]
     assert remote.metadata() == local.metadata()
+
+
+def test_yaml_rules(spark):
+    from ruleloom.plans.rule import rules_from_text
+
+    text = """
+title: first
+id: 00000000-0000-0000-0000-000000000001
+logsource: {product: shop}
+tags: [attack.t1]
+detection:
+  sel:
+    kind|startswith: ['er', "vi"]
+    n: 3
+  skip:
+    - note: 'it''s'
+    - note: "a\\\\b"
+  condition: sel and not skip
+---
+title: second
+id: 00000000-0000-0000-0000-000000000002
+detection:
+  kind: view
+  condition: kind
+"""
+    rules = rules_from_text(text.encode(), "x.yml")
+    frame = spark.createDataFrame([(0, "error", 3, "n"), (1, "view", 3, "it's"), (2, "view", 3, "a\\b"), (3, "click", 3, "")], "i long, kind string, n long, note string")
+    got = RuleSet(rules).matches(frame).collect()
+    assert sorted((r.i, r.rule_title) for r in got) == [(0, "first"), (1, "second"), (2, "second")]
+
+
+def test_wildcard_limit():
+    options = Options(max_wildcards=2)
+    for bad in ("sel_*_*_*", "sel**", "s*?*"):
+        with pytest.raises(ConditionError):
+            parse(f"1 of {bad}", ["sel_a_b_c"], options.max_wildcards)
+    assert describe(parse("1 of sel_*", ["sel_a"], 2)) == "sel_a"
+
+
+def test_literals_in_rule_sets(spark):
+    titles = ["it's", "back\\slash", 'quote "', "new\nline", "ünï $x ${y}"]
+    rules = RuleSet([make_rule(t, "sel", sel={"v": t}) for t in titles])
+    frame = spark.createDataFrame([(t,) for t in titles], "v string").withColumn("__p0", F.lit(1)).withColumn("a.b", F.lit(2))
+    assert sorted((r.v, r.rule_title) for r in rules.matches(frame).collect()) == sorted((t, t) for t in titles)
+    assert sorted((r.rule_title, r.n) for r in rules.counts(frame).collect()) == sorted((t, 1) for t in titles)
+    assert all(sum(x.matched for x in r.results) == 1 for r in rules.evaluate(frame).collect())
+
+
+def test_rule_sets_agree_with_single_rules(spark):
+    rng = random.Random(77)
+    frame = spark.createDataFrame([(i, rng.choice(["x", "y", None]), rng.choice([1, 2, None])) for i in range(60)], "i long, a string, b long")
+    shapes = ["not (p and q)", "p and not q", "p or (q and not r)", "not (p or (q and not (r and p)))", "all of them", "1 of them", "not 1 of them"]
+    rules = [make_rule(s, s, p={"a": "x", "b": 1}, q={"b": 2}, r=[{"a": "y"}, {"missing": 1, "b": 1}]) for s in shapes]
+    for missing in ("reference", "false"):
+        options = Options(missing_field=missing)
+        got = {(r.i, x.rule_id): (x.matched, x.applicable) for r in RuleSet(rules, options).evaluate(frame).collect() for x in r.results}
+        for rule in rules:
+            assert {r.i: (r.matched, r.applicable) for r in outcome(frame, rule, options).collect()} == {i: v for (i, k), v in got.items() if k == rule.id}, rule.title
+            assert {r.i for r in match(frame, rule, options).collect()} == {i for (i, k), (m, _) in got.items() if k == rule.id and m}
+
+
+def test_identity_of_events(spark):
+    from ruleloom.sources.events import with_identity
+
+    frame = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00")], "n long, at string")
+    given = with_identity(frame, "n", "at").collect()
+    assert [(r.event_id, r.event_ts.day) for r in given] == [("1", 1), ("2", 2)]
+    made = with_identity(frame).collect()
+    assert len({r.event_id for r in made}) == 2 and all(r.event_ts for r in made)

@@ -12,7 +12,7 @@ from ruleloom.queries import make_rule
 from ruleloom.service import BadEvent, Engine
 from ruleloom.streaming.config import ConfigError, RetryPolicy, StreamConfig
 from ruleloom.streaming.metrics import Metrics, prometheus_text
-from ruleloom.streaming.pipeline import detect, running_stream, text_source, write_batch
+from ruleloom.streaming.pipeline import as_messages, detect, detect_topics, drain, evaluate_stream, kafka_sink, running_stream, text_source, unique_stream, windowed_stream, write_batch
 
 RULES = RuleSet([make_rule("errors", "sel", sel={"type": "error"}), make_rule("big", "sel", sel={"n": [5, 6]})])
 
@@ -57,7 +57,7 @@ def test_sliding_window(spark):
     assert [(r.window_sum, r.window_count) for r in rows] == [(1.0, 1), (3.0, 2), (6.0, 2), (A.HUGE, 2)]
 
 
-@pytest.mark.parametrize("change", [{"brokers": ""}, {"topics": ()}, {"batch_size": 0}, {"resume_at": 0.9}, {"dlq_after_retries": 9}, {"options": {"bootstrap.servers": "x"}}])
+@pytest.mark.parametrize("change", [{"brokers": ""}, {"topics": ()}, {"batch_size": 0}, {"pause_at": 0}, {"dlq_after_retries": 9}, {"options": {"bootstrap.servers": "x"}}])
 def test_stream_settings(change):
     good = {"brokers": "b:9092", "topics": ("t",), "checkpoint": "/c"}
     assert StreamConfig(**good).source_options()["subscribe"] == "t"
@@ -113,3 +113,125 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "in.json").write_text('{"v": "xy"}\n\n{"v": "z"}\n')
     assert main(["--rules", str(tmp_path / "r"), "--input", str(tmp_path / "in.json"), "--output", str(tmp_path / "out")]) == 0
     assert [json.loads(r.value)["rule_title"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["t"]
+
+
+def test_kafka_settings():
+    config = StreamConfig("b:9092", ("in",), "/c", options={"acks": "all", "fetch.min.bytes": "5", "sasl.mechanism": "PLAIN", "client.id": "x"})
+    source, sink = config.source_options(), config.sink_options("alerts")
+    assert source["failOnDataLoss"] == "true" and source["maxOffsetsPerTrigger"] == "400" and source["minOffsetsPerTrigger"] == "100"
+    assert source["kafka.fetch.min.bytes"] == "5" and "kafka.acks" not in source
+    assert sink["topic"] == "alerts" and sink["kafka.acks"] == "all" and "kafka.fetch.min.bytes" not in sink
+    assert source["kafka.sasl.mechanism"] == sink["kafka.sasl.mechanism"] == "PLAIN"
+
+
+def test_topics_to_topics(spark, tmp_path, monkeypatch):
+    """The Kafka pipeline with files in the place of the topics, as there is no connector here."""
+    from ruleloom.streaming import pipeline
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text('{"type": "error"}\nno json\n')
+    sent = []
+    monkeypatch.setattr(pipeline, "kafka_source", lambda spark, config: text_source(spark, str(tmp_path / "in")))
+    monkeypatch.setattr(pipeline, "kafka_sink", lambda config, topic: lambda df, n: sent.extend((topic, r.key, bytes(r.value) if topic == "dead" else r.value) for r in df.collect()))
+    metrics = Metrics()
+    q = detect_topics(spark, StreamConfig("b:9092", ("in",), str(tmp_path / "cp"), dlq_topic="dead"), RULES, "alerts", metrics, available_now=True)
+    q.awaitTermination(120)
+    assert [(t, k) for t, k, _ in sent] == [("alerts", RULES.rules[0].id), ("dead", None)] and sent[1][2] == b"no json"
+    assert (metrics.processed, metrics.failed) == (1, 1)
+    assert callable(kafka_sink(StreamConfig("b:9092", ("in",), "/c"), "t"))
+
+
+@pytest.mark.parametrize("dead_after", [2, None])
+def test_alerts_that_keep_failing(spark, tmp_path, dead_after):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text('{"type": "error"}\n{"type": "ok"}\n')
+    calls, letters = [], []
+
+    def alerts(df, n):
+        calls.append(n)
+        raise OSError("refused")
+
+    def dead(df, n):
+        letters.extend({h["key"]: bytes(h["value"]).decode() for h in r.headers} for r in df.collect())
+
+    q = detect(text_source(spark, str(tmp_path / "in")), RULES, str(tmp_path / "cp"), alerts, dead, RetryPolicy(max_retries=2, initial=0), dead_after, available_now=True)
+    if dead_after is None:
+        with pytest.raises(Exception, match="refused"):
+            q.awaitTermination(120)
+        assert len(calls) == 3 and not letters
+    else:
+        q.awaitTermination(120)
+        assert len(calls) == 2 and [x["dlq.error.attempts"] for x in letters] == ["2", "2"] and {x["dlq.error.message"] for x in letters} == {"refused"}
+
+
+def test_drain(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text('{"type": "error"}\n')
+    seen = []
+    q = detect(text_source(spark, str(tmp_path / "in")), RULES, str(tmp_path / "cp"), lambda df, n: seen.append(df.count()), trigger_seconds=0.1)
+    while not seen:
+        q.awaitTermination(0.2)
+    assert drain(q, 60) and not q.isActive and seen == [1]
+
+
+def _memory(stream, name, path, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return q
+
+
+def test_evaluate_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text('{"type": "error", "n": 5}\n{"n": 1}\n{\n')
+    _memory(evaluate_stream(text_source(spark, str(tmp_path / "in")), RULES), "outcomes", tmp_path / "cp")
+    got = spark.table("outcomes").collect()
+    assert sorted((r.matched, len(r.rules), r.error) for r in got if r.error is None) == [(False, 0, None), (True, 2, None)]
+    assert [r.error for r in got if r.error] == ["invalid JSON"]
+    assert as_messages(spark.createDataFrame([("x",)], "value string"), "t").first().topic == "t"
+
+
+def test_windows_and_unique_events_on_streams(spark, tmp_path):
+    rows = [("a", 1200), ("a", 1200), ("b", 1210), ("c", 1270), ("d", 1700)]
+    frame = spark.createDataFrame(rows, "event_id string, s long").select("event_id", F.timestamp_seconds("s").alias("ts"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    _memory(unique_stream(source()), "unique_events", tmp_path / "c1")
+    assert sorted(r.event_id for r in spark.table("unique_events").collect()) == ["a", "b", "c", "d"]
+    _memory(windowed_stream(source(), A.Aggregation("count", ">=", 2, window=60.0)), "windows", tmp_path / "c2", "update")
+    assert [(r.value_agg) for r in spark.table("windows").collect()] == [3.0]
+
+
+def test_aggregations_of_one_large_group(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 400), rng.choice([1.0, 2.5, -3.0, None])) for i in range(700)] + [(900, None, 1.0)]
+    frame = spark.createDataFrame(rows, "event_id long, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    for name, f in (("count", len), ("sum", sum), ("avg", lambda x: sum(x) / len(x)), ("min", min), ("max", max)):
+        got = {r.event_id: r.value_agg for r in A.running(frame, A.Aggregation(name, ">", 2, None if name == "count" else "value")).collect()}
+        values, want = [], {}
+        for i, _, v in order:
+            values.append(v or 0.0)
+            want[i] = f(values)
+        assert got == pytest.approx(want), name
+    near = {r.event_id: (r.window_sum, r.window_count) for r in A.sliding(frame.where("s is not null"), 30, "value").collect()}
+    for i, s, _ in rows[:-1]:
+        own = [v or 0.0 for _, t, v in rows[:-1] if s - 30 <= t <= s]
+        assert near[i] == (pytest.approx(sum(own)), len(own))
+    plan = A.running(frame, A.Aggregation("count", ">", 2))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_instants_sessions_and_statistics(spark):
+    frame = spark.createDataFrame([("a", 0, 1.0), ("a", 5, 2.0), ("a", 100, 4.0), ("b", 3, 8.0)], "g string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    instants = spark.createDataFrame([("a", 7), ("a", 60), ("b", 3)], "g string, s long").select("g", F.timestamp_seconds("s").alias("ts"))
+    got = A.values_at(frame, instants, 5, "v", by=("g",)).select("g", F.unix_seconds("ts").alias("s"), "window_sum").collect()
+    assert sorted(map(tuple, got)) == [("a", 7, 2.0), ("a", 60, 0.0), ("b", 3, 8.0)]
+    found = A.sessions(frame, A.Aggregation("sum", ">", 0, "v", "g"), 10).select("group", F.unix_seconds("start"), F.unix_seconds("end"), "value_agg").collect()
+    assert sorted(map(tuple, found)) == [("g:a", 0, 15, 3.0), ("g:a", 100, 110, 4.0), ("g:b", 3, 13, 8.0)]
+    seen_frame, seen = A.statistics(frame, A.Aggregation("count", ">", 1, None, "g"))
+    seen_frame.collect()
+    assert seen.get == {"total_evaluations": 4, "active_groups": 2}
+    with pytest.raises(ValueError, match="group"):
+        A.running(frame.withColumnRenamed("g", "group"), A.Aggregation("count", ">", 1))
