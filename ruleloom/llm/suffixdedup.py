@@ -9,18 +9,24 @@ tells the sources, which gives all occurrences.
 No task could hold the suffixes of a corpus, so they are divided first. Each window of ``LENGTH`` bytes
 chooses the minimum hash of its ``ANCHOR``-byte strings (winnowing); equal windows choose equal anchors, so
 windows are compared only with those of the same anchor. An anchor stands for a span of neighbouring
-windows. Spans that are equal as a whole repeat as a whole and need no text (one window function over
-the anchors). Only where an anchor has different spans, one text of each is read again and its windows get a
-suffix order and LPF arrays. Because only equality over ``LENGTH`` bytes counts there, suffixes are ordered by
-a 64-bit fingerprint of that many bytes and then by position, not letter by letter: any order that puts
-equal windows next to each other gives the same LPF at this length, at a fraction of the sorting.
+windows. Equal spans of an anchor are one: the first stands for all, and the others repeat as a whole. Where
+an anchor has different spans, their texts are read again, and the suffixes that start in them get their
+order by bytes (prefix doubling to a depth of ``LENGTH``), from which previous and next smaller positions
+give the LPF array, cut at ``LENGTH``. Equality there is equality of bytes, not of hashes; equal spans are told by two
+64-bit hashes, the anchor's and the span's.
 
-An anchor with more than ``HOT`` spans is not gathered in one task: its windows are dealt out by
-fingerprint and aggregated.
+Hot anchors aren't gathered in one task. Anchors that may hold more than one in ``HEAVY`` of all spans are found
+by a frequent-items sketch; their equal spans meet by partial aggregation and a join that Spark splits.
+Where an anchor has more than ``HOT`` different spans, its windows are dealt out by a fingerprint instead of
+the anchor, and the first of equal ones is found by partial aggregation: the smallest position among equal
+suffixes is what the LPF array points to in the end.
+
+Texts longer than ``PIECE`` bytes are read in pieces that overlap by a window, so memory doesn't follow the
+length of a text, apart from the text itself.
 
 Edge cases: null and empty texts, and texts shorter than ``LENGTH``, have no windows; rows equal in id and
-text are copies of each other; null ids are kept; the order of documents is that of integer ids where they
-are unique and not null, else that of a hash of id and text; an empty table gives an empty result.
+text are copies of each other, of which ``dedup_substrings`` keeps one; null ids are kept; the order of documents is that of integer ids where they
+are unique and not null, else the order in which the rows are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.common import written
+from ruleloom.llm.common import with_row_numbers, written
 from ruleloom.llm.textops import Slice, mix, slices
 
-LENGTH, ANCHOR, HOT = 200, 100, 20_000
-BROADCAST_ROWS = 200_000
+LENGTH, ANCHOR = 200, 100
+HEAVY, HOT, PIECE = 5_000, 5_000, 2 << 20
+DEPTHS = (8, 16, 32, 64, 128)  # of prefix doubling; two of the last cover a window
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -72,6 +79,45 @@ def longest_previous(order: np.ndarray, common) -> tuple[np.ndarray, np.ndarray]
     return lpf, source
 
 
+class SuffixOrder:
+    """The order of the suffixes of ``data`` that start at ``starts``, to a depth of ``LENGTH`` bytes, then by index.
+
+    Each start has ``LENGTH`` bytes from there on.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        n = len(data)
+        padded = np.zeros(n + 2 * LENGTH, np.uint64)
+        padded[:n] = data
+        self.starts, self.eight = starts, np.zeros(n + LENGTH, np.uint64)
+        for k in range(8):
+            self.eight |= padded[k : k + n + LENGTH] << np.uint64(56 - 8 * k)
+        key, self.ranks = self.eight, []
+        for depth in DEPTHS:
+            if self.ranks:
+                half = self.ranks[-1].astype(np.int64)
+                key = half * len(half) + np.append(half[depth // 2 :], np.zeros(depth // 2, np.int64))
+            order = np.argsort(key)
+            new = np.append(False, key[order[1:]] != key[order[:-1]])
+            rank = np.empty(len(key), np.int32)
+            rank[order] = np.cumsum(new)
+            self.ranks.append(rank)
+        whole = self.ranks[-1].astype(np.int64)
+        self.order = np.argsort(whole[starts] * len(whole) + whole[starts + LENGTH - DEPTHS[-1]], kind="stable")
+
+    def common(self, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Common prefixes of the suffixes at these ranks, at most ``LENGTH``."""
+        i, j = self.starts[self.order[r]], self.starts[self.order[s]]
+        n = np.zeros(len(i), np.int64)
+        for depth, rank in zip(reversed(DEPTHS), reversed(self.ranks), strict=True):
+            n += np.where(rank[i + n] == rank[j + n], depth, 0)
+        n = np.minimum(n, LENGTH)
+        differ = self.eight[i + n] ^ self.eight[j + n]
+        for k in range(7, 0, -1):
+            n += differ < np.uint64(1 << (8 * k))
+        return np.minimum(n, LENGTH)
+
+
 def window_anchors(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a slice: document, first and last window that chose the anchor, and its position."""
     data, offsets = piece.data, piece.offsets
@@ -99,15 +145,19 @@ def window_anchors(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _numbered(documents: DataFrame) -> DataFrame:
-    """``doc, doc_id, text`` with one number for rows that are equal in id and text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    plain = False
-    if kind in ("int", "bigint", "smallint", "tinyint"):
-        n = documents.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-        plain = n.rows == n.ids
-    doc = F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", text)
-    return documents.select(doc.alias("doc"), "doc_id", text.alias("text"))
+    """``doc, doc_id, text`` with a number for each row."""
+    own = with_row_numbers(documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    return own.select(F.col("__doc").alias("doc"), "doc_id", "text")
+
+
+def _pieces_of(piece: Slice) -> Iterator[tuple[Slice, int]]:
+    """A slice, or a long text's pieces and where they begin; windows that cross a cut are in one piece each."""
+    if piece.n > 1 or len(piece.data) <= PIECE + LENGTH:
+        yield piece, 0
+        return
+    for at in range(0, len(piece.data) - LENGTH + 1, PIECE):
+        data = piece.data[at : at + PIECE + LENGTH - 1]
+        yield Slice(piece.first, data, np.array([0, len(data)])), at
 
 
 def _anchor_rows(numbered: DataFrame) -> DataFrame:
@@ -115,14 +165,16 @@ def _anchor_rows(numbered: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b.column("text")):
-                docs, lo, hi, at = window_anchors(piece)
-                anchor = piece.hashes(at, at + ANCHOR)
-                span = mix(piece.hashes(lo, hi + LENGTH) + (at - lo).astype(np.uint64))
-                yield pa.record_batch(
-                    [b.column("doc").take(pa.array(docs + piece.first)), pa.array(((lo - piece.offsets[docs]) << 16) | ((hi - lo) << 8) | (at - lo)), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64))],
-                    names=["doc", "place", "anchor", "span"],
-                )
+            for whole in slices(b.column("text")):
+                for piece, skipped in _pieces_of(whole):
+                    docs, lo, hi, at = window_anchors(piece)
+                    anchor = piece.hashes(at, at + ANCHOR)
+                    span = mix(piece.hashes(lo, hi + LENGTH) + (at - lo).astype(np.uint64))
+                    place = ((lo - piece.offsets[docs] + skipped) << 16) | ((hi - lo) << 8) | (at - lo)
+                    yield pa.record_batch(
+                        [b.column("doc").take(pa.array(docs + piece.first)), pa.array(place), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64))],
+                        names=["doc", "place", "anchor", "span"],
+                    )
 
     # place: first byte, number of further windows, offset of the anchor, in one long
     return numbered.select("doc", "text").mapInArrow(rows, "doc long, place long, anchor long, span long")
@@ -131,8 +183,8 @@ def _anchor_rows(numbered: DataFrame) -> DataFrame:
 _LO, _MORE = "shiftright(place, 16)", "shiftright(place, 8) & 255"
 
 
-def _fingerprints(numbered: DataFrame, spans: DataFrame) -> DataFrame:
-    """``anchor, doc, place, whole, hot, windows``: the hash of each window of the spans."""
+def _span_texts(numbered: DataFrame, spans: DataFrame) -> DataFrame:
+    """``anchor, doc, place, bytes``: the text of each span of ``spans (doc, place, anchor)``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,20 +194,19 @@ def _fingerprints(numbered: DataFrame, spans: DataFrame) -> DataFrame:
             for piece in slices(b.column("text")):
                 i = np.arange(cut[piece.first], cut[piece.first + piece.n])
                 docs = np.repeat(np.arange(piece.n), np.diff(cut[piece.first : piece.first + piece.n + 1]))
-                lo, n = (place[i] >> 16) + piece.offsets[docs], ((place[i] >> 8) & 255) + 1
-                begin = np.cumsum(n) - n
-                at = np.repeat(lo - begin, n) + np.arange(n.sum())
-                windows = pa.ListArray.from_arrays(pa.array(np.append(begin, n.sum()).astype(np.int32)), pa.array(piece.hashes(at, at + LENGTH).view(np.int64)))
-                take = pa.array(i)
-                yield pa.record_batch(
-                    [values.field("anchor").take(take), b.column("doc").take(pa.array(docs + piece.first)), pa.array(place[i]), values.field("whole").take(take), values.field("hot").take(take), windows],
-                    names=["anchor", "doc", "place", "whole", "hot", "windows"],
-                )
-
-    lists = spans.groupBy("doc").agg(F.collect_set(F.struct("place", "anchor", "whole", "hot")).alias("spans"), F.count("*").alias("n"))
-    lists = written(lists, "lpf-spans").withColumnRenamed("doc", "__doc")
+                for part in range(0, len(i), 8192):
+                    k, of = i[part : part + 8192], docs[part : part + 8192]
+                    lo, n = (place[k] >> 16) + piece.offsets[of], ((place[k] >> 8) & 255) + LENGTH
+                    begin = np.cumsum(n) - n
+                    data = piece.data[np.repeat(lo - begin, n) + np.arange(n.sum())]
+                    offsets = np.append(begin, n.sum()).astype(np.int32)
+                    texts = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+                    take = pa.array(k)
+                    yield pa.record_batch([values.field("anchor").take(take), b.column("doc").take(pa.array(of + piece.first)), pa.array(place[k]), texts], names=["anchor", "doc", "place", "bytes"])
+
+    lists = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "anchor")).alias("spans"))
     joined = numbered.join(lists, F.col("doc") == F.col("__doc")).select("doc", "text", "spans")
-    return joined.mapInArrow(rows, "anchor long, doc long, place long, whole boolean, hot boolean, windows array<long>")
+    return joined.mapInArrow(rows, "anchor long, doc long, place long, bytes binary")
 
 
 def _pieces(mask: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,34 +219,44 @@ def _pieces(mask: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[np.append(first[1:], len(at)) - 1]
 
 
+def _windows(doc: np.ndarray, place: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of spans, and for each window its span, its byte in the document and its place in the bytes."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    n = ((place >> 8) & 255) + 1
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return data, of, (place >> 16)[of] + nth, (offsets[:-1] - offsets[0])[of] + nth
+
+
+def compare_block(doc: np.ndarray, place: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """``doc, start, end, earlier`` of the windows of these spans that occur twice among them."""
+    data, of, byte, at = _windows(doc, place, texts)
+    by_position = np.lexsort((byte, doc[of]))
+    suffixes = SuffixOrder(data, at[by_position])
+    lpf, source = longest_previous(suffixes.order, suffixes.common)
+    earlier, again = np.zeros(len(of), bool), np.zeros(len(of), bool)
+    earlier[by_position] = lpf >= LENGTH
+    again[by_position[source[lpf >= LENGTH]]] = True
+    for mask, flag in ((earlier, True), (again & ~earlier, False)):
+        a, z = _pieces(mask, of)
+        yield pa.record_batch([pa.array(doc[of[a]]), pa.array(byte[a]), pa.array(byte[z] + LENGTH), pa.array(np.full(len(a), flag))], names=["doc", "start", "end", "earlier"])
+
+
 def _compare(spans: DataFrame) -> DataFrame:
     """``doc, start, end, earlier``: windows that occur again in another span of their anchor."""
 
     def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, place, anchor = (t.column(c).to_numpy() for c in ("doc", "place", "anchor"))
-        n = ((place >> 8) & 255) + 1
-        fp = t.column("windows").combine_chunks().flatten().to_numpy().view(np.uint64)
-        of = np.repeat(np.arange(len(n)), n)
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        byte = (place >> 16)[of] + nth
-        # Positions in the order of documents and bytes; suffixes ordered by anchor, fingerprint, position.
-        by_position = np.lexsort((byte, doc[of]))
-        key = mix(fp + mix(anchor.view(np.uint64))[of])[by_position]
-        order = np.argsort(key, kind="stable")
-        lpf, source = longest_previous(order, lambda r, s: np.where(key[order[r]] == key[order[s]], LENGTH, 0))
-        earlier, again = np.zeros(len(of), bool), np.zeros(len(of), bool)
-        earlier[by_position] = lpf >= LENGTH
-        again[by_position[source[lpf >= LENGTH]]] = True
-        for mask, flag in ((earlier, True), (again & ~earlier, False)):
-            a, z = _pieces(mask, of)
-            yield pa.record_batch([pa.array(doc[of[a]]), pa.array(byte[a]), pa.array(byte[z] + LENGTH), pa.array(np.full(len(a), flag))], names=["doc", "start", "end", "earlier"])
+        yield from compare_block(t.column("doc").to_numpy(), t.column("place").to_numpy(), t.column("bytes"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= 20_000:  # whole anchors only: the last one waits for the rest of its rows
+            if size >= HOT:  # whole anchors only: the last one waits for the rest of its rows
                 t = pa.Table.from_batches(held)
                 anchor = t.column("anchor").to_numpy()
                 cut = int(np.searchsorted(anchor, anchor[-1]))
@@ -206,35 +267,68 @@ def _compare(spans: DataFrame) -> DataFrame:
         if held:
             yield from block(pa.Table.from_batches(held))
 
-    dealt = spans.where("not hot").select("anchor", "doc", "place", "windows").repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    dealt = spans.repartition(F.col("anchor")).sortWithinPartitions("anchor")
     return dealt.mapInArrow(rows, "doc long, start long, end long, earlier boolean")
 
 
 def _compare_hot(spans: DataFrame) -> DataFrame:
-    """The same for anchors of very many spans, by aggregation over fingerprints."""
-    one = spans.where("hot").select("anchor", "doc", F.expr(_LO).alias("lo"), F.posexplode("windows").alias("nth", "fp"))
-    one = one.select(F.xxhash64("anchor", "fp").alias("key"), F.struct("doc", (F.col("lo") + F.col("nth")).alias("byte")).alias("at"))
-    several = one.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    return one.join(several, "key").select("at.doc", F.col("at.byte").alias("start"), (F.col("at.byte") + LENGTH).alias("end"), (F.col("at") > F.col("first")).alias("earlier"))
+    """The same for anchors of very many different spans: their windows meet by fingerprint."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, place = b.column("doc").to_numpy(), b.column("place").to_numpy()
+            for first in range(0, b.num_rows, 1024):
+                part = slice(first, first + 1024)
+                data, of, byte, at = _windows(doc[part], place[part], b.column("bytes").slice(first, 1024))
+                prints = Slice(0, data, np.array([0, len(data)])).hashes(at, at + LENGTH).view(np.int64)
+                anchor = b.column("anchor").slice(first, 1024).take(pa.array(of))
+                yield pa.record_batch([anchor, pa.array(prints), pa.array(doc[part][of]), pa.array(byte)], names=["anchor", "print", "doc", "byte"])
 
-def repeated_bytes(numbered: DataFrame) -> DataFrame:
-    """``doc, start, end, earlier``: byte ranges made of repeated windows; ``earlier`` where they occur before."""
+    one = spans.mapInArrow(rows, "anchor long, print long, doc long, byte long")
+    at = F.struct("doc", "byte")
+    several = one.groupBy("anchor", "print").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    return one.join(several, ["anchor", "print"]).select("doc", F.col("byte").alias("start"), (F.col("byte") + LENGTH).alias("end"), (at > F.col("first")).alias("earlier"))
+
+
+def _heavy_anchors(rows: DataFrame) -> list[int]:
+    """Anchors of one in ``HEAVY`` of all spans or more, of which there are at most ``HEAVY``, and perhaps others."""
+    most = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(anchor, {HEAVY}, {4 * HEAVY})").alias("top")).first()
+    return [x.item for x in most.top or () if x["count"] * HEAVY >= most.n]
+
+
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """``doc, place, anchor, again, whole, mixed`` of the spans whose anchor occurs again.
+
+    ``again``: an earlier span of the anchor is equal as a whole; ``whole``: an earlier or later one is;
+    ``mixed``: the anchor has different spans.
+    """
+    heavy = _heavy_anchors(rows)
+    is_heavy = F.col("anchor").isin(heavy) if heavy else F.lit(False)
     by_anchor = Window.partitionBy("anchor")
     in_order = by_anchor.orderBy("span", "doc", "place")
-    rows = _anchor_rows(numbered)
-    rows = rows.withColumn("prev", F.lag("span").over(in_order)).withColumn("next", F.lead("span").over(in_order))
-    rows = rows.withColumn("n", F.count("*").over(by_anchor)).where("n > 1")
-    rows = rows.withColumn("mixed", F.min("span").over(by_anchor) != F.max("span").over(by_anchor))
+    light = rows.where(~is_heavy).withColumn("prev", F.lag("span").over(in_order)).withColumn("next", F.lead("span").over(in_order))
+    light = light.withColumn("n", F.count("*").over(by_anchor)).where("n > 1")
+    light = light.withColumn("mixed", F.min("span").over(by_anchor) != F.max("span").over(by_anchor))
     again, more = F.coalesce(F.col("span") == F.col("prev"), F.lit(False)), F.coalesce(F.col("span") == F.col("next"), F.lit(False))
-    rows = rows.select("doc", "place", "anchor", again.alias("again"), (again | more).alias("whole"), "mixed", (F.col("n") > HOT).alias("hot")).where("whole or mixed")
-    rows = written(rows, "lpf-anchors")
+    light = light.select("doc", "place", "anchor", again.alias("again"), (again | more).alias("whole"), "mixed")
+    if heavy:
+        own = written(rows.where(is_heavy), "lpf-heavy")
+        at = F.struct("doc", "place")
+        firsts = own.groupBy("anchor", "span").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+        joined = own.join(firsts, ["anchor", "span"])
+        light = light.union(joined.select("doc", "place", "anchor", (at != F.col("first")).alias("again"), (F.col("n") > 1).alias("whole"), F.lit(True).alias("mixed")))
+    return light.where("whole or mixed")
+
+
+def repeated_bytes(numbered: DataFrame) -> DataFrame:
+    """``doc, start, end, earlier``: byte ranges made of repeated windows; ``earlier`` where they occur before."""
+    rows = written(_with_copies(_anchor_rows(numbered)), "lpf-anchors")
     whole = rows.where("whole").select("doc", F.expr(_LO).alias("start"), (F.expr(_LO) + F.expr(_MORE) + LENGTH).alias("end"), F.col("again").alias("earlier"))
-    spans = written(_fingerprints(numbered, rows.where("mixed and not again").select("doc", "place", "anchor", "whole", "hot")), "lpf-windows")
-    found = whole.union(_compare(spans))
-    if spans.where("hot").take(1):
-        found = found.union(_compare_hot(spans))
-    return found
+    spans = written(_span_texts(numbered, rows.where("mixed and not again").select("doc", "place", "anchor")), "lpf-spans")
+    hot = written(spans.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "lpf-hot")
+    if not hot.take(1):
+        return whole.union(_compare(spans))
+    return whole.union(_compare(spans.join(hot, "anchor", "left_anti"))).union(_compare_hot(spans.join(hot, "anchor", "left_semi")))
 
 
 def _without(documents: DataFrame, numbered: DataFrame, ranges: DataFrame, keep_text: bool) -> DataFrame:
@@ -264,8 +358,6 @@ def _without(documents: DataFrame, numbered: DataFrame, ranges: DataFrame, keep_
             yield pa.record_batch(out, names=["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     merged = written(ranges.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "lpf-ranges").withColumnRenamed("doc", "__doc")
-    if merged.count() <= BROADCAST_ROWS:
-        merged = F.broadcast(merged)
     joined = numbered.join(merged, F.col("doc") == F.col("__doc"), "left").select("doc_id", "doc", "text", "ranges")
     kind = documents.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(rows, f"doc_id {kind}, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
@@ -280,8 +372,12 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     return _without(documents, numbered, repeated_bytes(numbered).where("earlier"), True).drop("doc")
 
 
-def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """Contract columns over all documents: every occurrence of a repeated string goes."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def op7_columns(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``: every occurrence of a repeated string goes."""
     numbered = _numbered(documents)
     return _without(documents, numbered, repeated_bytes(numbered), False).drop("doc", "kept")
+
+
+def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """Contract columns over all documents."""
+    return op7_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
