@@ -4,8 +4,11 @@ Everything stays in tables: no links, components or buckets reach the driver, on
 nodes is never expanded into rows for its n^2 pairs. Each of ``ROUNDS`` rounds pairs a node with one other
 node of its bucket, the likeliest centre of a group of near copies, unless both are known to be connected
 already; verified pairs then merge components. Buckets that still hold several components are then settled
-exactly, so that no link between components is lost: groups of at most ``FEW`` nodes pair by pair, larger
-ones in blocks of nodes that meet in pairs inside tasks and return only a spanning forest of their links.
+exactly, so that no link between components is lost: groups of at most ``FEW`` nodes pair by pair. Larger
+ones are first grouped anew by what a link needs: two sets of similarity t share one of their
+``size - ceil(t * size) + 1`` rarest items, so nodes that share none of these with another component go, and
+the others fall into smaller groups. What is left meets in blocks of a bounded number of nodes and items,
+two blocks in a task, which returns only a spanning forest of their links.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import written
+from ruleloom.llm.common import discard, written
 
-ROUNDS, FEW, BLOCK_ITEMS = 2, 32, 250_000
+ROUNDS, FEW = 2, 32
+BLOCK_ITEMS, BLOCK_NODES = 250_000, 2_000  # of a block; two blocks and their overlaps fit a task
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -42,7 +46,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        e = written(small.where("a <> b").distinct(), name)
+        last, e = e, written(small.where("a <> b").distinct(), name)
+        discard(last)
         state = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == before:
             break
@@ -112,17 +117,32 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
     add(few.join(other, "bucket").where("component < other_component").where(close).select("node", "other"))
     many = member.where(F.col("n") > FEW)
     if many.take(1):
-        merge(written(_blocked(many, sets, threshold), f"{name}-blocked"))
+        smaller = written(_regrouped(many, sets, threshold, name), f"{name}-groups")
+        merge(written(_blocked(smaller, sets, threshold), f"{name}-blocked"))
     return comp
 
 
+def _regrouped(members: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
+    """``node, size, component, group, n, items``: members that share a rare item with another component, in new groups."""
+    own = members.select("node", "group", "component").join(sets, "node")
+    each = own.select("node", "group", "component", F.size("items").alias("of"), F.explode("items").alias("item"))
+    often = each.groupBy("group", "item").agg(F.count("*").alias("often"))
+    rarest = F.col("of") - F.ceil(F.lit(threshold) * F.col("of") - 1e-9) + 1
+    in_order = each.join(often, ["group", "item"]).groupBy("node", "group", "component", "of").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
+    prefix = written(in_order.select("node", "group", "component", F.explode(F.slice("items", F.lit(1), rarest.cast("int"))["item"]).alias("item")), f"{name}-prefix")
+    met = prefix.groupBy("group", "item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("b")).where("lo < hi").select("group", "item", "b")
+    groups = components(prefix.join(met, ["group", "item"]).select(F.col("node").alias("a"), "b"), f"{name}-regrouped")
+    found = members.select("node", "size", "component").join(groups.withColumnRenamed("component", "group"), "node")
+    return found.join(found.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("items")), "group")
+
+
 def _blocked(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b`` between components of large groups; blocks of a group's nodes meet in pairs.
 
-    Each task holds two blocks of about ``BLOCK_ITEMS`` items and returns a spanning forest of the links
-    that it finds, so pairs are compared but never made into rows.
+    Each task holds two blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_NODES`` nodes at most and returns a
+    spanning forest of the links that it finds, so pairs are compared but never made into rows.
     """
-    blocks = F.ceil(F.col("items") / F.lit(BLOCK_ITEMS)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("items") / F.lit(BLOCK_ITEMS), F.col("n") / F.lit(BLOCK_NODES))).cast("int")
     own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).drop("items", "n", "size")
     dealt = own.join(sets, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "items")

@@ -5,8 +5,8 @@ words or more. A cut depends on the sentence before it alone, so a passage that
 keeps its inner cuts and its inner paragraphs are found again. Neighbouring paragraphs of fewer than
 ``MIN_WORDS`` words are joined to units of ``MIN_WORDS`` words or more. One that has no such neighbours makes
 further units with the paragraph before it and the one after it, which are equal to others or not, as runs
-are (see below); if its text holds no other, it is a unit itself. Each unit has the set of its runs of ``SHINGLE`` words. Paragraphs of equal sets are one node; nodes that
-share one of ``BANDS`` bands of ``ROWS`` MinHash values are candidates, verified by exact Jaccard
+are (see below); if its text holds no other, it is a unit itself. Each unit has the set of its runs of
+``SHINGLE`` words. Paragraphs of equal sets are one node; nodes that share one of ``BANDS`` bands of ``ROWS`` MinHash values are candidates, verified by exact Jaccard
 similarity and joined into classes (module ``links``).
 
 Sentences depend on punctuation, so runs of ``CHUNK`` words are units too: those that start at the smallest
@@ -22,15 +22,21 @@ Of each class the first paragraph (smallest document id, null last) stays and al
 ``bands_for`` tells how many bands a recall needs; the defaults find a pair at the threshold in 99.8 % of
 cases and the more similar ones practically always.
 
+Documents are read twice. The first pass emits the bands of paragraphs and the hashes of runs into one
+shuffle, whose sorted rows tell which nodes meet others and which occur again. The second pass lists the
+units of these, with the sets of those that need to be compared. A table of ``BITS`` bits tells it which:
+it may let others pass, never drops one, and classes are counted exactly afterwards.
+
 Edge cases: null and empty texts have no paragraphs; rows equal in id and text are copies of each other
-of which one stays; null ids are kept; an empty table gives an empty result; ``dedup_paragraphs`` keeps
-all other columns.
+of which one stays; null ids are kept, and come last; an empty table gives an empty result;
+``dedup_paragraphs`` keeps all other columns.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +44,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.common import written
+from ruleloom.llm.common import discard, with_row_numbers, written
 from ruleloom.llm.links import link
 from ruleloom.llm.textops import Slice, _powers as powers, grams, mix, seeded, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 SENTENCE_WORDS, MIN_WORDS, CHUNK = 6, 6, 25
 BANDS, ROWS = 6, 2
-BROADCAST_ROWS, BITS = 400_000, 1 << 27
+BITS = 1 << 27
+_SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = _STOP[list(b".!?")] = True
+_RUN = 7  # where the bands of paragraphs have their numbers, below it
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,10 +104,9 @@ class Paragraphs:
         self.text, self.word_starts, self.word_ends, self.word_docs = low, starts, ends, docs
         n = len(starts)
         data = low.data
-        newline = np.concatenate([[0], np.cumsum(data == 10)])
-        space = np.isin(data, np.array([32, 9, 10, 11, 12, 13], np.uint8))
-        stops = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".!?", np.uint8)))])
-        last_space = np.append(0, np.maximum.accumulate(np.where(space, np.arange(len(data)), 0)))  # before a place
+        newline = np.append(0, np.cumsum(data == 10, dtype=np.int64))
+        stops = np.append(0, np.cumsum(_STOP[data], dtype=np.int64))
+        last_space = np.append(0, np.maximum.accumulate(np.where(_SPACE[data], np.arange(len(data)), 0)))  # before a place
         other = np.append(docs[1:] != docs[:-1], True) if n else np.zeros(0, bool)
         to = np.append(starts[1:], len(data)) if n else starts
         hard = other | (newline[to] > newline[ends])  # after this word a text or a line ends
@@ -120,19 +128,26 @@ class Paragraphs:
             self.shingles[self.begin[u]] = grams(self.hashes[first[u] : cut[u] + 1], int(self.words[u]))[0] ^ np.uint64(self.words[u])
         self.of = np.repeat(np.arange(len(first)), size)
 
+    @cached_property
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles and the paragraph of each, paragraphs in order."""
-        order = np.lexsort((self.shingles, self.of))
-        h, of = self.shingles[order], self.of[order]
+        key = (self.of.astype(np.uint64) << np.uint64(40)) | (self.shingles >> np.uint64(24))
+        order = np.argsort(key)
+        key, h = key[order], self.shingles[order]
+        if len(self.words) >= 1 << 24 or ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+            order = np.lexsort((self.shingles, self.of))
+            h = self.shingles[order]
+        of = self.of[order]
         new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
         return h[new], of[new]
 
+    @cached_property
     def nodes(self) -> tuple[np.ndarray, np.ndarray]:
         """A hash of each paragraph's set, and the size of the set."""
-        h, of = self.sets()
-        total = np.zeros(len(self.words), np.uint64)
-        np.add.at(total, of, mix(h))
+        h, of = self.sets
         size = np.bincount(of, minlength=len(self.words))
+        begin = np.cumsum(size) - size
+        total = np.add.reduceat(mix(h), begin) if len(h) else np.zeros(0, np.uint64)
         return mix(total + size.astype(np.uint64)).view(np.int64), size
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,29 +177,44 @@ class Paragraphs:
         first = np.flatnonzero(chosen[: len(docs) - CHUNK + 1])
         return first[docs[first] == docs[first + CHUNK - 1]]
 
-    def units(self, bits: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Document, order in it, start, end, first word, words and node of all units in order; of runs, those in ``bits``."""
+    def units(self, again: np.ndarray, met: np.ndarray) -> tuple:
+        """Document, start, end, first word, words, node and items of the units whose node is in ``again``, in order.
+
+        Items, the set, are there for the first unit of each node that is in ``met``, else null.
+        """
         at, length, hashed = self.runs()
-        held = _in_bits(bits, hashed)
-        first = np.append(self.first, at[held])
-        words = np.append(self.words, length[held])
-        node = np.append(self.nodes()[0], hashed[held])
+        node, size = self.nodes
+        _, new = np.unique(node, return_index=True)
+        compared = np.zeros(len(node), bool)
+        compared[new] = _in_bits(met, node[new])
+        own, run = np.flatnonzero(_in_bits(again, node)), np.flatnonzero(_in_bits(again, hashed))
+        first = np.append(self.first[own], at[run])
+        words = np.append(self.words[own], length[run])
+        nodes = np.append(node[own], hashed[run])
         order = np.lexsort((words, first))
-        first, words, node = first[order], words[order], node[order]
+        sentence = np.append(own, np.full(len(run), -1))[order]
+        first, words, nodes = first[order], words[order], nodes[order]
+        with_items = (sentence >= 0) & compared[sentence] if len(node) else np.zeros(len(sentence), bool)
+        n = np.where(with_items, size[sentence], 0) if len(node) else np.zeros(len(sentence), np.int64)
+        begin = (np.cumsum(size) - size)[sentence] if len(node) else n
+        cut = np.append(0, np.cumsum(n))
+        h, _ = self.sets
+        items = h[np.repeat(begin - cut[:-1], n) + np.arange(cut[-1])] if len(h) else h
+        lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(items.view(np.int64)), mask=pa.array(~with_items))
         docs = self.word_docs[first]
-        nth = np.arange(len(first)) - np.searchsorted(docs, docs)
         begins = np.searchsorted(self.word_docs, docs)  # the document's first word
         offset = self.text.offsets[docs]
-        return docs, nth, self.word_starts[first] - offset, self.word_ends[first + words - 1] - offset, first - begins, words, node
+        return docs, self.word_starts[first] - offset, self.word_ends[first + words - 1] - offset, first - begins, words, nodes, lists
 
     def bands(self) -> np.ndarray:
+        """One bucket per band for each paragraph; the lowest bits tell the band."""
         out = np.zeros((len(self.words), BANDS), np.uint64)
         if len(out):
             for b in range(BANDS):
                 x = np.full(len(out), b + 1, np.uint64)
                 for r in range(ROWS):
                     x = mix(x * _STEP + np.minimum.reduceat(seeded(self.shingles, b * ROWS + r), self.begin))
-                out[:, b] = x
+                out[:, b] = (x & ~np.uint64(_RUN)) | np.uint64(b)
         return out.view(np.int64)
 
 
@@ -200,46 +230,46 @@ def _map(documents: DataFrame, schema: str, columns) -> DataFrame:
     return documents.mapInArrow(rows, schema)
 
 
-def _narrow(documents: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return documents.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+def _narrow(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col("__doc").alias("doc"), "doc_id", F.col("text").cast("string").alias("text"))
 
 
 def _in_bits(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (bits[node & (BITS // 64 - 1)] >> ((node.view(np.uint64) >> np.uint64(32)) & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _repeated_runs(documents: DataFrame) -> np.ndarray:
-    """A table of ``BITS`` bits with those of all runs that stand in more than one place, and by chance of some others."""
-    found = _map(_narrow(documents).select("text"), "node long", lambda b, piece, p: [p.runs()[2]])
-    several = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+def _bits(nodes: DataFrame) -> np.ndarray:
+    """A table of ``BITS`` bits with those of all nodes, and by chance of some others."""
     at = F.col("node").bitwiseAND(F.lit(BITS // 64 - 1).cast("long")).alias("at")
-    table = several.groupBy(at).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(node, 32) & 63 as int)))").alias("bits")).toArrow()
+    table = nodes.groupBy(at).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(node, 32) & 63 as int)))").alias("bits")).toArrow()
     bits = np.zeros(BITS // 64, np.int64)
     bits[table.column("at").to_numpy()] = table.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, nth, start, end, word, words, node, row``; start and end count UTF-8 bytes.
+def _entries(numbered: DataFrame) -> DataFrame:
+    """``bucket, node, size``: a bucket for each band of each paragraph, and one for each run.
 
-    Most runs that stand in one place only are left out here; the others are when classes are counted.
-    ``row - nth`` tells the documents apart.
+    A node that occurs several times within a slice comes once, its size with a minus sign.
     """
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    bits = documents.sparkSession.sparkContext.broadcast(_repeated_runs(documents))
 
     def columns(b, piece, p):
-        docs, nth, start, end, word, words, node = p.units(bits.value)
-        at = pa.array(docs + piece.first)
-        return [b.column("doc_id").take(at), b.column("text_hash").take(at), nth.astype(np.int32), start, end, word.astype(np.int32), words.astype(np.int32), node]
+        node, size = p.nodes
+        _, first, n = np.unique(node, return_index=True, return_counts=True)
+        run, of_run = np.unique(p.runs()[2], return_counts=True)
+        bucket = np.append(p.bands()[first].ravel(), run | np.int64(_RUN))
+        signed = np.where(n > 1, -size[first], size[first])
+        return [bucket, np.append(np.repeat(node[first], BANDS), run), np.append(np.repeat(signed, BANDS), np.where(of_run > 1, -1, 1)).astype(np.int32)]
 
-    schema = f"doc_id {id_type}, text_hash long, nth int, start long, end long, word int, words int, node long"
-    return _map(_narrow(documents), schema, columns).withColumn("row", F.monotonically_increasing_id())
+    return _map(_narrow(numbered).select("text"), "bucket long, node long, size int", columns)
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """The distinct entries of buckets that hold several nodes: one shuffle, then a pass over the sorted rows."""
+    """The distinct entries of buckets that hold several nodes, and, with sizes below 0, the nodes that occur again.
+
+    One shuffle, then a pass over the sorted rows.
+    """
+    names = ["bucket", "node", "size"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, follows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
@@ -247,90 +277,89 @@ def _shared(entries: DataFrame) -> DataFrame:
             bucket, node, size = (np.append(h, c.to_numpy()) for h, c in zip(held, b.columns, strict=True))
             if not len(bucket):
                 continue
-            new = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))
-            bucket, node, size = bucket[new], node[new], size[new]
+            first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])))
+            again = (np.diff(np.append(first, len(bucket))) > 1) | (np.minimum.reduceat(size, first) < 0)
+            bucket, node, size = bucket[first], node[first], np.abs(size[first])
             like_next = bucket[1:] == bucket[:-1]
             like_before = np.append(follows, like_next)
-            keep = like_before[:-1] | like_next  # the last row waits for the one after it
-            yield pa.record_batch([pa.array(x[:-1][keep]) for x in (bucket, node, size)], names=["bucket", "node", "size"])
-            held, follows = [bucket[-1:], node[-1:], size[-1:]], bool(like_before[-1])
-        if follows:
-            yield pa.record_batch([pa.array(x) for x in held], names=["bucket", "node", "size"])
+            band = bucket & _RUN
+            meet = (like_before[:-1] | like_next) & (band[:-1] != _RUN)  # the last row waits for the one after it
+            more = again[:-1] & ((band[:-1] == 0) | (band[:-1] == _RUN))
+            yield pa.record_batch([pa.array(x[:-1][meet]) for x in (bucket, node, size)], names=names)
+            yield pa.record_batch([pa.array(x[:-1][more]) for x in (bucket, node, -size)], names=names)
+            held, follows = [bucket[-1:], node[-1:], np.where(again[-1:], -size[-1:], size[-1:])], bool(like_before[-1])
+        if len(held[0]):
+            band = int(held[0][0]) & _RUN
+            size = np.abs(held[2])
+            if follows and band != _RUN:
+                yield pa.record_batch([pa.array(x) for x in (held[0], held[1], size)], names=names)
+            if held[2][0] < 0 and band in (0, _RUN):
+                yield pa.record_batch([pa.array(x) for x in (held[0], held[1], -size)], names=names)
 
     return entries.repartition(F.col("bucket")).sortWithinPartitions("bucket", "node").mapInArrow(rows, "bucket long, node long, size int")
 
 
-def _few(wanted: DataFrame) -> DataFrame:
-    return F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-
+def _units(numbered: DataFrame, again: np.ndarray, met: np.ndarray) -> DataFrame:
+    """``doc, doc_id, start, end, word, words, node, items``; start and end count UTF-8 bytes."""
+    sent = numbered.sparkSession.sparkContext.broadcast((again, met))
 
-def _entries(documents: DataFrame) -> DataFrame:
     def columns(b, piece, p):
-        node, size = p.nodes()
-        _, first = np.unique(node, return_index=True)  # copies within a slice add nothing
-        return [p.bands()[first].ravel(), np.repeat(node[first], BANDS), np.repeat(size[first].astype(np.int32), BANDS)]
-
-    return _map(_narrow(documents).select("text"), "bucket long, node long, size int", columns)
-
-
-def _sets(documents: DataFrame) -> DataFrame:
-    def columns(b, piece, p):
-        node, _ = p.nodes()
-        h, of = p.sets()
-        cut = np.searchsorted(of, np.arange(len(node) + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))
-        _, first = np.unique(node, return_index=True)
-        return [node[first], lists.take(pa.array(first))]
+        docs, start, end, word, words, node, items = p.units(*sent.value)
+        at = pa.array(docs + piece.first)
+        return [b.column("doc").take(at), b.column("doc_id").take(at), start, end, word.astype(np.int32), words.astype(np.int32), node, items]
 
-    return _map(_narrow(documents).select("text"), "node long, items array<long>", columns)
+    id_type = numbered.schema["doc_id"].dataType.simpleString()
+    return _map(_narrow(numbered), f"doc long, doc_id {id_type}, start long, end long, word int, words int, node long, items array<long>", columns)
 
 
-def repeated(documents: DataFrame, threshold: float = THRESHOLD, run_words: int = 0) -> DataFrame:
+def repeated(numbered: DataFrame, threshold: float = THRESHOLD, run_words: int = 0) -> DataFrame:
     """Paragraphs of classes of two or more; with ``run_words`` those in runs of so many words or more.
 
-    ``doc_id, text_hash, nth, start, end, word, words, class, first_doc, removed``: ``first_doc`` holds the
-    paragraph that stays; ``removed`` is true where this one goes.
+    ``numbered`` are documents with row numbers. ``doc, doc_id, start, end, word, words, class, first_doc,
+    removed``: ``first_doc`` holds the paragraph that stays; ``removed`` is true where this one goes.
     """
-    units = written(paragraphs(documents), "par-units")
-    entries = written(_shared(_entries(documents)), "par-entries")
-    wanted = _few(written(entries.select(F.col("node").alias("wanted")).distinct(), "par-wanted"))
-    sets = written(_sets(documents).join(wanted, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]), "par-sets")
+    shared = written(_shared(_entries(numbered)), "par-shared")
+    entries = shared.where("size > 0")
+    units = written(_units(numbered, _bits(shared), _bits(entries)), "par-units")
+    sets = written(units.where("items is not null").select("node", "items").dropDuplicates(["node"]), "par-sets")
+    units = units.drop("items")
     linked = link(entries, sets, threshold, "par")
 
-    classed = units.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    document, to = F.col("row") - F.col("nth"), F.col("word") + F.col("words")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row", document.alias("document"), to.alias("to"))
+    classed = units.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component", "node")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "word", "words")
     classes = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    over_first = (document == F.col("first.document")) & (F.col("word") < F.col("first.to"))
-    same = classed.join(classes, "class").withColumn("removed", (F.col("row") != F.col("first.row")) & ~over_first)
-    marked = written(same.withColumn("first_doc", F.col("first.doc_id")).drop("first", "n", "node"), "par-marked")
+    over_first = (F.col("doc") == F.col("first.doc")) & (F.col("word") < F.col("first.word") + F.col("first.words"))
+    same = classed.join(classes, "class").withColumn("removed", ~over_first)
+    marked = written(same.withColumn("first_doc", F.col("first.doc_id")).drop("first", "n"), "par-marked")
+    discard(sets)
     # A class whose members all overlap its first one stands in one place only.
     marked = marked.join(marked.where("removed").select("class").distinct(), "class", "left_semi")
     if not run_words:
         return marked
 
     def long_runs(rows: DataFrame) -> DataFrame:
-        own = Window.partitionBy("doc_id", "text_hash", document)
-        reach = F.max(to).over(own.orderBy("word", "row").rowsBetween(Window.unboundedPreceding, -1))
-        run = rows.withColumn("cut", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("cut").over(own.orderBy("word", "row")))
-        in_run = Window.partitionBy("doc_id", "text_hash", document, "run")
+        own, to = Window.partitionBy("doc"), F.col("word") + F.col("words")
+        in_order = own.orderBy("word", "words", "class")
+        reach = F.max(to).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+        run = rows.withColumn("cut", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("cut").over(in_order))
+        in_run = Window.partitionBy("doc", "run")
         total = F.max(to).over(in_run) - F.min("word").over(in_run)
         return run.withColumn("total", total).where(F.col("total") >= run_words).drop("cut", "run", "total")
 
-    gone = long_runs(marked.where("removed")).select("row", F.lit(True).alias("goes"))
+    unit = ["doc", "word", "words", "class"]
+    gone = long_runs(marked.where("removed")).select(*unit, F.lit(True).alias("goes"))
     kept = long_runs(marked).drop("removed")
-    return kept.join(gone, "row", "left").withColumn("removed", F.coalesce("goes", F.lit(False))).drop("goes")
+    return kept.join(gone, unit, "left").withColumn("removed", F.coalesce("goes", F.lit(False))).drop("goes")
 
 
 def dedup_paragraphs(documents: DataFrame, run_words: int = 0) -> DataFrame:
     """The documents without the passages that go, with all their columns."""
-    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    gone = repeated(documents, run_words=run_words).where("removed").withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    numbered = with_row_numbers(documents)
+    before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gone = repeated(numbered, run_words=run_words).where("removed").withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
     between = F.when(F.col("from") < F.col("start"), F.struct("from", F.col("start").alias("to")))  # what stays before this unit
-    spans = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(between)).alias("__stays"), F.max("end").alias("__end"))
-    text = F.col("text").cast("string")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
-    joined = documents.join(spans, same, "left").drop("__id", "__hash")
+    spans = gone.groupBy(F.col("doc").alias("__of")).agg(F.array_sort(F.collect_set(between)).alias("__stays"), F.max("end").alias("__end"))
+    joined = numbered.join(spans, F.col("__doc") == F.col("__of"), "left")
     raw = F.col("text").cast("binary")
     stays = F.array_append("__stays", F.struct(F.col("__end").alias("from"), F.octet_length("text").cast("long").alias("to")))
     pieces = F.transform(stays, lambda x: F.decode(F.substring(raw, x["from"].cast("int") + 1, (x["to"] - x["from"]).cast("int")), "UTF-8"))
@@ -347,28 +376,30 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add)["n"]
 
 
-def op6_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
+def passages(documents: DataFrame) -> DataFrame:
     """Every document with its repeated and removed passages.
 
     ``doc_id, n_repeated, n_removed, removed_words, first_docs``: paragraphs in repeated passages, those
     of them that go, the words that these cover, and the ids of the documents that keep them.
     """
+    numbered = with_row_numbers(documents.select("doc_id", "text"))
     spans = F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("word", (F.col("word") + F.col("words")).alias("to")))))
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = repeated(documents).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("row") - F.col("nth")).agg(
+    found = repeated(numbered).groupBy(F.col("doc").alias("__of")).agg(
         F.count("*").alias("n_repeated"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
         _covered(spans).cast("long").alias("removed_words"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_doc")))).alias("first_docs"),
     )
-    one = found.groupBy("__id", "__hash").agg(F.max("n_repeated").alias("n_repeated"), F.max("n_removed").alias("n_removed"), F.max("removed_words").alias("removed_words"), F.max("first_docs").alias("first_docs"))
-    rows = _narrow(documents).drop("text")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     none = F.array().cast(f"array<{documents.schema['doc_id'].dataType.simpleString()}>")
-    return rows.join(one, same, "left").select(
+    return numbered.join(found, F.col("__doc") == F.col("__of"), "left").select(
         "doc_id",
         F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
         F.coalesce("first_docs", none).alias("first_docs"),
     )
+
+
+def op6_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
+    """:func:`passages` of all documents."""
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
