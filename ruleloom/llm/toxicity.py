@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import written
 from ruleloom.llm.textops import Slice, mix, slices
 
-SAMPLE, VOTERS, MIN_Z, PREFIXES = 6_000, 1_024, 5.0, (4, 5, 6)
+SAMPLE, VOTERS, MIN_Z, PREFIXES, RENEW = 6_000, 1_024, 5.0, (4, 5, 6), 10
 #: Common English insults; they vote whether or not the labelled rows hold them.
 SEED_LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard")
 
@@ -68,13 +68,17 @@ def _seed() -> np.ndarray:
 
 
 def sample(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """``text, toxic`` of the bounded sample, and the number of all labelled rows of each class."""
+    """``text, toxic`` of the bounded sample, and the number of all labelled rows of each class.
+
+    A labelled id gives one text, the smallest, however often it occurs.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {int(r.toxic): int(r["count"]) for r in usable.groupBy("toxic").count().collect()}
     first = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1)]
     few = F.broadcast(first[0].unionByName(first[1]).withColumnRenamed("doc_id", "label_id"))  # at most 2 x SAMPLE rows
-    return documents.join(few, F.col("doc_id") == F.col("label_id")).select("text", "toxic"), sizes
+    taken = documents.join(few, F.col("doc_id") == F.col("label_id"))
+    return taken.groupBy("label_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("label_id"), sizes
 
 
 def mine(labelled: DataFrame) -> np.ndarray:
@@ -103,28 +107,33 @@ def mine(labelled: DataFrame) -> np.ndarray:
     return np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Posterior of the toxic class for each row of a 0/1 vote matrix, and the model's estimates.
 
     ``fires_toxic`` and ``fires_clean`` are each voter's firing rates, ``independence`` its weight: one
-    over the sum of its correlations, within the toxic class, with all voters.
+    over the sum of its correlations, within the toxic class, with all voters. Correlations are estimated
+    anew every ``RENEW`` rounds, until the posterior changes no more: as long as wrong labels mix the
+    classes, all voters look correlated.
     """
-    p = np.where(given == 1, 0.95, 0.05)
-    for _ in range(rounds):
+    p, independence = np.where(given == 1, 0.95, 0.05), np.ones(votes.shape[1])
+    for i in range(rounds):
         w1, w0 = p * weight, (1 - p) * weight
         a = (w1 @ votes + 0.5) / (w1.sum() + 1)
         b = (w0 @ votes + 0.5) / (w0.sum() + 1)
-        centred = (votes - a) * np.sqrt(w1)[:, None]
-        cov = centred.T @ centred
-        scale = np.sqrt(np.diag(cov)) + 1e-9
-        rho = np.abs(cov / scale[:, None] / scale[None, :])
-        np.fill_diagonal(rho, 1.0)
-        independence = 1.0 / np.where(rho > 0.2, rho, 0).sum(1)
+        if i % RENEW == 0:
+            centred = (votes - a) * np.sqrt(w1)[:, None]
+            cov = centred.T @ centred
+            scale = np.sqrt(np.diag(cov)) + 1e-9
+            rho = np.abs(cov / scale[:, None] / scale[None, :])
+            np.fill_diagonal(rho, 1.0)
+            independence = 1.0 / np.where(rho > 0.2, rho, 0).sum(1)
         good = np.clip([(w1 @ given + 1) / (w1.sum() + 2), (w0 @ given + 1) / (w0.sum() + 2)], 0.005, 0.995)
         logit = np.log(w1.sum() + 1) - np.log(w0.sum() + 1)
         logit = logit + votes @ (independence * (np.log(a / b) - np.log((1 - a) / (1 - b)))) + (independence * np.log((1 - a) / (1 - b))).sum()
         logit = logit + np.where(given == 1, np.log(good[0] / good[1]), np.log((1 - good[0]) / (1 - good[1])))
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        before, p = p, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        if i % RENEW == RENEW - 1 and np.abs(p - before).mean() < 1e-5:
+            break
     return p, {"fires_toxic": a, "fires_clean": b, "independence": independence}
 
 

@@ -89,6 +89,20 @@ def repeated_bytes(texts, n=200):
     return out
 
 
+def later_bytes(texts, n=200):
+    """How many bytes of each text are in strings of ``n`` bytes that start earlier, in this order of texts."""
+    seen, out = set(), []
+    for t in texts:
+        raw = (t or "").encode()
+        gone = [False] * len(raw)
+        for i in range(len(raw) - n + 1):
+            if raw[i : i + n] in seen:
+                gone[i : i + n] = [True] * n
+            seen.add(raw[i : i + n])
+        out.append(sum(gone))
+    return out
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False

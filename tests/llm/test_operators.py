@@ -1,9 +1,10 @@
 """Each corpus operator against its plain version, over nulls, empty and long texts, ties, repeats and extra columns."""
 
+import math
 import random
 
 import pytest
-from brute import LOWER, base_license, base_scores, classes, contamination, crc, line_dedup, nearest, repeated_bytes, targets, words
+from brute import LOWER, base_license, base_scores, classes, contamination, crc, later_bytes, line_dedup, nearest, repeated_bytes, targets, words
 from pyspark.sql import functions as F
 
 from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, multiindex, paragraphs, suffixdedup, toxicity
@@ -75,6 +76,34 @@ def test_license_notice_with_a_missing_word(spark):
     assert r.n_base == 0 and r.labels == "mit" and 0.8 <= r.score < 1
 
 
+def test_license_labels_against_all_windows(spark):
+    rng = random.Random(31)
+    notices = list(licenses.NOTICES)
+    docs = []
+    for i in range(120):
+        w = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 3)):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 0 else ["other"] * rng.randint(1, 3)
+        docs.append((i, " ".join([*prose(rng, 5).split(), *w, *rng.choice(notices).split()[:4]])))
+    bsd = next(n for n, label in licenses.NOTICES.items() if label == "bsd").split()
+    docs.append((900, " ".join(x for i in range(len(bsd) - 1) for x in (bsd[i], bsd[i + 1], "zig", "zag"))))
+    found = by_id(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")))
+    for i, text in docs:
+        w, labels, best = words(text), set(), 0.0
+        for phrase, label in [*licenses.BASE.items(), *licenses.NOTICES.items()]:
+            p = phrase.split()
+            n, base = len(p) - 1, phrase in licenses.BASE
+            at = {(k - j, j) for j in range(n) for k in range(len(w) - 1) if w[k : k + 2] == p[j : j + 2]}
+            share = max((len({j for d, j in at if f <= d <= f + licenses.SLACK}) / n for f, _ in at), default=0)
+            whole = any(w[k : k + len(p)] == p for k in range(len(w)))
+            if whole if base or n < licenses.FUZZY_FROM else share >= licenses.MIN_SHARE:
+                labels.add(label)
+                best = max(best, share)
+        assert (found[i].labels, found[i].score) == (",".join(sorted(labels)), pytest.approx(best)), text
+    assert found[900].labels == ""
+
+
 BENCHMARK = [("x1", " ".join(VOCABULARY[:14])), ("x2", "three words only"), (None, " ".join(VOCABULARY[20:31])), ("x3", None), ("x4", "..."), ("x1", " ".join(VOCABULARY[:14]))]
 
 
@@ -173,17 +202,48 @@ def test_short_paragraphs(spark):
     assert all(kept[i] == texts[i] for i in range(len(texts)) if i != 5) and not words(kept[5])
 
 
-def test_substrings(docs, rows, none):
+@pytest.mark.parametrize("heavy, hot", [(5_000, 5_000), (200_000, 5_000), (5_000, 1), (200_000, 1)])
+def test_substrings(docs, rows, none, monkeypatch, heavy, hot):
+    monkeypatch.setattr(suffixdedup, "HEAVY", heavy)  # with the larger number every anchor counts as heavy
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     numbered = suffixdedup._numbered(docs)
     found = by_id(suffixdedup._without(docs, numbered, suffixdedup.repeated_bytes(numbered), False))
     for (doc_id, *_), want in zip(rows, repeated_bytes([r[1] for r in rows]), strict=True):
         r = found[doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
     first = by_id(suffixdedup.dedup_substrings(docs))
-    assert sum(r.n_removed for r in first.values()) < sum(r.n_removed for r in found.values())
+    assert {i: first[i].n_removed for i in first} == dict(enumerate(later_bytes([r[1] for r in rows])))
     assert suffixdedup.dedup_substrings(none).count() == 0
 
 
+def test_substrings_of_equal_rows(spark):
+    text = prose(random.Random(21), 90)
+    frame = spark.createDataFrame([(1, text), (1, text), (2, "other")], "doc_id long, text string").coalesce(1)
+    assert sorted(r.n_removed for r in suffixdedup.dedup_substrings(frame).collect()) == [0, 0, len(text.encode())]
+
+
+def test_substrings_of_a_long_text(spark):
+    text = random.Random(22).randbytes(2_600_000).hex()  # longer than two pieces
+    passage = text[suffixdedup.PIECE - 150 : suffixdedup.PIECE + 300]
+    frame = spark.createDataFrame([(1, text), (2, "before " + passage + " after")], "doc_id long, text string")
+    found = by_id(suffixdedup.op7_columns(frame))
+    assert [(found[i].n_removed, found[i].n_spans) for i in (1, 2)] == [(450, 1), (450, 1)]
+
+
+def test_suffix_order():
+    import numpy as np
+
+    rng = random.Random(23)
+    text = bytes(rng.choice(b"ab") for _ in range(40)) * 12 + bytes(rng.choice(b"abc") for _ in range(300)) + b"\x00" * 260
+    starts = np.arange(0, len(text) - suffixdedup.LENGTH + 1)
+    got = suffixdedup.SuffixOrder(np.frombuffer(text, np.uint8), starts)
+    part = [text[i : i + suffixdedup.LENGTH] for i in starts]
+    assert got.order.tolist() == sorted(range(len(starts)), key=lambda i: (part[i], i))
+    r, s = np.array([rng.randrange(len(starts)) for _ in range(500)]), np.array([rng.randrange(len(starts)) for _ in range(500)])
+    want = [next((k for k in range(200) if part[i][k] != part[j][k]), 200) for i, j in zip(got.order[r], got.order[s], strict=True)]
+    assert got.common(r, s).tolist() == want
+
+
 def test_substrings_of_one_repeating_text(spark):
     texts = ["ab" * 400, "x" * 199, "y" * 201, "ab" * 150 + "é" * 150, None]
     frame = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
@@ -263,6 +323,36 @@ def test_mixing(docs, rows, none):
     assert mixing.copies(none).count() == 0
 
 
+def test_mixing_of_equal_rows_from_different_sources(spark):
+    rng = random.Random(41)
+    text = prose(rng, 50)
+    rows = [(1, text, "a", 7), (1, text, "b", 8), (1, text, "a", 9)] + [(i, prose(rng, rng.randint(5, 80)), rng.choice("abb"), i) for i in range(2, 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    got = mixing.mixed(frame).collect()
+    sizes, taken = {}, {}
+    for _, t, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(t.split())
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        assert (r.doc_id, r.text, r.source, r.copy) in rows and r.copy_ in (1, 2)
+    for source, t in targets(sizes).items():
+        assert abs(taken[source] - t) <= 40, source
+
+
+def test_mixing_rates_are_the_tilts_that_meet_the_targets(spark):
+    rng = random.Random(42)
+    rows = [(i, "w " * rng.randint(1, 200), rng.choice("abc")) for i in range(200)]
+    found = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in found if r.source == source]
+        low, high = -1.0, 1.0  # the multiplier, by halving
+        for _ in range(200):
+            lam = (low + high) / 2
+            rates = [min(2.0, math.exp(min(50.0, lam * r.size))) for r in own]
+            low, high = (lam, high) if sum(x * r.size for x, r in zip(rates, own, strict=True)) < own[0].target else (low, lam)
+        assert [r.rate for r in own] == pytest.approx(rates, rel=1e-5)
+
+
 def test_language_model(docs, rows, none):
     found = by_id(brown.score(docs))
     for (doc_id, *_), want in zip(rows, base_scores([(r[0], r[1]) for r in rows]), strict=True):
@@ -301,6 +391,27 @@ def test_search(spark):
     assert multiindex.search(multiindex.usable(frame.limit(0)), lambda i: i % 20 == 0).count() == 0
 
 
+def test_search_visits_a_part_of_many_vectors(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n, dim = 24_000, 16
+    centres = rng.normal(size=(60, dim))
+    x = centres[rng.integers(0, 60, n)] + 0.35 * rng.normal(size=(n, dim))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    enough = multiindex._enough
+    monkeypatch.setattr(multiindex, "_enough", lambda *a: seen.append(enough(*a)) or seen[-1])
+    found = multiindex.search(multiindex.usable(frame), lambda i: i % 200 == 0).toPandas()
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(own["vec_id"]) & set(np.argsort(-score)[:20].tolist()))
+    assert seen[0] < n / 2  # vectors that a walk has to pass
+    assert hits >= 0.9 * 20 * (n // 200)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     docs, labels = [], []
@@ -333,3 +444,24 @@ def test_label_model_weighs_down_copies_of_a_voter():
     posterior, model = toxicity.label_model(votes, y, np.ones(4000))
     assert model["independence"][0] < 0.5 < model["independence"][1]
     assert ((posterior > 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_label_model_corrects_noisy_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(6000) < 0.3).astype(float)
+    votes = np.stack([(rng.random(6000) < np.where(y == 1, 0.6, 0.05)) for _ in range(6)], 1).astype(float)
+    given = np.where(rng.random(6000) < 0.2, 1 - y, y)
+    posterior, model = toxicity.label_model(votes, given, np.ones(6000))
+    assert ((posterior > 0.5) == (y == 1)).mean() > 0.93 > 0.85 > (given == y).mean()
+    assert np.abs(model["fires_toxic"] - 0.6).max() < 0.08 and np.abs(model["fires_clean"] - 0.05).max() < 0.05
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rows = [(1, "you idiot")] * 3 + [(2, "a fine day")] * 2 + [(None, None)]
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    few, sizes = toxicity.sample(documents, labels)
+    assert few.count() <= 2 and sum(sizes.values()) <= 2
+    assert toxicity.scores(documents.withColumn("toxic", F.lit(5)), labels).count() == 6
