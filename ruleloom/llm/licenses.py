@@ -3,9 +3,12 @@
 All rolling runs of ``GRAM`` words of all texts are hashed and joined to the positions at which license
 templates hold the same run. A hit votes for a diagonal: the word at which the template would start in
 the text. Votes are summed up by document, template and diagonal as a bit set of template positions;
-diagonals that lie at most ``SLACK`` words apart are merged, which bridges inserted or missing words. A
-merged span is verified by the share of the template's runs that stand there word for word: all of them
-for base phrases and templates of fewer than ``FUZZY_FROM`` runs, else ``MIN_SHARE``.
+diagonals within ``SLACK`` words are merged, which bridges inserted or missing words. A merged span is
+verified by the share of the template's runs that stand there word for word: all of them for base phrases
+and templates of fewer than ``FUZZY_FROM`` runs, else ``MIN_SHARE``. As the diagonals of a span differ by
+``SLACK`` at most, its runs stand in at most ``SLACK`` words more than the template has, each within ``SLACK``
+words of its place; runs that are strewn over a longer text don't add up. Spans that follow each other
+closely are reported as one, by the best of them.
 
 The templates are a fixed, short list, so their positions are broadcast; a longer list given by the
 caller is joined without a hint where it has more than ``BROADCAST_GRAMS`` runs.
@@ -82,9 +85,10 @@ def spans(documents: DataFrame, base: dict[str, str] = BASE, notices: dict[str,
     full = F.col("seen") == F.expr("shiftleft(1L, n) - 1")
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= SLACK, 0).otherwise(1)
-    islands = diagonals.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order))
+    together = F.bit_count(F.bit_or("seen").over(order.rangeBetween(0, SLACK)))
+    islands = diagonals.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order)).withColumn("votes", together)
     merged = islands.groupBy(*by, "island").agg(
-        F.bit_count(F.bit_or("seen")).alias("votes"),
+        F.max("votes").alias("votes"),
         F.min("diagonal").cast("long").alias("first_word"),
         F.sum(full.cast("long")).alias("n_full"),
         F.min(F.when(full, F.col("diagonal"))).cast("long").alias("first_full"),
@@ -142,9 +146,11 @@ d AS (
 ), ap AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS apart FROM dg
 ), isl AS (
-  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island, seen = (CAST(1 AS BIGINT) << n) - 1 AS full_ FROM ap
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island, seen = (CAST(1 AS BIGINT) << n) - 1 AS full_,
+         bit_count(bit_or(seen) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {SLACK} FOLLOWING)) AS together
+  FROM ap
 ), m AS (
-  SELECT doc_id, template, label, base, n, island, bit_count(bit_or(seen)) AS votes, sum(CAST(full_ AS BIGINT)) AS n_full,
+  SELECT doc_id, template, label, base, n, island, max(together) AS votes, sum(CAST(full_ AS BIGINT)) AS n_full,
          min(diagonal) FILTER (full_) AS first_full, max(diagonal) FILTER (full_) AS last_full
   FROM isl GROUP BY ALL
 ), ok AS (
