@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.common import written
+from ruleloom.llm.common import with_row_numbers, written
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 STEPS, BINS, REPAIRS = 40, 1024, 3
@@ -88,10 +88,14 @@ def multipliers(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def copies(documents: DataFrame) -> DataFrame:
-    """``row, doc_id, text_hash, source, size, source_size, target, rate, copies``: one row per document."""
+    """``row, doc_id, text_hash, source, size, source_size, target, rate, copies``: one row per document.
+
+    ``row`` is the number of a row of documents that are numbered (``__doc``), else one of its own.
+    """
+    row = F.col("__doc") if "__doc" in documents.columns else F.monotonically_increasing_id()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sizes = documents.select(
-        "doc_id", F.xxhash64(text).alias("text_hash"), "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")
+        "doc_id", F.xxhash64(text).alias("text_hash"), "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), row.alias("row")
     )
     sizes = written(sizes, "mix-sizes")
     goals = written(targets(sizes), "mix-targets")
@@ -150,16 +154,17 @@ def _repaired(chosen: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as its copies, with all its columns."""
-    found = copies(documents).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__hash"))
-    if documents.groupBy("doc_id").count().where("count > 1").take(1):  # equal rows take the copies of their kind in turn
-        nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).orderBy("source"))
-        documents = documents.withColumn("__nth", nth)
-    else:
-        documents = documents.withColumn("__nth", F.lit(1))
-    joined = documents.join(found, same).withColumn("__n", F.element_at("__copies", F.col("__nth")).cast("int")).where("__n > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__hash", "__copies", "__n", "__nth")
+    """The mix itself: every document as often as its copies, with all its columns and the number of the copy.
+
+    That number is in ``copy``, or in ``copy_`` and so on where the documents have a column of that name.
+    """
+    name = "copy"
+    while name in documents.columns:
+        name += "_"
+    numbered = with_row_numbers(documents)
+    found = copies(numbered).select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies")).where("__copies > 0")
+    joined = numbered.join(found, F.col("__doc") == F.col("__row"))
+    return joined.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(name))
 
 
 def op9_entropy_mixing(spark, sf_dir: str) -> DataFrame:
