@@ -6,25 +6,27 @@ equal fingerprints, so a shared span of ``WINDOW`` words always shares one. A tr
 the benchmark has is a hit, and each hit is extended: the windows around it are compared whole. Items of
 fewer words than a window are one window each and are looked up at their own length.
 
-The benchmark index goes to the tasks in blocks of at most ``BLOCK_WINDOWS`` windows, so what is sent
-to a task is bounded whatever the benchmark's size; a larger benchmark takes several passes over the
-documents, whose hits are then merged by document. One block needs no shuffle at all.
+A benchmark of at most ``BLOCK_WINDOWS`` windows is an index that travels with the tasks: the join of the
+fingerprints is a look-up, and nothing is shuffled. A larger one stays a table: the documents' fingerprints
+meet the benchmark's in a join by Spark, those that hit bring the hashes of their windows along, which meet
+the benchmark's windows in a second join, and the hits are put together by document. Neither the index nor
+the number of passes over the documents grows with the benchmark then.
 
 Edge cases: a null or empty text has no words and no hits; a null ``item_id`` marks words but is not
-listed; repeated document rows each get their own result; repeated items change nothing; an empty
+listed; repeated document rows each get a result of their own; repeated items change nothing; an empty
 benchmark leaves every document clean; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.common import with_row_numbers, written
 from ruleloom.llm.textops import Slice, grams, inside, isin_sorted, slices, sliding_min_positions
 
 WINDOW, GRAM = 10, 5
@@ -124,30 +126,74 @@ def _hits(piece: Slice, index: Index) -> tuple[np.ndarray, np.ndarray, list[set[
     return docs, np.cumsum(edge[:-1]) > 0, items
 
 
-def _pass(documents: DataFrame, index, id_type: str, spans: bool) -> DataFrame:
-    """Scan all documents against one block. With ``spans``, hit words are listed for a later merge."""
+def _pass(documents: DataFrame, index, id_type: str) -> DataFrame:
+    """Scan all documents with an index that fits a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Index = index.value
         for batch in batches:
-            rest = batch.drop_columns(["text"])
+            ids = batch.column("doc_id")
             for piece in slices(batch.column("text")):
                 docs, hit, items = _hits(piece, block)
-                part = rest.slice(piece.first, piece.n)
-                out = {name: part.column(name) for name in part.schema.names}
-                out["n_words"] = pa.array(np.bincount(docs, minlength=piece.n).astype(np.int64))
-                out["n_hit"] = pa.array(np.bincount(docs[hit], minlength=piece.n).astype(np.int64))
-                out["items"] = pa.array([[block.items[i] for i in sorted(x) if i >= 0] for x in items], pa.list_(pa.string()))
-                if spans:
-                    first = np.searchsorted(docs, np.arange(piece.n))
-                    where = np.flatnonzero(hit)
-                    cut = np.searchsorted(where, np.append(first, len(docs)))
-                    out["hit_words"] = pa.array([(where[cut[i] : cut[i + 1]] - first[i]).tolist() for i in range(piece.n)], pa.list_(pa.int64()))
-                yield pa.record_batch(list(out.values()), names=list(out))
-
-    schema = f"doc_id {id_type}, " + "text_hash long, " * spans + "n_words long, n_hit long, items array<string>" + ", hit_words array<long>" * spans
-    columns = [F.col("doc_id"), *([F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")] * spans), F.col("text")]
-    return documents.select(*columns).mapInArrow(rows, schema)
+                n_words, n_hit = (pa.array(np.bincount(x, minlength=piece.n).astype(np.int64)) for x in (docs, docs[hit]))
+                named = pa.array([[block.items[i] for i in sorted(x) if i >= 0] for x in items], pa.list_(pa.string()))
+                yield pa.record_batch([ids.slice(piece.first, piece.n), n_words, n_hit, named], names=["doc_id", "n_words", "n_hit", "items"])
+
+    return documents.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, n_words long, n_hit long, items array<string>")
+
+
+def _document_windows(numbered: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc, length, fingerprint, at, windows``: fingerprints with the hashes of the windows, from word ``at`` on, that chose them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch.column("text")):
+                low = piece.lowered()
+                starts, ends, docs = low.words("alnum")
+                h = low.hashes(starts, ends)
+                begins = np.searchsorted(docs, np.arange(piece.n))
+                for n in lengths:
+                    if len(h) < n:
+                        continue
+                    whole = grams(h, n)
+                    if n == WINDOW:
+                        g, keep = _selected(h, docs)
+                        first = np.flatnonzero(np.append(True, keep[1:] != keep[:-1]))
+                        size = np.diff(np.append(first, len(keep)))
+                        first, size = first[keep[first] >= 0], size[keep[first] >= 0]
+                        prints = g[keep[first]]
+                    else:
+                        first = np.flatnonzero(inside(docs, n))
+                        size, prints = np.ones(len(first), np.int64), whole[first]
+                    cut = np.append(0, np.cumsum(size))
+                    windows = whole[np.repeat(first - cut[:-1], size) + np.arange(cut[-1])]
+                    lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(windows.view(np.int64)))
+                    of = docs[first]
+                    columns = [batch.column("doc").take(pa.array(of + piece.first)), pa.array(np.full(len(first), n, np.int32)), pa.array(prints.view(np.int64)), pa.array(first - begins[of]), lists]
+                    yield pa.record_batch(columns, names=["doc", "length", "fingerprint", "at", "windows"])
+
+    source = numbered.select(F.col("__doc").alias("doc"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(rows, "doc long, length int, fingerprint long, at long, windows array<long>")
+
+
+def _joined(numbered: DataFrame, windows: DataFrame) -> DataFrame:
+    """``doc, start, length, item``: where documents hold benchmark windows."""
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most WINDOW numbers
+    own = _document_windows(numbered, lengths).join(windows.select("length", "fingerprint").distinct(), ["length", "fingerprint"], "left_semi")
+    each = own.select("doc", "length", "at", F.posexplode("windows").alias("nth", "window_hash"))
+    known = windows.select("length", "window_hash", "item").distinct()
+    return each.join(known, ["length", "window_hash"]).select("doc", (F.col("at") + F.col("nth")).alias("start"), "length", "item")
+
+
+def _covered(ranges: Column) -> Column:
+    """How many words sorted ranges ``(start, length)`` cover; they may overlap."""
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def add(a, r):
+        end = r["start"] + r["length"]
+        return F.struct((a["n"] + F.greatest(F.lit(0), end - F.greatest(r["start"], a["end"]))).alias("n"), F.greatest(a["end"], end).alias("end"))
+
+    return F.aggregate(ranges, nothing, add)["n"]
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -156,52 +202,43 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int
     documents = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = documents.schema["doc_id"].dataType.simpleString()
     windows = benchmark_windows(benchmark)
-    total = windows.count()
-    blocks = max(1, math.ceil(total / block_windows))
-
-    def block(i: int):
-        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window_hash"), F.lit(blocks)) == i)
-        return spark.sparkContext.broadcast(Index(own.collect()))
-
-    if blocks == 1:
-        return _pass(documents, block(0), id_type, False)
-    found = None
-    for i in range(blocks):
-        part = _pass(documents, block(i), id_type, True).where("n_hit > 0")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    if windows.count() <= block_windows:
+        return _pass(documents, spark.sparkContext.broadcast(Index(windows.collect())), id_type)
+    numbered = with_row_numbers(documents)
+    windows = written(windows, "benchmark-windows")
+    found = _joined(numbered, windows).groupBy(F.col("doc").alias("__of")).agg(
+        _covered(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items")
     )
-    sizes = _pass(documents, spark.sparkContext.broadcast(Index([])), id_type, True).select("doc_id", "text_hash", "n_words")
-    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
-    return sizes.join(merged, same, "left").select(
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in slices(b.column("text")):
+                n = np.bincount(piece.lowered().words("alnum")[2], minlength=piece.n).astype(np.int64)
+                part = b.slice(piece.first, piece.n)
+                yield pa.record_batch([part.column("__doc"), part.column("doc_id"), pa.array(n)], names=["__doc", "doc_id", "n_words"])
+
+    sizes = numbered.select("__doc", "doc_id", "text").mapInArrow(counts, f"__doc long, doc_id {id_type}, n_words long")
+    return sizes.join(found, F.col("__doc") == F.col("__of"), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents without those that hold a benchmark window, with all their columns.
-
-    One filter per block of the benchmark; nothing is shuffled.
-    """
+    """The documents without those that hold a benchmark window, with all their columns."""
     windows = benchmark_windows(benchmark)
-    blocks = max(1, math.ceil(windows.count() / block_windows))
-
-    def clean(index):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for piece in slices(b.column("text")):
-                    docs, hit, _ = _hits(piece, index.value)
-                    yield b.slice(piece.first, piece.n).filter(pa.array(np.bincount(docs[hit], minlength=piece.n) == 0))
-
-        return rows
-
-    out = documents
-    for i in range(blocks):
-        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window_hash"), F.lit(blocks)) == i)
-        out = out.mapInArrow(clean(documents.sparkSession.sparkContext.broadcast(Index(own.collect()))), documents.schema)
-    return out
+    if windows.count() > block_windows:
+        numbered = with_row_numbers(documents)
+        hit = _joined(numbered, written(windows, "benchmark-windows")).select(F.col("doc").alias("__of")).distinct()
+        return numbered.join(hit, F.col("__doc") == F.col("__of"), "left_anti").select(*documents.columns)
+    index = documents.sparkSession.sparkContext.broadcast(Index(windows.collect()))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in slices(b.column("text")):
+                docs, hit, _ = _hits(piece, index.value)
+                yield b.slice(piece.first, piece.n).filter(pa.array(np.bincount(docs[hit], minlength=piece.n) == 0))
+
+    return documents.mapInArrow(clean, documents.schema)
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
