@@ -1,15 +1,18 @@
 """Approximate nearest neighbours with an inverted multi-index, by inner product.
 
-Each vector's two halves are quantised separately, to the nearest of ``CENTROIDS`` centroids that k-means
-fits to a sample of at most ``SAMPLE`` rows (the first by a hash of their id); the pair of centroids is the
-vector's cell. A query walks the cells in order of the summed inner product of its halves with the
-centroid pair, taken from a heap, until the cells hold ``SHARE`` of all vectors (``LEAST`` at least). All vectors
-of the visited cells are scored in double precision and ranked.
-
-Cells are packed into blocks of about ``BLOCK`` vectors, and a large cell is spread over several blocks, so
-a task holds one block and up to ``QUERY_BLOCK`` queries, whatever the cells' sizes. Each block returns a query's
-best ``k``; the last step ranks these. Every row is indexed; only the centroids come from the sample.
-Vectors without structure, as in the test tables, need a large share of the cells for a recall of 0.9.
+Each vector's two halves are quantised separately, to the nearest of some centroids that k-means fits to a
+sample of at most ``SAMPLE`` rows (the first by a hash of their id); the pair of centroids is the vector's cell.
+There are about ``CELL`` vectors to a cell, so the number of centroids grows with the root of the number of
+rows, up to ``CENTROIDS``. A query walks the cells in order of the summed inner product of its halves with
+the centroid pair, taken from a heap, until the cells hold enough vectors. How many that takes is measured:
+for at most ``PROBES`` queries (the first by a hash) all rows are ranked, and the share of the walk that
+reaches ``REACH`` of their neighbours is taken for all queries. Vectors without structure, as in the test
+tables, need a large share. All vectors of the visited cells are scored in double precision and ranked.
+
+Cells are packed into blocks of about ``BLOCK`` vectors, and a large cell is spread over several blocks. A
+query is sent to the blocks that it visits, with its cells in them; a task holds one block's vectors and
+reads its queries as they come, so neither the index nor the queries are copied or gathered whole. Each
+block returns a query's best ``k``; the last step ranks these. Every row is indexed.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part, neither as queries nor as candidates; rows with a null id take no part; a
@@ -23,7 +26,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ from pyspark.sql.window import Window
 
 from ruleloom.llm.common import written
 
-CENTROIDS, SAMPLE, SHARE, LEAST = 32, 8_192, 0.5, 2_000
-BLOCK, QUERY_BLOCK = 4_096, 8_192
+CENTROIDS, SAMPLE, CELL = 256, 8_192, 16
+PROBES, REACH = 128, 0.95
+BLOCK = 4_096
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -94,38 +97,89 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` rows of one block for each of its queries, over the cells that the query visits."""
-    names = ["query_id", "vec_id", "score"]
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({n: np.zeros(0, t) for n, t in zip(names, ("int64", "int64", "float64"), strict=True)})
-    rows = rows.sort_values("cell", kind="stable")
-    x, ids, cell = np.stack(rows["vector"].to_numpy()), rows["id"].to_numpy(), rows["cell"].to_numpy()
+def _best(qid: np.ndarray, q: np.ndarray, visited: list[np.ndarray], ids: np.ndarray, x: np.ndarray, cell: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` rows of one block, sorted by cell, for each of its queries over the cells that the query visits."""
     cells, begin = np.unique(cell, return_index=True)
     begin = np.append(begin, len(cell))
-    out = []
-    for at in range(0, len(queries), 512):
-        part = queries.iloc[at : at + 512]
-        q, qid = np.stack(part["vector"].to_numpy()), part["id"].to_numpy()
-        visits = np.zeros((len(part), len(cells)), bool)
-        for i, own in enumerate(part["cells"]):
-            visits[i, np.searchsorted(cells, own[np.isin(own, cells)])] = True
-        score = np.full((len(part), len(ids)), -np.inf)
+    for at in range(0, len(qid), 512):
+        part = slice(at, at + 512)
+        own, own_id = q[part], qid[part]
+        visits = np.zeros((len(own), len(cells)), bool)
+        for i, here in enumerate(visited[part]):
+            visits[i, np.searchsorted(cells, here[np.isin(here, cells)])] = True
+        score = np.full((len(own), len(ids)), -np.inf)
         for c in range(len(cells)):
             who = np.flatnonzero(visits[:, c])
-            score[who, begin[c] : begin[c + 1]] = q[who] @ x[begin[c] : begin[c + 1]].T
-        score[qid[:, None] == ids[None, :]] = -np.inf
+            score[who, begin[c] : begin[c + 1]] = own[who] @ x[begin[c] : begin[c + 1]].T
+        score[own_id[:, None] == ids[None, :]] = -np.inf
         n = min(k, len(ids))
         kth = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
-        for i in range(len(part)):
+        out = []
+        for i in range(len(own)):
             near = np.flatnonzero((score[i] >= kth[i] - 1e-9) & np.isfinite(score[i]))
-            exact = (x[near] * q[i]).sum(1)  # the same for equal vectors, wherever they stand
+            exact = (x[near] * own[i]).sum(1)  # the same for equal vectors, wherever they stand
             order = np.lexsort((ids[near], -exact))[:k]
-            out.append((np.full(len(order), qid[i]), ids[near[order]], exact[order]))
-    return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(names)})
-
+            out.append((np.full(len(order), own_id[i]), ids[near[order]], exact[order]))
+        yield pa.record_batch([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, in each block vectors before queries: hold a block's vectors and let its queries pass."""
+    block, held = None, []
+    rows = None
+    for b in batches:
+        blocks, is_query = b.column("block").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (is_query[1:] != is_query[:-1]))) if len(blocks) else []
+        for first, last in zip(cuts, np.append(cuts[1:], len(blocks)), strict=True):
+            part = b.slice(first, last - first)
+            if blocks[first] != block:
+                block, held, rows = blocks[first], [], None
+            if not is_query[first]:
+                held.append(part)
+                continue
+            if not held:
+                continue
+            if rows is None:
+                t = pa.Table.from_batches(held).sort_by("cell")
+                rows = t.column("id").to_numpy(), _matrix(t.column("vector").combine_chunks()), t.column("cell").to_numpy()
+            lists = part.column("cells")
+            offsets, cells = np.asarray(lists.offsets), lists.values.to_numpy()
+            yield from _best(part.column("id").to_numpy(), _matrix(part.column("vector")), [cells[offsets[i] : offsets[i + 1]] for i in range(len(part))], *rows, k)
+
+
+def _enough(index: DataFrame, queries: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int, probes: int, reach: float) -> int:
+    """How many vectors a walk has to pass so that ``reach`` of the probes' true neighbours are among them."""
+    few = queries.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(probes).toPandas()
+    if not len(few):
+        return 0
+    qid, q = few["id"].to_numpy(), np.stack(few["vector"].to_numpy())
 
-def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> DataFrame:
+    def nearest_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, cell, x = b.column("id").to_numpy(), b.column("cell").to_numpy(), _matrix(b.column("vector"))
+            if not len(ids):
+                continue
+            score = q @ x.T
+            score[qid[:, None] == ids[None, :]] = -np.inf
+            n = min(k, len(ids))
+            top = np.argpartition(-score, n - 1, axis=1)[:, :n].ravel()
+            who = np.repeat(np.arange(len(qid)), n)
+            yield pa.record_batch([pa.array(who), pa.array(cell[top]), pa.array(score[who, top])], names=["probe", "cell", "score"])
+
+    found = index.mapInArrow(nearest_in, "probe long, cell int, score double").where("score > double('-infinity')")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score")))
+    true = found.withColumn("rank", rank).where(F.col("rank") <= k).toPandas()  # PROBES times k rows
+    half = books[0].shape[1]
+    passed = []
+    for i, own in true.groupby("probe"):
+        order = np.argsort(-(books[0] @ q[i, :half])[:, None] - (books[1] @ q[i, half:])[None, :], axis=None, kind="stable")
+        until = np.empty(len(order), np.int64)
+        until[order] = np.cumsum(counts[order])
+        passed.append(until[own["cell"].to_numpy()])
+    return int(np.quantile(np.concatenate(passed), reach)) if passed else 0
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, probes: int = PROBES, reach: float = REACH) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of ``vectors (id, vector)`` where ``is_query`` holds."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -135,7 +189,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
     dim = int(few["vector"].map(len).mode()[0])
     x = np.stack(few["vector"][few["vector"].map(len) == dim].to_numpy())
     half = dim // 2
-    books = (k_means(x[:, :half], CENTROIDS), k_means(x[:, half:], CENTROIDS))
+    vectors = vectors.where(F.size("vector") == dim)
+    centroids = int(np.clip(np.sqrt(vectors.count() / CELL), 4, CENTROIDS))
+    books = (k_means(x[:, :half], centroids), k_means(x[:, half:], centroids))
     width = len(books[1])
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +200,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
             cell = nearest(m[:, :half], books[0]) * width + nearest(m[:, half:], books[1]) if len(m) else np.zeros(0, np.int64)
             yield pa.record_batch([*b.columns, pa.array(cell.astype(np.int32))], names=[*b.schema.names, "cell"])
 
-    index = written(vectors.where(F.size("vector") == dim).mapInArrow(to_cells, "id long, vector array<double>, cell int"), "imi-index")
+    index = written(vectors.mapInArrow(to_cells, "id long, vector array<double>, cell int"), "imi-index")
     counts = np.zeros(len(books[0]) * width, np.int64)
     for r in index.groupBy("cell").count().collect():  # one row per cell
         counts[r.cell] = r["count"]
-    enough = max(LEAST, int(share * counts.sum()))
     first, many = pack(counts)
     queries = index.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    enough = _enough(index, queries, books, counts, k, probes, reach)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,16 +219,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> D
                 block, own = block[order], own[order]
                 at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(own)).astype(np.int32)), pa.array(own.astype(np.int32)))
-                n = len(at)
-                yield pa.record_batch([b.column("id").take(pa.array(np.full(n, i))), b.column("vector").take(pa.array(np.full(n, i))), pa.array(block[at]), lists], names=["id", "vector", "block", "cells"])
-
-    sent = queries.select("id", "vector").mapInArrow(to_blocks, "id long, vector array<double>, block long, cells array<int>")
-    sent = sent.withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    first_, many_ = (F.array(*[F.lit(int(v)) for v in t]) for t in (first, many))
-    at = F.col("cell") + 1
-    block = (F.element_at(first_, at) + F.pmod(F.xxhash64("id", F.lit(7)), F.element_at(many_, at).cast("long"))).cast("long")
-    rows = index.withColumn("block", block).withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    near = sent.groupBy("block", "query_block").cogroup(rows.groupBy("block", "query_block")).applyInPandas(lambda q, r: _best(q, r, k), "query_id long, vec_id long, score double")
+                copies = pa.array(np.full(len(at), i))
+                yield pa.record_batch([b.column("id").take(copies), b.column("vector").take(copies), pa.array(block[at]), lists], names=["id", "vector", "block", "cells"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = queries.select("id", "vector").repartition(tasks, "id").mapInArrow(to_blocks, "id long, vector array<double>, block long, cells array<int>")
+    packed = spark.createDataFrame([(c, int(first[c]), int(many[c])) for c in np.flatnonzero(counts).tolist()], "cell int, first long, many long")
+    block = F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("many"))
+    rows = index.join(F.broadcast(packed), "cell").withColumn("block", block)  # a row per cell: at most CENTROIDS squared
+    both = rows.select("block", F.lit(False).alias("is_query"), "id", "vector", "cell", F.lit(None).cast("array<int>").alias("cells"))
+    both = both.union(sent.select("block", F.lit(True), "id", "vector", F.lit(None).cast("int"), "cells"))
+    dealt = both.repartition(F.col("block")).sortWithinPartitions("block", "is_query")
+    near = dealt.mapInArrow(lambda batches: _meet(batches, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
