@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files out to all cores: parsing JSON, or hundreds of rules a row, costs more than moving the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _filter(name: str, source: str, key: str | list[str], sql: str, condition: str = "sel", options: Options = Options(), **selections: Any) -> None:
     """Register a query that keeps the ids of the rows that one rule matches."""
     keys = [key] if isinstance(key, str) else key
@@ -135,8 +141,9 @@ _outcomes("or_one_missing", "SELECT event_id, coalesce(maybe = 'view', false) OR
 
 def _json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id`` and a VARIANT ``event`` with nested, numeric, textual, boolean, null and absent fields."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    e = _spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"))
+    e = e.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    k = F.col("k")
     fields = [
         '"id":', F.col("event_id").cast("string"), ',"type":"', F.col("event_type"), '","user":{"id":', F.col("user_id").cast("string"), '},"k":', k.cast("string"),
         ',"ktext":"', k.cast("string"), '","kpad":" ', k.cast("string"), '","half":', k.cast("string"), '.5,"flag":', F.when(k % 2 == 0, "true").otherwise("false"),
@@ -289,12 +296,6 @@ def many_rules(n: int = 454) -> list[Rule]:
     ]
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few files out to all cores: hundreds of rules a row cost more than moving the row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 @_registered(
     "many_rules_counts",
     """

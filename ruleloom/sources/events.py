@@ -144,34 +144,43 @@ class VariantEvents:
         if not self._taken:
             return df
         values = {f"__v{n}": F.try_variant_get(self.column, self._json_path(p), "variant") for p, n in self._taken.items()}
-        kinds = {f"__k{n}": F.schema_of_variant(f"__v{n}") for n in self._taken.values()}
-        df = df.withColumns(values).withColumns(kinds)  # each once, however many branches look at it
+        numbers = self._taken.values()
+        kinds = {f"__k{n}": F.schema_of_variant(f"__v{n}") for n in numbers}
+        typed = {f"__{k}{n}": c for n in numbers for k, c in self.typed(F.col(f"__v{n}"), F.col(f"__k{n}")).items()}
+        # In projections of their own: each is computed once, however many branches look at it.
+        df = df.withColumns(values).withColumns(kinds).withColumns(typed)
         out = {}
-        for n in self._taken.values():
-            value = self.value_of(F.col(f"__v{n}"), F.col(f"__k{n}"))
+        for n in numbers:
+            value = self.value_of(F.col(f"__v{n}"), F.col(f"__k{n}"), {k: F.col(f"__{k}{n}") for k in "sifb"})
             out[f"__t{n}"], out[f"__n{n}"], out[f"__d{n}"] = value.text, value.number, value.double
-        return df.withColumns(out).drop(*values, *kinds)
+        return df.withColumns(out).drop(*values, *kinds, *typed)
 
     @staticmethod
     def _json_path(path: str) -> str:
         return "$" + "".join('["{}"]'.format(part.replace('"', '\\"')) for part in path.split("."))
 
     @staticmethod
-    def value_of(v: Column, kind: Column | None = None) -> Value:
-        kind = F.schema_of_variant(v) if kind is None else kind
+    def typed(v: Column, kind: Column) -> dict[str, Column]:
+        """The value as a string, integer, fraction or boolean; all but the one that it is are null."""
         as_ = lambda t: F.try_variant_get(v, "$", t)
         fraction = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+        return {"s": F.when(kind == "STRING", as_("string")), "i": F.when(kind == "BIGINT", as_("bigint")), "f": F.when(fraction, as_("double")), "b": F.when(kind == "BOOLEAN", as_("boolean"))}
+
+    @classmethod
+    def value_of(cls, v: Column, kind: Column | None = None, typed: dict[str, Column] | None = None) -> Value:
+        kind = F.schema_of_variant(v) if kind is None else kind
+        s, i, f, b = (typed or cls.typed(v, kind)).values()
         text = (
             F.when(v.isNull(), None)
             .when(F.is_variant_null(v), "null")
-            .when(kind == "STRING", as_("string"))
-            .when(kind == "BIGINT", as_("bigint").cast("string"))
-            .when(fraction, clamped_text(as_("double")))
-            .when(kind == "BOOLEAN", as_("boolean").cast("string"))
+            .when(s.isNotNull(), s)
+            .when(i.isNotNull(), i.cast("string"))
+            .when(f.isNotNull(), clamped_text(f))
+            .when(b.isNotNull(), b.cast("string"))
             .otherwise(F.to_json(v))
         )
-        number = F.when(kind == "BIGINT", as_("bigint")).when(fraction, truncated(as_("double"))).when(kind == "STRING", strict_integer(as_("string")))
-        double = F.when((kind == "BIGINT") | fraction, as_("double")).when(kind == "STRING", parsed_double(as_("string")))
+        number = F.when(i.isNotNull(), i).when(f.isNotNull(), truncated(f)).when(s.isNotNull(), strict_integer(s))
+        double = F.when(i.isNotNull(), i.cast("double")).when(f.isNotNull(), f).when(s.isNotNull(), parsed_double(s))
         return Value(v.isNotNull(), text, number, double)
 
     def strings(self) -> Column:
