@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,14 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, _paths.pop(id(t))[1])
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``make`` returns and delete the tables that it wrote on the way."""
+    before = set(_paths)
+    out = written(make(), name)
+    discard(*[df for key, (df, _) in list(_paths.items()) if key not in before and df is not out])
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
