@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ruleloom.llm.bagminhash import drop_near_duplicates
-from ruleloom.llm.common import written
+from ruleloom.llm.common import discard, settled
 from ruleloom.llm.decontaminate import decontaminate
 from ruleloom.llm.linededup import dedup_lines
 from ruleloom.llm.mixing import mixed
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        docs = settled(lambda: stage(spark, before, sf_dir), f"stage-{name}")  # noqa: B023
+        if number:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
