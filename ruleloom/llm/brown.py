@@ -5,8 +5,11 @@ class)``. All counts come from all training documents. Classes come from exchang
 move, one at a time, to the class that raises the likelihood of the class bigrams most. An item is one
 of the ``FREQUENT`` most frequent words, or one of ``ENDINGS`` groups that the other words fall into by
 their last three bytes; so every word of any corpus has a class, and the matrix that the clustering
-reads has a fixed size. Both probabilities are smoothed by adding 0.5, and each class keeps room for one
-unseen word.
+reads has a fixed size. Then each further word of the ``KNOWN`` most frequent ones moves to the class of
+highest gain, on its own: Spark counts the classes before and after it and compares the gains, all words
+against the same classes. Rarer words keep the class of their ending. The class bigrams are counted anew
+with the classes that come out. Both probabilities are smoothed by adding 0.5, and each class keeps room for
+one unseen word.
 
 Spark counts words (one shuffle of partial counts) and item pairs, and looks up the counts at scoring:
 those of the ``KNOWN`` most frequent words travel with the tasks, all others meet their tokens in a join
@@ -93,9 +96,11 @@ class Model:
     words: np.ndarray  # sorted hashes of the most frequent words
     counts: np.ndarray
     items: np.ndarray
+    endings: np.ndarray
     n: int
     v: int
     ends: int
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the class of each of these words
     classes: np.ndarray = field(default_factory=lambda: np.zeros(ITEMS, np.int64))
     transition: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, CLASSES)))
     size: np.ndarray = field(default_factory=lambda: np.ones(CLASSES))  # N_c + 0.5 (V_c + 1)
@@ -109,6 +114,16 @@ class Model:
         return np.where(known, self.counts[at], -1), np.where(known, self.items[at], FREQUENT + endings)
 
 
+    def classes_of(self, h: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index among the most frequent words (-1: not one), count and class of each word."""
+        by_ending = self.classes[FREQUENT:END][endings]
+        if not len(self.words):
+            return np.full(len(h), -1), np.full(len(h), -1), by_ending
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[at] == h
+        return np.where(known, at, -1), np.where(known, self.counts[at], -1), np.where(known, self.own[at], by_ending)
+
+
 def pair_counts(training: DataFrame, model) -> DataFrame:
     """``pair long, n long`` for pairs of neighbouring items; a text stands between two end tokens."""
 
@@ -127,15 +142,109 @@ def pair_counts(training: DataFrame, model) -> DataFrame:
     return training.select("text").mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _between_ends(item: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _between_ends(item: np.ndarray, docs: np.ndarray, n: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token with the one before it and its document, an end token closing every document."""
     at = np.searchsorted(docs, np.arange(n), "right")
-    after = np.insert(item, at, END)
+    after = np.insert(item, at, end)
     of = np.insert(docs, at, np.arange(n))
-    before = np.append(END, after[:-1])
+    before = np.append(end, after[:-1])
     return before, after, of
 
 
+def class_counts(training: DataFrame, model) -> np.ndarray:
+    """How often each class follows each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for piece in slices(b.column("text")):
+                h, endings, docs = _tokens(piece)
+                before, after, _ = _between_ends(model.value.classes_of(h, endings)[2], docs, piece.n, int(model.value.classes[END]))
+                total += np.bincount(before * CLASSES + after, minlength=CLASSES * CLASSES)
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["pair", "n"])
+
+    at, n = _columns(training.select("text").mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair", "n")
+    out = np.zeros(CLASSES * CLASSES, np.int64)
+    out[at] = n
+    return out.reshape(CLASSES, CLASSES)
+
+
+def neighbours(training: DataFrame, model) -> DataFrame:
+    """``word, side, n``: how often a class stands before (``side`` below ``CLASSES``) or after a word that may move."""
+
+    def batch(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array((key // (2 * CLASSES)).astype(np.int32)), pa.array((key % (2 * CLASSES)).astype(np.int32)), pa.array(n)], names=["word", "side", "n"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for b in batches:
+            for piece in slices(b.column("text")):
+                h, endings, docs = _tokens(piece)
+                at, _, cls = m.classes_of(h, endings)
+                moves = (at >= 0) & (m.items[at] >= FREQUENT) if len(m.items) else at >= 0
+                end = int(m.classes[END])
+                before, _, _ = _between_ends(cls, docs, piece.n, end)
+                token = (np.arange(len(cls)) + docs)[moves]  # where the words stand among the tokens with ends
+                follows = np.append(before[2:], [end, end])[token]  # the class of the next token
+                key = np.concatenate([at[moves] * 2 * CLASSES + before[token], at[moves] * 2 * CLASSES + CLASSES + follows])
+                key, _, n = _summed(np.append(held[0], key), np.append(held[1], np.ones(len(key), np.int64)))
+                held = [key, n]
+                if len(key) > _FLUSH:
+                    yield batch(*held)
+                    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        yield batch(*held)
+
+    return training.select("text").mapInArrow(rows, "word int, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
+
+
+def gains(table: np.ndarray, sides: np.ndarray, n: np.ndarray, of: np.ndarray, words: int, now: np.ndarray) -> np.ndarray:
+    """What each word adds to the likelihood in each class, itself taken out of the class where it is ``now``.
+
+    ``sides, n, of`` list the counts of the classes around the words: a class before a word, or ``CLASSES`` plus
+    the class after it, its count and the word.
+    """
+
+    def f(x):
+        return x * np.log(np.maximum(x, 1))
+
+    out = np.zeros((words, CLASSES))
+    total = [np.zeros(words), np.zeros(words)]
+    rows, cols = table.sum(1), table.sum(0)
+    for first in range(0, len(of), 65_536):
+        part = slice(first, first + 65_536)
+        after = sides[part] >= CLASSES
+        c, w, x = sides[part] % CLASSES, of[part], n[part].astype(np.float64)
+        cell = np.where(after[:, None], table[:, c].T, table[c, :]).astype(np.float64)
+        own = np.arange(CLASSES)[None, :] == now[w][:, None]
+        cell = np.maximum(cell - own * x[:, None], 0)
+        np.add.at(out, w, f(cell + x[:, None]) - f(cell))
+        np.add.at(total[1], w[after], x[after])
+        np.add.at(total[0], w[~after], x[~after])
+    for side, sums in ((0, cols), (1, rows)):
+        own = np.arange(CLASSES)[None, :] == now[:, None]
+        without = np.maximum(sums[None, :] - own * total[side][:, None], 0)
+        out -= f(without + total[side][:, None]) - f(without)
+    return out
+
+
+def moved(around: DataFrame, table: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and the class of highest gain of each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, lists = b.column("word").to_numpy(), b.column("around")
+            offsets = np.asarray(lists.offsets)
+            of = np.repeat(np.arange(len(word)), np.diff(offsets))
+            flat = lists.flatten()
+            best = gains(table, flat.field("side").to_numpy(), flat.field("n").to_numpy(), of, len(word), own[word])
+            best[np.arange(len(word)), own[word]] += 1e-9
+            yield pa.record_batch([b.column("word"), pa.array(best.argmax(1).astype(np.int32))], names=["word", "class"])
+
+    lists = around.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("around"))  # 2 * CLASSES at most
+    return tuple(_columns(lists.mapInArrow(rows, "word int, class int"), "word", "class"))
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Exchange clustering of items by their pair counts; items are dealt out by frequency at first."""
     k = len(pairs)
@@ -200,24 +309,33 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
     word = word.view(np.uint64)
     item = np.where(np.arange(len(word)) < FREQUENT, np.arange(len(word)), FREQUENT + ending)
     order = np.argsort(word)
-    model = Model(word[order], n[order], item[order], int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
+    word, n, item, ending = word[order], n[order], item[order], ending[order]
+    model = Model(word, n, item, ending, int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
     pairs = np.zeros(ITEMS * ITEMS, np.int64)
     at, times = _columns(pair_counts(training, spark.sparkContext.broadcast(model)), "pair", "n")
     pairs[at] = times
     pairs = pairs.reshape(ITEMS, ITEMS)
     model.classes = of = exchange(pairs)
-    ends_at, ends_v, ends_n = _columns(counts.groupBy("ending").agg(F.count("*").alias("v"), F.sum("n").alias("n")), "ending", "v", "n")
-    types, mass = np.zeros(ITEMS), np.zeros(ITEMS)
-    types[FREQUENT + ends_at], mass[FREQUENT + ends_at] = ends_v, ends_n
-    own = slice(0, min(FREQUENT, len(word)))  # frequent words stand for themselves, not for their ending
-    types[own], mass[own] = 1, n[own]
-    np.subtract.at(types, FREQUENT + ending[own], 1)
-    np.subtract.at(mass, FREQUENT + ending[own], n[own])
-    types[END], mass[END] = ends > 0, ends
-    model.size = np.bincount(of, mass, CLASSES) + 0.5 * (np.bincount(of, types, CLASSES) + 1)
     member = np.eye(CLASSES)[of]
     table = member.T @ pairs @ member
+    del pairs
+    model.own = of[item]
+    which, to = moved(neighbours(training, spark.sparkContext.broadcast(model)), table, model.own)
+    model.own[which] = to
+    table = class_counts(training, spark.sparkContext.broadcast(model))
     model.transition = np.log10((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CLASSES))
+    # Words and tokens of each class: the most frequent words by their own class, the others by their ending's.
+    ends_at, ends_v, ends_n = _columns(counts.groupBy("ending").agg(F.count("*").alias("v"), F.sum("n").alias("n")), "ending", "v", "n")
+    rest_v, rest_n = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    rest_v[ends_at], rest_n[ends_at] = ends_v, ends_n
+    by_ending = of[FREQUENT:END]
+    rest_v -= np.bincount(ending, minlength=ENDINGS)
+    rest_n -= np.bincount(ending, n, ENDINGS)
+    types = np.bincount(model.own, minlength=CLASSES) + np.bincount(by_ending, rest_v, CLASSES)
+    mass = np.bincount(model.own, n, CLASSES) + np.bincount(by_ending, rest_n, CLASSES)
+    types[of[END]] += ends > 0
+    mass[of[END]] += ends
+    model.size = mass + 0.5 * (types + 1)
     return model, counts
 
 
@@ -235,11 +353,10 @@ def _score_known(documents: DataFrame, model, id_type: str) -> DataFrame:
             rest = b.drop_columns(["text"])
             for piece in slices(b.column("text")):
                 h, endings, docs = _tokens(piece)
-                c, item = m.look_up(h, endings)
-                before, after, of = _between_ends(item, docs, piece.n)
-                cls = m.classes[item]
+                _, c, cls = m.classes_of(h, endings)
+                before, after, of = _between_ends(cls, docs, piece.n, int(m.classes[END]))
                 add = lambda at, x: np.bincount(at, x, minlength=piece.n)
-                score = add(of, m.transition[m.classes[before], m.classes[after]])
+                score = add(of, m.transition[before, after])
                 known = c >= 0
                 log_c = np.log10(c[known] + 0.5)
                 score += add(docs[known], log_c - log_size[cls[known]]) + np.log10(m.ends + 0.5) - log_size[m.classes[END]]

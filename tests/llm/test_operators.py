@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from brute import LOWER, base_license, base_scores, classes, contamination, crc, later_bytes, line_dedup, nearest, repeated_bytes, targets, words
+from brute import LOWER, base_license, base_scores, classes, contamination, crc, later_bytes, line_dedup, nearest, repeated_bytes, targets, tokens, words
 from pyspark.sql import functions as F
 
 from ruleloom.llm import bagminhash, brown, decontaminate, licenses, linededup, mixing, multiindex, paragraphs, suffixdedup, toxicity
@@ -363,6 +363,76 @@ def test_language_model(docs, rows, none):
     assert brown.score(none).count() == 0
 
 
+def test_language_model_scores_by_hand(spark, docs, rows, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from ruleloom.llm.textops import slices
+
+    monkeypatch.setattr(brown, "KNOWN", 60)  # some words are known by their ending only
+    train = brown.train
+    models = []
+    monkeypatch.setattr(brown, "train", lambda t: models.append(train(t)) or models[-1])
+    got = by_id(brown.score(docs))
+    model = models[0][0]
+    end = int(model.classes[brown.END])
+
+    def cls(word):
+        h, endings, _ = brown._tokens(next(slices(pa.array([word]))))
+        return int(model.classes_of(h, endings)[2][0])
+
+    texts = {r[0]: tokens(r[1]) for r in rows}
+    count, pair, size, types = {}, {}, {end: 0}, {end: 0}
+    for i, own in texts.items():
+        if crc(i) != 1:
+            c = [end, *map(cls, own), end]
+            for a, b in zip(c, c[1:]):
+                pair[a, b] = pair.get((a, b), 0) + 1
+            for w in own:
+                count[w] = count.get(w, 0) + 1
+            size[end] += 1
+    types[end] = 1
+    ends = size[end]
+    for w, n in count.items():
+        size[cls(w)] = size.get(cls(w), 0) + n
+        types[cls(w)] = types.get(cls(w), 0) + 1
+    out = {}
+    for (a, _), n in pair.items():
+        out[a] = out.get(a, 0) + n
+    for i, own in texts.items():
+        c, total = [end, *map(cls, own), end], 0.0
+        for a, b in zip(c, c[1:]):
+            total += math.log10((pair.get((a, b), 0) + 0.5) / (out.get(a, 0) + 0.5 * brown.CLASSES))
+        for w in own:
+            total += math.log10((count.get(w, 0) + 0.5) / (size.get(cls(w), 0) + 0.5 * (types.get(cls(w), 0) + 1)))
+        total += math.log10((ends + 0.5) / (size[end] + 0.5 * (types[end] + 1)))
+        assert got[i].score == pytest.approx(total, rel=1e-9), i
+    assert len(np.unique(model.own)) > 1
+
+
+def test_gain_of_a_class_against_the_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 6, 400)
+    of = np.array([0, 1, 2, 0, 1, 2])
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+
+    def likelihood(of):
+        t = np.zeros((brown.CLASSES, brown.CLASSES))
+        np.add.at(t, (of[words[:-1]], of[words[1:]]), 1)
+        return f(t) - f(t.sum(0)) - f(t.sum(1)), t
+
+    now, table = likelihood(of)
+    for w in (5,):
+        at = np.flatnonzero(words == w)
+        at = at[(at > 0) & (at < len(words) - 1)]
+        sides = np.concatenate([of[words[at - 1]], brown.CLASSES + of[words[at + 1]]])
+        got = brown.gains(table, sides, np.ones(len(sides), np.int64), np.zeros(len(sides), np.int64), 1, of[[w]])[0]
+        want = [likelihood(np.append(of[:5], b))[0] for b in range(3)]
+        assert np.argmax(got[:3]) == np.argmax(want)
+
+
 def test_classes_beat_single_words_where_order_matters(spark):
     rng = random.Random(1)
     kinds = [[f"{k}{i}" for i in range(30)] for k in "abc"]
