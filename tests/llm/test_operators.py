@@ -186,6 +186,30 @@ def test_paragraphs_of_one_repeating_text(spark):
     assert len(words(paragraphs.dedup_paragraphs(documents).first().text)) >= paragraphs.CHUNK
 
 
+def test_paragraphs_of_equal_rows(spark):
+    rng = random.Random(51)
+    text, other = prose(rng, 60), prose(rng, 60)
+    frame = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, other, None), (None, None, "z")], "doc_id long, text string, doc string").coalesce(1)
+    kept = sorted(len(words(r.text)) for r in paragraphs.dedup_paragraphs(frame).collect())
+    assert kept == [0, 0, 60, 60]  # the null text, the copy, and what stays
+    found = paragraphs.passages(frame).collect()
+    assert sorted((r.n_removed > 0, r.removed_words, r.first_docs) for r in found) == [(False, 0, []), (False, 0, []), (False, 0, []), (True, 60, [1])]
+    assert sorted(r.n_repeated > 0 for r in found) == [False, False, True, True]
+
+
+def test_links_of_many_small_sets_that_share_an_item(spark):
+    from ruleloom.llm.links import link
+
+    n = 3_000
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    sets = nodes.select("node", F.array(F.lit(-1).cast("long"), F.col("node") + 10_000).alias("items"))
+    twins = spark.createDataFrame([(n + i, [-1, 77, 78, 79, 80][: 4 + i]) for i in range(2)], "node long, items array<long>")
+    sets = sets.union(twins).cache()
+    entries = sets.select(F.lit(1).cast("long").alias("bucket"), "node", F.size("items").alias("size"))
+    found = link(entries, sets, 0.8, "test").where("node <> component").collect()
+    assert [(r.node, r.component) for r in found] == [(n + 1, n)]
+
+
 def test_short_paragraphs(spark):
     rng = random.Random(13)
     notice = "All rights of this text are reserved."  # 7 words
