@@ -54,8 +54,10 @@ def _line_words(line: Column) -> Column:
 
 def _lines(documents: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_no, words`` of the lines that have words."""
-    cut = documents.select("doc_id", _hash(_text()).alias("text_hash"), F.posexplode(F.split(_text(), "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "text_hash", "line_no", _line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    own = documents.select("doc_id", _hash(_text()).alias("text_hash"), _text().alias("text"))
+    cut = own.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # Not a filter on the words: Spark would cut every line twice.
+    return cut.where(F.rlike("line", F.lit(WORD_IN_TEXT))).select("doc_id", "text_hash", "line_no", _line_words(F.col("line")).alias("words"))
 
 
 def _half_keys(words: Column) -> Column:
