@@ -44,7 +44,7 @@ from ruleloom.llm.common import with_row_numbers, written
 from ruleloom.llm.textops import Slice, mix, slices
 
 LENGTH, ANCHOR = 200, 100
-HEAVY, HOT, PIECE = 5_000, 5_000, 2 << 20
+HEAVY, HOT, BLOCK, PIECE = 5_000, 5_000, 1_500, 2 << 20
 DEPTHS = (8, 16, 32, 64, 128)  # of prefix doubling; two of the last cover a window
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -249,7 +249,16 @@ def _compare(spans: DataFrame) -> DataFrame:
     """``doc, start, end, earlier``: windows that occur again in another span of their anchor."""
 
     def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from compare_block(t.column("doc").to_numpy(), t.column("place").to_numpy(), t.column("bytes"))
+        """Whole anchors, about ``BLOCK`` spans or one anchor at a time."""
+        t = t.combine_chunks()
+        anchor = t.column("anchor").to_numpy()
+        ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
+        at = 0
+        while at < len(anchor):
+            end = ends[max(np.searchsorted(ends, at + BLOCK, "right") - 1, np.searchsorted(ends, at, "right"))]
+            part = t.slice(at, end - at)
+            yield from compare_block(part.column("doc").to_numpy(), part.column("place").to_numpy(), part.column("bytes"))
+            at = end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -314,7 +323,7 @@ def _with_copies(rows: DataFrame) -> DataFrame:
     if heavy:
         own = written(rows.where(is_heavy), "lpf-heavy")
         at = F.struct("doc", "place")
-        firsts = own.groupBy("anchor", "span").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+        firsts = written(own.groupBy("anchor", "span").agg(F.min(at).alias("first"), F.count("*").alias("n")), "lpf-firsts")
         joined = own.join(firsts, ["anchor", "span"])
         light = light.union(joined.select("doc", "place", "anchor", (at != F.col("first")).alias("again"), (F.col("n") > 1).alias("whole"), F.lit(True).alias("mixed")))
     return light.where("whole or mixed")
