@@ -320,18 +320,19 @@ def repeated(numbered: DataFrame, threshold: float = THRESHOLD, run_words: int =
     """
     shared = written(_shared(_entries(numbered)), "par-shared")
     entries = shared.where("size > 0")
-    units = written(_units(numbered, _bits(shared), _bits(entries)), "par-units")
-    sets = written(units.where("items is not null").select("node", "items").dropDuplicates(["node"]), "par-sets")
-    units = units.drop("items")
+    with_items = written(_units(numbered, _bits(shared), _bits(entries)), "par-units")
+    sets = written(with_items.where("items is not null").select("node", "items").dropDuplicates(["node"]), "par-sets")
+    units = with_items.drop("items")
     linked = link(entries, sets, threshold, "par")
 
     classed = units.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component", "node")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "word", "words")
-    classes = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    # Written, so that both sides of the join below are plain shuffles, of which Spark splits the large ones.
+    classes = written(classed.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "par-classes")
     over_first = (F.col("doc") == F.col("first.doc")) & (F.col("word") < F.col("first.word") + F.col("first.words"))
     same = classed.join(classes, "class").withColumn("removed", ~over_first)
     marked = written(same.withColumn("first_doc", F.col("first.doc_id")).drop("first", "n"), "par-marked")
-    discard(sets)
+    discard(shared, with_items, sets, classes)
     # A class whose members all overlap its first one stands in one place only.
     marked = marked.join(marked.where("removed").select("class").distinct(), "class", "left_semi")
     if not run_words:
