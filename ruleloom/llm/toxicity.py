@@ -28,6 +28,7 @@ from ruleloom.llm.common import written
 from ruleloom.llm.textops import Slice, mix, slices
 
 SAMPLE, VOTERS, MIN_Z, PREFIXES, RENEW = 6_000, 1_024, 5.0, (4, 5, 6), 10
+_ROWS = 1_024
 #: Common English insults; they vote whether or not the labelled rows hold them.
 SEED_LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard")
 
@@ -107,6 +108,30 @@ def mine(labelled: DataFrame) -> np.ndarray:
     return np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64)
 
 
+def _times(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``x @ v`` in blocks of rows, so that small integers don't become a matrix of doubles."""
+    return np.concatenate([x[i : i + _ROWS] @ v for i in range(0, len(x), _ROWS)])
+
+
+def _summed(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``w @ x`` in blocks of rows."""
+    return sum(w[i : i + _ROWS] @ x[i : i + _ROWS] for i in range(0, len(x), _ROWS))
+
+
+def _correlations(votes: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Absolute correlations of the voters over weighted rows."""
+    cov = np.zeros((len(mean), len(mean)))
+    for i in range(0, len(votes), _ROWS):
+        centred = (votes[i : i + _ROWS] - mean) * np.sqrt(weight[i : i + _ROWS])[:, None]
+        cov += centred.T @ centred
+    scale = np.sqrt(np.diag(cov)) + 1e-9
+    cov /= scale[:, None]
+    cov /= scale[None, :]
+    rho = np.abs(cov, out=cov)
+    np.fill_diagonal(rho, 1.0)
+    return rho
+
+
 def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Posterior of the toxic class for each row of a 0/1 vote matrix, and the model's estimates.
 
@@ -118,18 +143,14 @@ def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds
     p, independence = np.where(given == 1, 0.95, 0.05), np.ones(votes.shape[1])
     for i in range(rounds):
         w1, w0 = p * weight, (1 - p) * weight
-        a = (w1 @ votes + 0.5) / (w1.sum() + 1)
-        b = (w0 @ votes + 0.5) / (w0.sum() + 1)
+        a = (_summed(w1, votes) + 0.5) / (w1.sum() + 1)
+        b = (_summed(w0, votes) + 0.5) / (w0.sum() + 1)
         if i % RENEW == 0:
-            centred = (votes - a) * np.sqrt(w1)[:, None]
-            cov = centred.T @ centred
-            scale = np.sqrt(np.diag(cov)) + 1e-9
-            rho = np.abs(cov / scale[:, None] / scale[None, :])
-            np.fill_diagonal(rho, 1.0)
+            rho = _correlations(votes, a, w1)
             independence = 1.0 / np.where(rho > 0.2, rho, 0).sum(1)
         good = np.clip([(w1 @ given + 1) / (w1.sum() + 2), (w0 @ given + 1) / (w0.sum() + 2)], 0.005, 0.995)
         logit = np.log(w1.sum() + 1) - np.log(w0.sum() + 1)
-        logit = logit + votes @ (independence * (np.log(a / b) - np.log((1 - a) / (1 - b)))) + (independence * np.log((1 - a) / (1 - b))).sum()
+        logit = logit + _times(votes, independence * (np.log(a / b) - np.log((1 - a) / (1 - b)))) + (independence * np.log((1 - a) / (1 - b))).sum()
         logit = logit + np.where(given == 1, np.log(good[0] / good[1]), np.log((1 - good[0]) / (1 - good[1])))
         before, p = p, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if i % RENEW == RENEW - 1 and np.abs(p - before).mean() < 1e-5:
@@ -141,13 +162,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     """Weighted logistic regression on soft labels by accelerated gradient steps."""
     w, bias, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     weight = weight / weight.sum()
-    step = 4.0 / (1 + float((weight * (x**2).sum(1)).sum()))
+    step = 4.0 / (1 + float((weight * _times(x, np.ones(x.shape[1]))).sum()))  # 0 and 1 are their squares
     step = max(step, 0.5)
     for i in range(rounds):
         m = i / (i + 3)
         aw, ab = w + m * vw, bias + m * vb
-        g = weight * (1 / (1 + np.exp(-np.clip(x @ aw + ab, -30, 30))) - y)
-        nw, nb = aw - step * (g @ x + ridge * aw / max(1, len(y) ** 0.5)), ab - step * g.sum()
+        g = weight * (1 / (1 + np.exp(-np.clip(_times(x, aw) + ab, -30, 30))) - y)
+        nw, nb = aw - step * (_summed(g, x) + ridge * aw / max(1, len(y) ** 0.5)), ab - step * g.sum()
         vw, vb, w, bias = nw - w, nb - bias, nw, nb
     return w, bias
 
@@ -169,7 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray
     y = got.toxic.to_numpy(np.float64)
     if not (0 < y.sum() < len(y)):
         return table, np.where(np.isin(table, _seed()), 6.0, 0.0), -3.0
-    votes = np.zeros((len(y), len(table)), np.float32)
+    votes = np.zeros((len(y), len(table)), np.uint8)
     for i, fired in enumerate(got.fired):
         votes[i, fired] = 1
     taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
