@@ -205,7 +205,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, probes: int = PROBES, reac
     for r in index.groupBy("cell").count().collect():  # one row per cell
         counts[r.cell] = r["count"]
     first, many = pack(counts)
-    queries = index.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = written(index.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector")), "imi-queries")
     enough = _enough(index, queries, books, counts, k, probes, reach)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, probes: int = PROBES, reac
                 yield pa.record_batch([b.column("id").take(copies), b.column("vector").take(copies), pa.array(block[at]), lists], names=["id", "vector", "block", "cells"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = queries.select("id", "vector").repartition(tasks, "id").mapInArrow(to_blocks, "id long, vector array<double>, block long, cells array<int>")
+    sent = queries.select("id", "vector").repartition(tasks).mapInArrow(to_blocks, "id long, vector array<double>, block long, cells array<int>")
     packed = spark.createDataFrame([(c, int(first[c]), int(many[c])) for c in np.flatnonzero(counts).tolist()], "cell int, first long, many long")
     block = F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("many"))
     rows = index.join(F.broadcast(packed), "cell").withColumn("block", block)  # a row per cell: at most CENTROIDS squared
