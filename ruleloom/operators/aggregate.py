@@ -5,13 +5,14 @@ threshold. With a window it covers the last seconds only. The order is (time, id
 
 No group is sorted in one task, however large: its events are dealt into slices of time. Without a window each
 slice is aggregated on its own, and the sum of the slices before it, a small table, is added to its running
-values. With a window slices are at least as long as the window, and take along the events of the window
-before their start.
+values. With a window, blocks of its length get running values forwards and backwards, of which each window is
+made up (see ``_within``).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -116,6 +117,25 @@ def _over(spec: Aggregation, x: Column, w: WindowSpec | None) -> Column:
     return value[spec.function]()
 
 
+def _parts(spec: Aggregation) -> dict:
+    """What a function is made of: for each part what aggregates ``__x``, what merges aggregates, and of what."""
+    x = F.col("__x")
+    finite = F.nanvl(x, F.lit(None).cast("double"))
+    parts = {"n": (F.count, F.sum, F.lit(1)), "sum": (F.sum, F.sum, x), "min": (F.min, F.min, finite), "max": (F.max, F.max, finite)}
+    return {k: parts[k] for k in {"count": ["n"], "sum": ["sum"], "avg": ["n", "sum"], "min": ["min"], "max": ["max"]}[spec.function]}
+
+
+def _value(spec: Aggregation, part: Callable[[str], Column]) -> Column:
+    value = {
+        "count": lambda: part("n").cast("double"),
+        "sum": lambda: part("sum"),
+        "avg": lambda: part("sum") / part("n"),
+        "min": lambda: F.coalesce(part("min"), F.lit(HUGE)),
+        "max": lambda: F.coalesce(part("max"), F.lit(-HUGE)),
+    }
+    return value[spec.function]()
+
+
 def _with_slices(df: DataFrame) -> DataFrame:
     """Add ``__slice``, which grows with ``__t``: about as many events in each."""
     steps = [i / SLICES for i in range(1, SLICES)]
@@ -124,17 +144,50 @@ def _with_slices(df: DataFrame) -> DataFrame:
     return df.withColumn("__slice", F.coalesce(F.expr(after), F.lit(-1)))  # no time comes first
 
 
-def _with_frames(df: DataFrame, seconds: float) -> DataFrame:
-    """Add ``__slice``, and the events of the last ``seconds`` before a slice to it, with ``__ghost`` set."""
-    reach = int(seconds * 1e6)
-    low, high = df.agg(F.min("__t"), F.max("__t")).first()
-    width = max(reach, ((high or 0) - (low or 0)) // SLICES + 1)
-    t = F.col("__t") - F.lit(low or 0)
-    own = F.coalesce(F.floor(t / F.lit(width)).cast("long"), F.lit(-1))
-    # Of each event the next slice takes a copy where it starts within reach.
-    to = F.when((own >= 0) & ((own + 1) * F.lit(width) - t <= F.lit(reach)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    out = df.withColumn("__next", F.explode(to))
-    return out.withColumn("__slice", own + F.col("__next")).withColumn("__ghost", F.col("__next") == 1).drop("__next")
+def _within(df: DataFrame, by: list[str], reach: int, parts: dict) -> DataFrame:
+    """``__t``, ``by`` and parts of the events of the last ``reach`` microseconds up to ``__t``, for each time of ``df``.
+
+    ``parts`` names columns with what aggregates events and what merges aggregates. Time is cut into blocks of one
+    window, so a window is the start of its own block up to ``__t`` and the end of the block before: running values
+    forwards and backwards, whose cost doesn't depend on how many events a window holds. Blocks are dealt into slices,
+    and a small table adds what the other slices of a block hold.
+    """
+    width, key = reach + 1, [*by, "__block", "__slice"]
+    times = df.groupBy(*by, "__t").agg(*[agg(c).alias(k) for k, (agg, _, c) in parts.items()]).withColumn("__at", F.col("__t"))
+    nothing = [F.lit(None).cast(times.schema[k].dataType).alias(k) for k in parts]
+    both = times.select("*", F.lit(0).alias("__asks")).union(times.where("__t is not null").select(*by, F.col("__t") - width, *nothing, "__at", F.lit(1)))
+    both = _with_slices(both).withColumn("__block", F.expr(f"(__t - pmod(__t, {width}L)) div {width}L"))
+    in_slice = Window.partitionBy(*key)
+    forwards = in_slice.orderBy("__t", "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    backwards = in_slice.orderBy(F.desc("__t"), F.desc("__asks")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = both.groupBy(*key).agg(*[merge(k).alias(k) for k, (_, merge, _) in parts.items()])
+    slices = Window.partitionBy(*by, "__block")
+    before = slices.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    after = slices.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__in{i}" for i in range(len(key))]
+    carried = whole.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], *[m(k).over(w).alias(f"{k}{side}") for k, (_, m, _) in parts.items() for side, w in (("_before", before), ("_after", after))])
+    same = F.lit(True)
+    for k, n in zip(key, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    forth = {f"{k}_forth": merge(k).over(forwards) for k, (_, merge, _) in parts.items()}
+    back = {f"{k}_back": merge(k).over(backwards) for k, (_, merge, _) in parts.items()}
+    met = both.withColumns(forth).withColumns(back).join(carried, same)
+    own = F.col("__asks") == 0
+    ends = [F.when(own, F.array(f"{k}_forth", f"{k}_before")).otherwise(F.array(f"{k}_back", f"{k}_after")).alias(k) for k in parts]
+    pieces = met.select(*by, "__at", F.explode(F.array(F.lit(0), F.lit(1))).alias("__side"), *ends)
+    pieces = pieces.select(*by, "__at", *[F.get(k, "__side").alias(k) for k in parts])
+    return pieces.groupBy(*by, F.col("__at").alias("__t")).agg(*[merge(k).alias(k) for k, (_, merge, _) in parts.items()])
+
+
+def _with_window(df: DataFrame, by: list[str], seconds: float, parts: dict) -> DataFrame:
+    """``df``, which has ``__t``, with the parts of the last ``seconds`` up to each event."""
+    found = _within(df, by, int(seconds * 1e6), parts)
+    names = [f"__of{i}" for i in range(len(by) + 1)]
+    found = found.select(*[F.col(c).alias(n) for c, n in zip([*by, "__t"], names, strict=True)], *parts)
+    same = F.lit(True)
+    for c, n in zip([*by, "__t"], names, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    return df.join(found, same).drop(*names)
 
 
 def _free(df: DataFrame, *names: str) -> None:
@@ -147,8 +200,8 @@ def running(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_
     _free(df, group, value, triggered)
     out = df.withColumn(group, group_text(df, spec.by_field)).withColumn("__x", number_or_zero(df, spec.field)).withColumn("__t", _micros(df, ts))
     if spec.window is not None:
-        w = Window.partitionBy(group, "__slice").orderBy("__t").rangeBetween(-int(spec.window * 1e6), 0)
-        found = _with_frames(out, spec.window).withColumn(value, _over(spec, F.col("__x"), w)).where("not __ghost")
+        parts = _parts(spec)
+        found = _with_window(out, [group], spec.window, {f"__{k}": part for k, part in parts.items()}).withColumn(value, _value(spec, lambda k: F.col(f"__{k}")))
     else:
         found = _prefixed(_with_slices(out), spec, group, value, ts, id_)
     return found.withColumn(triggered, compare(F.col(value), spec.comparison, spec.threshold)).select(*[F.col(f"`{c}`") for c in df.columns], group, value, triggered)
@@ -156,24 +209,20 @@ def running(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_
 
 def _prefixed(sliced: DataFrame, spec: Aggregation, group: str, value: str, ts: str, id_: str) -> DataFrame:
     """Running values within slices, and what the slices before add to them."""
-    finite = F.nanvl(F.col("__x"), F.lit(None).cast("double"))
-    parts = {"n": (F.count, F.sum, F.lit(1)), "sum": (F.sum, F.sum, F.col("__x")), "min": (F.min, F.min, finite), "max": (F.max, F.max, finite)}
-    needed = {"count": ["n"], "sum": ["sum"], "avg": ["n", "sum"], "min": ["min"], "max": ["max"]}[spec.function]
-    whole = sliced.groupBy(group, "__slice").agg(*[parts[k][0](parts[k][2]).alias(f"__{k}") for k in needed])
-    before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a group
-    carried = whole.select(F.col(group).alias("__group"), F.col("__slice").alias("__in"), *[parts[k][1](f"__{k}").over(before).alias(f"__{k}_before") for k in needed])
+    parts = _parts(spec)
+    # The key is no constant where the group is one, so that the slices are dealt by it.
+    whole = sliced.groupBy(group, "__slice").agg(F.max(F.xxhash64(group)).alias("__key"), *[agg(c).alias(f"__{k}") for k, (agg, _, c) in parts.items()])
+    before = Window.partitionBy(group, "__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a group
+    carried = whole.select(F.col(group).alias("__group"), F.col("__slice").alias("__in"), *[merge(f"__{k}").over(before).alias(f"__{k}_before") for k, (_, merge, _) in parts.items()])
     w = Window.partitionBy(group, "__slice").orderBy(ts, id_).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumns({f"__{k}": parts[k][0](parts[k][2]).over(w) for k in needed})
+    local = sliced.withColumns({f"__{k}": agg(c).over(w) for k, (agg, _, c) in parts.items()})
     both = local.join(carried, (F.col(group) == F.col("__group")) & (F.col("__slice") == F.col("__in")))
-    add = lambda k: F.col(f"__{k}") + F.coalesce(F.col(f"__{k}_before"), F.lit(0))
-    total = {
-        "count": lambda: add("n").cast("double"),
-        "sum": lambda: add("sum"),
-        "avg": lambda: add("sum") / add("n"),
-        "min": lambda: F.coalesce(F.least("__min", "__min_before"), F.lit(HUGE)),
-        "max": lambda: F.coalesce(F.greatest("__max", "__max_before"), F.lit(-HUGE)),
-    }
-    return both.withColumn(value, total[spec.function]())
+
+    def total(k: str) -> Column:
+        here, there = F.col(f"__{k}"), F.col(f"__{k}_before")
+        return {"min": F.least(here, there), "max": F.greatest(here, there)}.get(k, here + F.coalesce(there, F.lit(0)))
+
+    return both.withColumn(value, _value(spec, total))
 
 
 def statistics(df: DataFrame, spec: Aggregation) -> tuple[DataFrame, Observation]:
@@ -211,12 +260,16 @@ def sliding(df: DataFrame, seconds: float, value: str, ts: str = "ts", by: tuple
 
     A sum that isn't finite is the largest double.
     """
-    out = _with_frames(df.withColumn("__t", _micros(df, ts)), seconds)
-    w = Window.partitionBy(*by, "__slice").orderBy("__t").rangeBetween(-int(seconds * 1e6), 0)
-    total = F.sum(F.col(value).cast("double")).over(w)
+    parts = {
+        "window_sum": (F.sum, F.sum, F.col(value).cast("double")),
+        "window_count": (F.count, F.sum, F.lit(1)),
+        "window_first": (F.min, F.min, F.col(ts)),
+        "window_last": (F.max, F.max, F.col(ts)),
+    }
+    total = F.col("window_sum")
     odd = F.isnan(total) | (F.abs(total) == float("inf"))
-    added = {"window_sum": F.when(odd, HUGE).otherwise(total), "window_count": F.count(F.lit(1)).over(w), "window_first": F.min(ts).over(w), "window_last": F.max(ts).over(w)}
-    return out.withColumns(added).where("not __ghost").drop("__t", "__slice", "__ghost")
+    out = _with_window(df.withColumn("__t", _micros(df, ts)), list(by), seconds, parts)
+    return out.withColumn("window_sum", F.when(odd, HUGE).otherwise(total)).drop("__t")
 
 
 def values_at(df: DataFrame, instants: DataFrame, seconds: float, value: str, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:

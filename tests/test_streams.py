@@ -223,6 +223,19 @@ def test_aggregations_of_one_large_group(spark):
     assert "SinglePartition" not in plan
 
 
+def test_windows_of_many_events_cost_no_more(spark):
+    """Frames that slide row by row are read anew for each row: the cost grows with the events in a window."""
+    rows = [(i, s, float(v)) for i, (s, v) in enumerate([(0, 1), (0, 2), (9, 4), (10, 8), (11, 16), (20, 32), (21, 64), (None, 128), (None, 256)])]
+    frame = spark.createDataFrame(rows, "event_id long, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    found = A.sliding(frame, 10, "value")
+    assert "specifiedwindowframe(RangeFrame" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.event_id: (r.window_sum, r.window_count, r.window_first and r.window_first.second, r.window_last and r.window_last.second) for r in found.collect()}
+    assert got == {0: (3, 2, 0, 0), 1: (3, 2, 0, 0), 2: (7, 3, 0, 9), 3: (15, 4, 0, 10), 4: (28, 3, 9, 11), 5: (56, 3, 10, 20), 6: (112, 3, 11, 21), 7: (384, 2, None, None), 8: (384, 2, None, None)}
+    for name, want in (("count", 3), ("sum", 112), ("avg", 112 / 3), ("min", 16), ("max", 64)):
+        spec = A.Aggregation(name, ">", 0, None if name == "count" else "value", window=10)
+        assert A.running(frame, spec).where("event_id = 6").select("value_agg").first()[0] == pytest.approx(want), name
+
+
 def test_instants_sessions_and_statistics(spark):
     frame = spark.createDataFrame([("a", 0, 1.0), ("a", 5, 2.0), ("a", 100, 4.0), ("b", 3, 8.0)], "g string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
     instants = spark.createDataFrame([("a", 7), ("a", 60), ("b", 3)], "g string, s long").select("g", F.timestamp_seconds("s").alias("ts"))
