@@ -33,12 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+ROWS_A_TASK = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later reads neither recompute it nor lose it.
 
-    The shuffle files of the write go when it ends: nothing reads them again.
+    The shuffle files of the write go when it ends: nothing reads them again. Where the caller knows that there are
+    ``rows`` narrow rows at most, as many tasks write them as that asks, one for each core at least: a small table in
+    a file for each shuffle partition costs more to write than to compute.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     path = f"{shared_folder(spark).rstrip('/')}/ruleloom-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")

@@ -31,29 +31,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total > 0, both / total).otherwise(0.0)
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges (a, b)``; the component is its smallest node.
 
-    Alternating large-star and small-star steps, each written to the shared folder, until the stars no
-    longer change; the number of steps follows the logarithm of the longest path.
+    Alternating large-star and small-star steps, each written to the shared folder, until all are stars; the number
+    of steps follows the logarithm of the longest path. No step makes more edges than it gets; ``rows`` is the
+    number of edges at most, if it is known.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = written(e, name)
-    before = None
+    e = written(e, name, rows)
     while True:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(e.select("b", F.lit(0)))
+        loose = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups = 1 and low = 0")
+        if not loose.take(1):
+            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        last, e = e, written(small.where("a <> b").distinct(), name)
+        last, e = e, written(small.where("a <> b").distinct(), name, e.count())
         discard(last)
-        state = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    down = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return down.union(down.select(F.col("component").alias("node"), "component").distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
 def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
@@ -65,9 +64,10 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
     """
     close = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
     edges = tested = comp = None
+    n_entries, n_edges = entries.count(), 0
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"))
     shared = entries.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("shared"))
-    ranked = written(entries.join(shared, "node"), f"{name}-ranked")
+    ranked = written(entries.join(shared, "node"), f"{name}-ranked", n_entries)
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.withColumnRenamed("items", "a_items"), pairs["a"] == sets["node"]).drop("node")
@@ -78,23 +78,24 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
         """Entries of the buckets that still hold several components, with each node's component."""
         own = ranked.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return written(own.join(several.select("bucket"), "bucket", "left_semi"), f"{name}-open")
+        return written(own.join(several.select("bucket"), "bucket", "left_semi"), f"{name}-open", n_entries)
 
-    def add(pairs: DataFrame) -> None:
-        """Verify pairs that weren't tested yet, and merge what they link."""
-        nonlocal edges, tested, comp
+    def add(pairs: DataFrame) -> DataFrame:
+        """The links among pairs that weren't tested yet."""
+        nonlocal tested
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         result = written(verified(pairs), f"{name}-pairs")
-        merge(result.where("linked").select("a", "b"))
         tested = result.select("a", "b") if tested is None else tested.union(result.select("a", "b"))
+        return result.where("linked").select("a", "b")
 
     def merge(linked: DataFrame) -> None:
-        nonlocal edges, comp
-        if comp is None or linked.take(1):
-            edges = linked if edges is None else edges.union(linked)
-            comp = written(components(edges, f"{name}-stars"), f"{name}-components")
+        nonlocal edges, n_edges, comp
+        n = linked.count()
+        if comp is None or n:
+            edges, n_edges = linked if edges is None else edges.union(linked), n_edges + n
+            comp = written(components(edges, f"{name}-stars", n_edges), f"{name}-components", 2 * n_edges)
 
     for round_ in range(ROUNDS):
         now = labelled() if round_ else ranked.withColumn("component", F.col("node"))
@@ -104,21 +105,23 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
         pairs = now.join(first, "bucket").where("component <> r.component").withColumn("other_size", F.col("r.size")).where(close)
         if round_ == 0:  # most buckets of a node have the same centre
             pairs = pairs.groupBy("node").agg(F.max_by("r.node", F.struct("r.shared", "r.node")).alias("other"))
-        add(pairs.select("node", F.col("other") if round_ == 0 else F.col("r.node").alias("other")))
+        merge(add(pairs.select("node", F.col("other") if round_ == 0 else F.col("r.node").alias("other"))))
 
     now = labelled()
     lowest = now.groupBy("bucket").agg(F.min("node").alias("b"))
-    groups = written(components(now.join(lowest, "bucket").select(F.col("node").alias("a"), "b"), f"{name}-groups"), f"{name}-groups")
+    near = now.join(lowest, "bucket").select(F.col("node").alias("a"), "b")
+    groups = written(components(near, f"{name}-groups", n_entries), f"{name}-groups", n_entries)
     member = now.select("node", "size", "component").distinct().join(groups.withColumnRenamed("component", "group"), "node")
     counts = member.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("items"))
-    member = written(member.join(counts, "group"), f"{name}-members")
+    member = written(member.join(counts, "group"), f"{name}-members", n_entries)
     few = now.join(member.where(F.col("n") <= FEW).select("node"), "node", "left_semi")
     other = few.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-    add(few.join(other, "bucket").where("component < other_component").where(close).select("node", "other"))
+    found = add(few.join(other, "bucket").where("component < other_component").where(close).select("node", "other"))
     many = member.where(F.col("n") > FEW)
-    if many.take(1):
-        smaller = written(_regrouped(many, sets, threshold, name), f"{name}-groups")
-        merge(written(_blocked(smaller, sets, threshold), f"{name}-blocked"))
+    if many.take(1):  # no group of these has a node of the others, so both are merged at once
+        smaller = written(_regrouped(many, sets, threshold, name), f"{name}-groups", n_entries)
+        found = found.union(written(_blocked(smaller, sets, threshold), f"{name}-blocked"))
+    merge(found)
     return comp
 
 

@@ -210,6 +210,52 @@ def test_links_of_many_small_sets_that_share_an_item(spark):
     assert [(r.node, r.component) for r in found] == [(n + 1, n)]
 
 
+def _classes(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {n: root(n) for n in nodes}
+
+
+def test_stars_need_no_further_step_and_small_tables_few_files(spark, monkeypatch):
+    import random
+
+    from ruleloom.llm import links
+
+    tables = []
+
+    def written(df, name, *rows, write=links.written):
+        out = write(df, name, *rows)
+        tables.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(links, "written", written)
+    monkeypatch.setattr(links, "discard", lambda *tables: None)
+    stars = spark.createDataFrame([(1, n) for n in range(2, 30)] + [(31, 30)], "a long, b long")
+    assert {r.node: r.component for r in links.components(stars).collect()} == {n: 1 if n < 30 else 30 for n in range(1, 32)}
+    assert len(tables) == 1
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(40)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        tables.clear()
+        found = links.components(spark.createDataFrame(pairs, "a long, b long"), "test", len(pairs)).collect()
+        assert max(tables) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found) == len({n for pair in pairs for n in pair})
+    assert {r.node: r.component for r in found} == _classes({n for pair in pairs for n in pair}, pairs)
+
+
 def test_short_paragraphs(spark):
     rng = random.Random(13)
     notice = "All rights of this text are reserved."  # 7 words
