@@ -126,15 +126,30 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
 
 
 def _regrouped(members: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
-    """``node, size, component, group, n, items``: members that share a rare item with another component, in new groups."""
-    own = members.select("node", "group", "component").join(sets, "node")
-    each = own.select("node", "group", "component", F.size("items").alias("of"), F.explode("items").alias("item"))
-    often = each.groupBy("group", "item").agg(F.count("*").alias("often"))
-    rarest = F.col("of") - F.ceil(F.lit(threshold) * F.col("of") - 1e-9) + 1
-    in_order = each.join(often, ["group", "item"]).groupBy("node", "group", "component", "of").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
-    prefix = written(in_order.select("node", "group", "component", F.explode(F.slice("items", F.lit(1), rarest.cast("int"))["item"]).alias("item")), f"{name}-prefix")
+    """``node, size, component, group, n, items``: members that share a rare item with another component, in new groups.
+
+    The order of rarity puts items of a single component first, which no link needs, and items of over half of a
+    group's nodes last. There are at most twice as many of these as a node has items on average, so they stay in an
+    array, and only what remains of a node's items is joined item by item.
+    """
+    own = members.select("node", "group", "component", "n").join(sets, "node")
+    each = own.select("group", "component", "n", F.explode("items").alias("item"))
+    shared = each.groupBy("group", "item").agg(F.count("*").alias("often"), F.max("n").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    shared = written(shared.select("group", "item", "often", (F.col("often") * 2 > F.col("n")).alias("common")), f"{name}-shared")
+    common = shared.where("common").groupBy("group").agg(F.collect_list("item").alias("__common"))
+    none = F.array().cast("array<bigint>")
+    own = own.join(common, "group", "left").withColumn("__common", F.coalesce("__common", none))
+    rest = own.select("node", "group", F.explode(F.array_except("items", "__common")).alias("item"))
+    seldom = rest.join(shared.where("not common"), ["group", "item"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("__seldom"))
+    of = F.size("items")
+    ordered = own.withColumn("__last", F.array_sort(F.array_intersect("items", "__common"))).join(seldom, "node", "left")
+    ordered = ordered.withColumn("__order", F.concat(F.coalesce(F.col("__seldom")["item"], none), "__last"))
+    alone = of - F.size("__order")  # items that come before these
+    rarest = of - F.ceil(F.lit(threshold) * of - 1e-9) + 1
+    prefix = ordered.select("node", "group", "component", F.explode(F.slice("__order", F.lit(1), F.greatest(rarest - alone, F.lit(0)).cast("int"))).alias("item"))
+    prefix = written(prefix, f"{name}-prefix")
     met = prefix.groupBy("group", "item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("b")).where("lo < hi").select("group", "item", "b")
-    groups = components(prefix.join(met, ["group", "item"]).select(F.col("node").alias("a"), "b"), f"{name}-regrouped")
+    groups = components(prefix.join(met, ["group", "item"]).select(F.col("node").alias("a"), "b"), f"{name}-regrouped", prefix.count())
     found = members.select("node", "size", "component").join(groups.withColumnRenamed("component", "group"), "node")
     return found.join(found.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("items")), "group")
 

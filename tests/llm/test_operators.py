@@ -256,6 +256,34 @@ def test_stars_need_no_further_step_and_small_tables_few_files(spark, monkeypatc
     assert {r.node: r.component for r in found} == _classes({n for pair in pairs for n in pair}, pairs)
 
 
+def test_links_meet_by_items_of_several_components_only(spark, monkeypatch):
+    """Sixty near copies below the threshold, each with ten items of its own, and forty pairs above it."""
+    from ruleloom.llm import links
+
+    tables = {}
+
+    def written(df, name, *rows, write=links.written):
+        tables[name] = write(df, name, *rows)
+        return tables[name]
+
+    monkeypatch.setattr(links, "written", written)
+    sets = {n: [*range(40), *range(1000 * n, 1000 * n + 10)] for n in range(1, 61)}
+    for n in range(61, 141, 2):
+        both = [*range(40), *range(1000 * n, 1000 * n + 8)]
+        sets |= {n: [*both, 1000 * n + 10, 1000 * n + 11], n + 1: [*both, 1000 * n + 12, 1000 * n + 13]}
+    entries = spark.createDataFrame([(7, n, 50) for n in sets], "bucket long, node long, size long")
+    found = links.link(entries, spark.createDataFrame(list(sets.items()), "node long, items array<long>"), 0.8, "test").where("node <> component")
+    assert {(r.component, r.node) for r in found.collect()} == {(n, n + 1) for n in range(61, 141, 2)}
+    holders = {}
+    for items in sets.values():
+        for item in items:
+            holders[item] = holders.get(item, 0) + 1
+    prefix = [r.item for r in tables["test-prefix"].collect()]
+    assert prefix and min(holders[item] for item in prefix) > 1
+    # Items of over half of the nodes are not joined one by one.
+    assert {r.item for r in tables["test-shared"].where("common").collect()} == set(range(40))
+
+
 def test_short_paragraphs(spark):
     rng = random.Random(13)
     notice = "All rights of this text are reserved."  # 7 words
