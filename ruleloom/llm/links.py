@@ -128,18 +128,23 @@ def link(entries: DataFrame, sets: DataFrame, threshold: float, name: str) -> Da
 def _regrouped(members: DataFrame, sets: DataFrame, threshold: float, name: str) -> DataFrame:
     """``node, size, component, group, n, items``: members that share a rare item with another component, in new groups.
 
-    The order of rarity puts items of a single component first, which no link needs, and items of over half of a
-    group's nodes last. There are at most twice as many of these as a node has items on average, so they stay in an
-    array, and only what remains of a node's items is joined item by item.
+    The order of rarity puts items of a single component first, which no link needs, and items of over a third of about
+    ``FEW`` of a group's nodes last. Any one order for a whole group finds all links, so these nodes decide on rows
+    only: their frequent items, at most three times as many as such a node has on average, stay in an array, and only
+    what else any node holds is made into rows, once, and counted.
     """
     own = members.select("node", "group", "component", "n").join(sets, "node")
-    each = own.select("group", "component", "n", F.explode("items").alias("item"))
-    shared = each.groupBy("group", "item").agg(F.count("*").alias("often"), F.max("n").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    shared = written(shared.select("group", "item", "often", (F.col("often") * 2 > F.col("n")).alias("common")), f"{name}-shared")
-    common = shared.where("common").groupBy("group").agg(F.collect_list("item").alias("__common"))
+    some = own.where(F.pmod(F.xxhash64("node", F.lit(4)), F.ceil(F.col("n") / FEW)) == 0)
+    held = some.select("group", F.explode("items").alias("item")).groupBy("group", "item").agg(F.count("*").alias("often"))
+    held = held.join(some.groupBy("group").agg(F.count("*").alias("of")), "group").where("often * 3 > of")
+    held = written(held.select("group", "item", F.lit(True).alias("common")), f"{name}-held")
+    common = held.groupBy("group").agg(F.collect_list("item").alias("__common"))
     none = F.array().cast("array<bigint>")
     own = own.join(common, "group", "left").withColumn("__common", F.coalesce("__common", none))
-    rest = own.select("node", "group", F.explode(F.array_except("items", "__common")).alias("item"))
+    rest = written(own.select("node", "group", "component", F.explode(F.array_except("items", "__common")).alias("item")), f"{name}-rest")
+    counts = rest.groupBy("group", "item").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = counts.where("lo < hi").select("group", "item", "often", F.lit(False).alias("common"))
+    shared = written(shared.unionByName(held, allowMissingColumns=True), f"{name}-shared")
     seldom = rest.join(shared.where("not common"), ["group", "item"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("__seldom"))
     of = F.size("items")
     ordered = own.withColumn("__last", F.array_sort(F.array_intersect("items", "__common"))).join(seldom, "node", "left")

@@ -284,6 +284,31 @@ def test_links_meet_by_items_of_several_components_only(spark, monkeypatch):
     assert {r.item for r in tables["test-shared"].where("common").collect()} == set(range(40))
 
 
+def test_items_of_near_copies_become_rows_only_where_these_differ(spark, monkeypatch):
+    """A hundred near copies below the threshold that share 160 items, and ten pairs above it; each lacks four of the 160."""
+    from ruleloom.llm import links
+
+    tables = {}
+
+    def written(df, name, *rows, write=links.written):
+        tables[name] = write(df, name, *rows)
+        return tables[name]
+
+    monkeypatch.setattr(links, "written", written)
+    rng = random.Random(23)
+    sets = {n: [*sorted(rng.sample(range(160), 156)), *range(1000 * n, 1000 * n + 40)] for n in range(1, 101)}
+    for n in range(101, 121, 2):
+        own = [*range(1000 * n, 1000 * n + 34)]
+        sets |= {n: [*range(4, 160), *own, *range(1000 * n + 40, 1000 * n + 46)], n + 1: [*range(156), *own, *range(1000 * n + 50, 1000 * n + 56)]}
+    linked = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert linked == {(n, n + 1) for n in range(101, 121, 2)}
+    entries = spark.createDataFrame([(7, n, len(items)) for n, items in sets.items()], "bucket long, node long, size long")
+    found = links.link(entries, spark.createDataFrame(list(sets.items()), "node long, items array<long>"), 0.8, "test").where("node <> component")
+    assert {(r.component, r.node) for r in found.collect()} == linked
+    rest = tables["test-rest"].collect()
+    assert len(rest) == 40 * len(sets) and min(r.item for r in rest) >= 1000
+
+
 def test_short_paragraphs(spark):
     rng = random.Random(13)
     notice = "All rights of this text are reserved."  # 7 words
