@@ -13,7 +13,7 @@ is found is verified on the words themselves. Variants are hashed in linear time
 its words hashed with their positions, from running xors over the line.
 
 Only lines that can have a partner emit variants: an edit leaves the first or the second half of the
-shorter line alone, so a line none of whose halves occurs in another line has no partner. Lines that emit
+shorter line alone, so a line neither of whose halves begins or ends another line has no partner. Lines that emit
 variants are numbered in the order of their places (range partitions, sorted), so that a variant is three
 numbers and the earliest of a group is a plain minimum.
 
@@ -48,7 +48,8 @@ def _hash(text: Column) -> Column:
 
 def _line_words(line: Column) -> Column:
     """The words of a line, A-Z in lower case."""
-    low = F.when(F.rlike(line, F.lit(OTHER_CASE)), F.translate(line, UPPER, LOWER)).otherwise(F.lower(line))
+    ascii_only = F.octet_length(line) == F.length(line)  # tells most lines far sooner than the expression
+    low = F.when(ascii_only | ~F.rlike(line, F.lit(OTHER_CASE)), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
     return F.array_remove(F.split(low, NOT_WORD_IN_LINE), "")
 
 
@@ -61,13 +62,20 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _half_keys(words: Column) -> Column:
-    """Hashes of the halves that a partner of the same length, or one word shorter or longer, may share."""
-    n, keys = F.size(words), []
-    for least in (n - 1, n):  # words of the shorter line of a pair
-        p = F.floor(least / 2).cast("int")
-        keys.append(F.xxhash64(F.lit(0), least, F.slice(words, F.lit(1), p)))
-        keys.append(F.xxhash64(F.lit(1), least, F.slice(words, n - (least - p) + 1, least - p)))
-    return F.when(n >= FUZZY_WORDS, F.array(*keys))
+    """Hashes of a line's first and last words, of which a partner shares one or the other.
+
+    An edit leaves the first or the last half of the shorter line alone. The halves of lines of 4k to 4k + 3 words
+    are cut down to 2k words, so that partners of nearly all lengths look at equally many and most lines have two keys;
+    only a line of 4k words may have a partner of the length class below, and has that one's keys too.
+    """
+    n = F.size(words)
+
+    def keys(p):
+        return [F.xxhash64(F.lit(0), F.slice(words, F.lit(1), p)), F.xxhash64(F.lit(1), F.slice(words, n - p + 1, p))]
+
+    own = (F.floor(n / 4) * 2).cast("int")
+    both = F.array(*keys(own), *keys(own - 2))
+    return F.when(n >= FUZZY_WORDS, F.when((n % 4 == 0) & (n > FUZZY_WORDS), both).otherwise(F.array(*keys(own))))
 
 
 def _place() -> Column:
@@ -177,8 +185,13 @@ def _with_kept(documents: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_hash(_text()) == F.col("__hash"))
     joined = documents.join(gone, same, "left").drop("__id", "__hash")
     lines = F.split(_text(), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+
+    def left(own):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")
+
+    # The lines are an argument: where they stood in the function of a line, Spark would cut the text for each line anew.
+    kept = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.transform(F.array(lines), left)[0])
     return joined.withColumn("__kept", kept).withColumn("__n", F.when(_text() == "", 0).otherwise(F.size(lines)))
 
 

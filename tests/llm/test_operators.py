@@ -406,6 +406,40 @@ def test_line_dedup(docs, rows, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_partners_share_a_half_and_most_lines_have_two(spark):
+    from ruleloom.llm.linededup import _half_keys
+
+    def keys(lines):
+        rows = spark.createDataFrame([(line,) for line in lines], "words array<string>").select(_half_keys(F.col("words")).alias("keys"))
+        return [r["keys"] and {*r["keys"]} for r in rows.coalesce(1).collect()]
+
+    lines, pairs = [], []
+    for n in range(8, 30):
+        lines.append([f"w{i}" for i in range(n)])
+        whole = len(lines) - 1
+        for at in range(n + 1):
+            lines.append([*lines[whole][:at], "other", *lines[whole][at:]])
+            pairs.append((whole, len(lines) - 1))
+            if at < n:
+                lines.append([*lines[whole][:at], "other", *lines[whole][at + 1 :]])
+                pairs.append((whole, len(lines) - 1))
+    found = keys(lines)
+    assert all(found[a] & found[b] for a, b in pairs)
+    assert [x and len(x) for x in keys([[f"w{i}" for i in range(n)] for n in range(7, 14)])] == [None, 2, 2, 2, 2, 4, 2]
+
+
+def test_kept_lines_come_from_one_cut_of_the_text(spark):
+    from ruleloom.llm.linededup import _with_kept, dedup_lines
+
+    text = "\n".join(f"line {i} of this text" if i % 2 else "this line stands here again" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nand another"), (3, None)], "doc_id int, text string")
+    for found in (_with_kept(docs), dedup_lines(docs)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction(" in plan and "lambdafunction(split(" not in plan
+    kept = {r.doc_id: r["text"] for r in dedup_lines(docs).collect()}
+    assert kept == {1: "\n".join(["this line stands here again", *(f"line {i} of this text" for i in range(1, 3000, 2))]), 2: "and another", 3: None}
+
+
 def test_line_dedup_random_edits(spark):
     rng = random.Random(5)
     base = [[rng.choice(VOCABULARY) for _ in range(rng.randint(7, 11))] for _ in range(12)]
