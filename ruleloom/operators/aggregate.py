@@ -3,9 +3,10 @@
 A running aggregation reports, for every event, the value of its group so far and whether it passes the
 threshold. With a window it covers the last seconds only. The order is (time, id), which makes ties definite.
 
-No group is sorted in one task, however large: its events are dealt into slices of time. Without a window each
+Doubles are added in that order, one after the other: whether a sum that meets the threshold passes it depends on
+the order. No group of over ``WHOLE`` events is sorted in one task: its events are dealt into slices of time, each
 slice is aggregated on its own, and the sum of the slices before it, a small table, is added to its running
-values. With a window, blocks of its length get running values forwards and backwards, of which each window is
+values, whose last digits may then differ. With a window, blocks of its length get running values forwards and backwards, of which each window is
 made up (see ``_within``).
 """
 
@@ -29,6 +30,7 @@ EPSILON, HUGE = 2.220446049250313e-16, 1.7976931348623157e308
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
 COMPARISONS = (">=", "<=", "==", "!=", ">", "<")
 SLICES = 64
+WHOLE = 100_000  # events of a group that one task adds up in order
 
 
 @dataclass(frozen=True)
@@ -144,6 +146,21 @@ def _with_slices(df: DataFrame) -> DataFrame:
     return df.withColumn("__slice", F.coalesce(F.expr(after), F.lit(-1)))  # no time comes first
 
 
+def _with_slices_of_large_groups(df: DataFrame, group: str) -> DataFrame:
+    """Add ``__slice``: by time in groups of over ``WHOLE`` events, the same for all events of another."""
+    sizes = df.groupBy(F.col(group).alias("__large")).count()
+    is_large = F.col("count") > WHOLE
+    large, groups = sizes.agg(F.count_if(is_large), F.count("*")).first()
+    if large == groups:
+        return _with_slices(df)
+    none = F.coalesce(F.pmod("__t", F.lit(1)), F.lit(0)).cast("int")  # 0, but no constant, so that a single group is dealt by it
+    if not large:
+        return df.withColumn("__slice", none)
+    names = sizes.where(is_large).select("__large")  # one for each WHOLE events at most
+    marked = _with_slices(df).join(F.broadcast(names), F.col(group) == F.col("__large"), "left")
+    return marked.withColumn("__slice", F.when(F.col("__large").isNotNull(), F.col("__slice")).otherwise(none)).drop("__large")
+
+
 def _within(df: DataFrame, by: list[str], reach: int, parts: dict) -> DataFrame:
     """``__t``, ``by`` and parts of the events of the last ``reach`` microseconds up to ``__t``, for each time of ``df``.
 
@@ -203,7 +220,7 @@ def running(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_
         parts = _parts(spec)
         found = _with_window(out, [group], spec.window, {f"__{k}": part for k, part in parts.items()}).withColumn(value, _value(spec, lambda k: F.col(f"__{k}")))
     else:
-        found = _prefixed(_with_slices(out), spec, group, value, ts, id_)
+        found = _prefixed(_with_slices_of_large_groups(out, group), spec, group, value, ts, id_)
     return found.withColumn(triggered, compare(F.col(value), spec.comparison, spec.threshold)).select(*[F.col(f"`{c}`") for c in df.columns], group, value, triggered)
 
 

@@ -223,6 +223,27 @@ def test_aggregations_of_one_large_group(spark):
     assert "SinglePartition" not in plan
 
 
+@pytest.mark.parametrize(("by", "whole"), [("user", 100_000), (None, 100_000), ("user", 150), ("user", 50)])
+def test_running_sums_add_in_order(spark, monkeypatch, by, whole):
+    """A sum that meets the threshold passes it or not by the order in which its doubles are added."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"u{i % 4 // 2}" if i % 4 else "u2", rng.randint(0, 500), rng.randint(1, 20_000) / 100) for i in range(400)]
+    frame = spark.createDataFrame(rows, "event_id long, user string, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    monkeypatch.setattr(A, "WHOLE", whole)
+    want, sums = {}, {}
+    for i, user, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        group = user if by else None
+        want[i] = sums[group] = sums.get(group, 0.0) + v
+    threshold = want[198]
+    got = {r.event_id: (r.value_agg, r.triggered) for r in A.running(frame, A.Aggregation("sum", ">=", threshold, "value", by)).collect()}
+    assert {i: v for i, (v, _) in got.items()} == pytest.approx(want, rel=1e-12)
+    in_order = [i for i, user, *_ in rows if sum(r[1] == user for r in rows) <= whole] if by else list(want)
+    assert [got[i] for i in in_order] == [(want[i], want[i] >= threshold) for i in in_order]
+    assert len(in_order) == {100_000: 400, 150: 200, 50: 0}[whole]
+
+
 def test_windows_of_many_events_cost_no_more(spark):
     """Frames that slide row by row are read anew for each row: the cost grows with the events in a window."""
     rows = [(i, s, float(v)) for i, (s, v) in enumerate([(0, 1), (0, 2), (9, 4), (10, 8), (11, 16), (20, 32), (21, 64), (None, 128), (None, 256)])]
