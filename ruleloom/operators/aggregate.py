@@ -6,8 +6,9 @@ threshold. With a window it covers the last seconds only. The order is (time, id
 Doubles are added in that order, one after the other: whether a sum that meets the threshold passes it depends on
 the order. No group of over ``WHOLE`` events is sorted in one task: its events are dealt into slices of time, each
 slice is aggregated on its own, and the sum of the slices before it, a small table, is added to its running
-values, whose last digits may then differ. With a window, blocks of its length get running values forwards and backwards, of which each window is
-made up (see ``_within``).
+values, whose last digits may then differ. With a window, each window is added up on its own where events are few
+(see ``_few_within``); elsewhere blocks of its length get running values forwards and backwards, of which each
+window is made up (see ``_within``).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ FUNCTIONS = ("count", "sum", "avg", "min", "max")
 COMPARISONS = (">=", "<=", "==", "!=", ">", "<")
 SLICES = 64
 WHOLE = 100_000  # events of a group that one task adds up in order
+FEW = 256  # events of two blocks up to which each window is added up in order
 
 
 @dataclass(frozen=True)
@@ -161,6 +163,17 @@ def _with_slices_of_large_groups(df: DataFrame, group: str) -> DataFrame:
     return marked.withColumn("__slice", F.when(F.col("__large").isNotNull(), F.col("__slice")).otherwise(none)).drop("__large")
 
 
+def _block(reach: int) -> Column:
+    return F.expr(f"(__t - pmod(__t, {reach + 1}L)) div {reach + 1}L")
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    same = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        same &= F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
 def _within(df: DataFrame, by: list[str], reach: int, parts: dict) -> DataFrame:
     """``__t``, ``by`` and parts of the events of the last ``reach`` microseconds up to ``__t``, for each time of ``df``.
 
@@ -173,7 +186,7 @@ def _within(df: DataFrame, by: list[str], reach: int, parts: dict) -> DataFrame:
     times = df.groupBy(*by, "__t").agg(*[agg(c).alias(k) for k, (agg, _, c) in parts.items()]).withColumn("__at", F.col("__t"))
     nothing = [F.lit(None).cast(times.schema[k].dataType).alias(k) for k in parts]
     both = times.select("*", F.lit(0).alias("__asks")).union(times.where("__t is not null").select(*by, F.col("__t") - width, *nothing, "__at", F.lit(1)))
-    both = _with_slices(both).withColumn("__block", F.expr(f"(__t - pmod(__t, {width}L)) div {width}L"))
+    both = _with_slices(both).withColumn("__block", _block(reach))
     in_slice = Window.partitionBy(*key)
     forwards = in_slice.orderBy("__t", "__asks").rowsBetween(Window.unboundedPreceding, 0)
     backwards = in_slice.orderBy(F.desc("__t"), F.desc("__asks")).rowsBetween(Window.unboundedPreceding, 0)
@@ -183,12 +196,9 @@ def _within(df: DataFrame, by: list[str], reach: int, parts: dict) -> DataFrame:
     after = slices.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     names = [f"__in{i}" for i in range(len(key))]
     carried = whole.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], *[m(k).over(w).alias(f"{k}{side}") for k, (_, m, _) in parts.items() for side, w in (("_before", before), ("_after", after))])
-    same = F.lit(True)
-    for k, n in zip(key, names, strict=True):
-        same &= F.col(k).eqNullSafe(F.col(n))
     forth = {f"{k}_forth": merge(k).over(forwards) for k, (_, merge, _) in parts.items()}
     back = {f"{k}_back": merge(k).over(backwards) for k, (_, merge, _) in parts.items()}
-    met = both.withColumns(forth).withColumns(back).join(carried, same)
+    met = both.withColumns(forth).withColumns(back).join(carried, _same(key, names))
     own = F.col("__asks") == 0
     ends = [F.when(own, F.array(f"{k}_forth", f"{k}_before")).otherwise(F.array(f"{k}_back", f"{k}_after")).alias(k) for k in parts]
     pieces = met.select(*by, "__at", F.explode(F.array(F.lit(0), F.lit(1))).alias("__side"), *ends)
@@ -196,15 +206,57 @@ def _within(df: DataFrame, by: list[str], reach: int, parts: dict) -> DataFrame:
     return pieces.groupBy(*by, F.col("__at").alias("__t")).agg(*[merge(k).alias(k) for k, (_, merge, _) in parts.items()])
 
 
-def _with_window(df: DataFrame, by: list[str], seconds: float, parts: dict) -> DataFrame:
-    """``df``, which has ``__t``, with the parts of the last ``seconds`` up to each event."""
-    found = _within(df, by, int(seconds * 1e6), parts)
+_OF_ARRAY = {
+    F.count: lambda a: F.size(F.filter(a, lambda x: x.isNotNull())).cast("long"),
+    F.sum: lambda a: F.aggregate(a, F.lit(None).cast("double"), lambda total, x: F.coalesce(total + x, total, x)),
+    F.min: F.array_min,
+    F.max: F.array_max,
+}
+
+
+def _few_within(df: DataFrame, by: list[str], reach: int, parts: dict, ties: list[str], many: DataFrame | None) -> DataFrame:
+    """``df``, which has ``__block``, with the parts of its windows, each added up from its first event to its last.
+
+    A block's windows need its events and those of the block before, which are copied to it. Blocks in ``many`` are left out.
+    """
+    key, here = [*by, "__block"], F.col("__later") == 0
+    kept = {*by, *ties, "__t"}
+    event = F.struct("__t", *[c.alias(k) for k, (_, _, c) in parts.items()])
+    both = df.withColumn("__event", event).withColumn("__later", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.select(*[F.col(f"`{c}`") if c in kept else F.when(here, F.col(f"`{c}`")).alias(c) for c in df.columns if c != "__block"], (F.col("__block") + F.col("__later")).alias("__block"), "__event", "__later")
+    if many is not None:
+        both = both.join(many, _same(key, many.columns), "left_anti")
+    w = Window.partitionBy(*key).orderBy("__t", *ties).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = both.withColumn("__near", F.collect_list("__event").over(w)).where(here)
+    inside = near.withColumn("__near", F.filter("__near", lambda e: e["__t"].between(F.col("__t") - reach, F.col("__t"))))
+    return inside.select(*[F.col(f"`{c}`") for c in df.columns if c != "__block"], *[_OF_ARRAY[agg](F.col("__near").getField(k)).alias(k) for k, (agg, _, _) in parts.items()])
+
+
+def _many_within(df: DataFrame, by: list[str], reach: int, parts: dict, many: DataFrame) -> DataFrame:
+    """The same for the blocks in ``many``, with windows made up of running values."""
+    key = [*by, "__block"]
+    last = F.col(many.columns[-1])
+    with_before = many.union(many.withColumn(many.columns[-1], last - 1)).distinct()
+    found = _within(df.join(with_before, _same(key, many.columns), "left_semi"), by, reach, parts)
     names = [f"__of{i}" for i in range(len(by) + 1)]
     found = found.select(*[F.col(c).alias(n) for c, n in zip([*by, "__t"], names, strict=True)], *parts)
-    same = F.lit(True)
-    for c, n in zip([*by, "__t"], names, strict=True):
-        same &= F.col(c).eqNullSafe(F.col(n))
-    return df.join(found, same).drop(*names)
+    asking = df.join(many, _same(key, many.columns), "left_semi").drop("__block")
+    return asking.join(found, _same([*by, "__t"], names)).drop(*names)
+
+
+def _with_window(df: DataFrame, by: list[str], seconds: float, parts: dict, ties: list[str]) -> DataFrame:
+    """``df``, which has ``__t``, with the parts of the last ``seconds`` up to each event; ``ties`` order events of one time."""
+    reach = int(seconds * 1e6)
+    out = df.withColumn("__block", _block(reach))
+    key = [*by, "__block"]
+    held = out.select(*by, F.explode(F.expr("array(__block, __block + 1)")).alias("__block")).groupBy(*key).count()
+    many = held.where((F.col("count") > FEW) | F.col("__block").isNull()).select(*[F.col(k).alias(f"__many{i}") for i, k in enumerate(key)])
+    n = many.count()
+    if not n:
+        return _few_within(out, by, reach, parts, ties, None)
+    many = F.broadcast(many) if n <= 100_000 else many
+    few = _few_within(out, by, reach, parts, ties, many)
+    return few.unionByName(_many_within(out, by, reach, parts, many))
 
 
 def _free(df: DataFrame, *names: str) -> None:
@@ -218,7 +270,7 @@ def running(df: DataFrame, spec: Aggregation, ts: str = "ts", id_: str = "event_
     out = df.withColumn(group, group_text(df, spec.by_field)).withColumn("__x", number_or_zero(df, spec.field)).withColumn("__t", _micros(df, ts))
     if spec.window is not None:
         parts = _parts(spec)
-        found = _with_window(out, [group], spec.window, {f"__{k}": part for k, part in parts.items()}).withColumn(value, _value(spec, lambda k: F.col(f"__{k}")))
+        found = _with_window(out, [group], spec.window, {f"__{k}": part for k, part in parts.items()}, [c for c in (id_,) if c in df.columns]).withColumn(value, _value(spec, lambda k: F.col(f"__{k}")))
     else:
         found = _prefixed(_with_slices_of_large_groups(out, group), spec, group, value, ts, id_)
     return found.withColumn(triggered, compare(F.col(value), spec.comparison, spec.threshold)).select(*[F.col(f"`{c}`") for c in df.columns], group, value, triggered)
@@ -285,7 +337,7 @@ def sliding(df: DataFrame, seconds: float, value: str, ts: str = "ts", by: tuple
     }
     total = F.col("window_sum")
     odd = F.isnan(total) | (F.abs(total) == float("inf"))
-    out = _with_window(df.withColumn("__t", _micros(df, ts)), list(by), seconds, parts)
+    out = _with_window(df.withColumn("__t", _micros(df, ts)), list(by), seconds, parts, [value])
     return out.withColumn("window_sum", F.when(odd, HUGE).otherwise(total)).drop("__t")
 
 

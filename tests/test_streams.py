@@ -244,6 +244,38 @@ def test_running_sums_add_in_order(spark, monkeypatch, by, whole):
     assert len(in_order) == {100_000: 400, 150: 200, 50: 0}[whole]
 
 
+@pytest.mark.parametrize("few", [256, 40, 0])
+def test_sliding_sums_add_in_order(spark, monkeypatch, few):
+    """Where two blocks hold few events, their windows are added up first to last; elsewhere up to rounding."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, f"u{i % 3}", rng.randint(0, 300) if i % 2 else rng.randint(0, 20), rng.randint(1, 20_000) / 100 if i % 9 else None) for i in range(240)]
+    rows += [(300, "u0", None, 0.1), (301, "u0", None, 0.2), (302, "u0", None, None), (303, "u3", None, 1.5)]
+    frame = spark.createDataFrame(rows, "event_id long, user string, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    monkeypatch.setattr(A, "FEW", few)
+    windows = {}
+    for i, user, s, _ in rows:
+        near = [r for r in rows if r[1] == user and (r[2] is None if s is None else r[2] is not None and s - 30 <= r[2] <= s)]
+        windows[i] = [r[3] for r in sorted(near, key=lambda r: (r[2] or 0, r[0]))]
+    want = {i: 0.0 for i in windows}
+    for i, values in windows.items():
+        for v in values:
+            want[i] += v or 0.0
+    got = {r.event_id: (r.value_agg, r.triggered) for r in A.running(frame, A.Aggregation("sum", ">", want[25], "value", "user", 30)).collect()}
+    assert {i: v for i, (v, _) in got.items()} == pytest.approx(want, rel=1e-12)
+    if few == 256:
+        assert got == {i: (v, v > want[25]) for i, v in want.items() if i < 300} | {i: got[i] for i in got if i >= 300}
+    others = (("count", len), ("avg", lambda x: sum(v or 0.0 for v in x) / len(x)), ("min", lambda x: min(v or 0.0 for v in x)), ("max", lambda x: max(v or 0.0 for v in x)))
+    for name, f in others if few == 40 else ():  # both ways in one table
+        got = {r.event_id: r.value_agg for r in A.running(frame, A.Aggregation(name, ">", 2, None if name == "count" else "value", "user", 30)).collect()}
+        assert got == pytest.approx({i: f(x) for i, x in windows.items()}), name
+    found = {r.event_id: (r.window_sum, r.window_count) for r in A.sliding(frame, 30, "value", by=("user",)).collect()}
+    for i, values in windows.items():
+        present = [v for v in values if v is not None]
+        assert found[i] == ((pytest.approx(sum(present)) if present else None), len(values))
+
+
 def test_windows_of_many_events_cost_no_more(spark):
     """Frames that slide row by row are read anew for each row: the cost grows with the events in a window."""
     rows = [(i, s, float(v)) for i, (s, v) in enumerate([(0, 1), (0, 2), (9, 4), (10, 8), (11, 16), (20, 32), (21, 64), (None, 128), (None, 256)])]
